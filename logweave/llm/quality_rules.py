@@ -78,7 +78,10 @@ def ledger(docs: DataFrame, text: str = "text", rules: dict[str, str] | None = N
     bits = F.lit(0).cast("long")
     for k, condition in enumerate((rules or RULES).values()):
         bits = bits + F.when(F.expr(condition), F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
-    return measure(docs, text).withColumn("rule_bits", bits)
+    # A value the optimizer can't compute twice: without it, a filter on the bits would be pushed below the measurements
+    # and evaluate them again inside its condition.
+    fixed = F.when(F.monotonically_increasing_id() >= 0, bits)
+    return measure(docs, text).withColumn("rule_bits", fixed)
 
 
 def mask_of(names: Sequence[str], rules: dict[str, str] | None = None) -> int:
