@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from logweave.plans import catalog_queries, feature_queries, log_queries
+from logweave.plans import catalog_queries, feature_queries, log_queries, output_queries
 
-_MODULES = (log_queries, feature_queries, catalog_queries)
+_MODULES = (log_queries, feature_queries, catalog_queries, output_queries)
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
