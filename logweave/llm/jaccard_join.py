@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.components import components
-from logweave.llm.text import WordHashes, gram_hashes, lowered_space_words, signed
+from logweave.llm.text import gram_hashes, hashed_words, signed
 from logweave.plans.session import ship_package, written
 
 CELLS = 1 << 22
@@ -41,12 +41,10 @@ BROADCAST_ROWS = 500_000
 SALT_ROWS = 2_000
 
 
-def shingle_set(words: list[bytes], k: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    own = hashes.of(words)
-    return np.unique(gram_hashes(own, min(k, len(words))))
+def shingle_set(text: bytes | None, k: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text."""
+    words = hashed_words(text.lower()) if text else np.empty(0, dtype=np.uint64)
+    return np.unique(gram_hashes(words, max(1, min(k, len(words)))))
 
 
 def class_of(tokens: np.ndarray) -> int:
@@ -70,12 +68,12 @@ def _sketched(source: DataFrame, k: int) -> DataFrame:
     """One pass: a light row for each document, and each task's counters as compressed blocks."""
 
     def rows(batches):
-        hashes, counters = WordHashes(), np.zeros(CELLS, dtype=np.uint16)
+        counters = np.zeros(CELLS, dtype=np.uint16)
         for batch in batches:
             kind = batch.column(0).type
             n, names = [], []
             for body in batch.column(1):
-                tokens = shingle_set(lowered_space_words(body.as_py()), k, hashes)
+                tokens = shingle_set(body.as_py(), k)
                 n.append(len(tokens))
                 names.append(class_of(tokens) if len(tokens) else None)
                 if len(tokens):
@@ -110,11 +108,11 @@ def _prefixes(source: DataFrame, k: int, percent: int, order: np.ndarray) -> Dat
     held = source.sparkSession.sparkContext.broadcast(order)
 
     def rows(batches):
-        hashes, seen = WordHashes(), set()
+        seen: set[int] = set()
         for batch in batches:
             tokens, names, sizes, lasts = [], [], [], []
             for body in batch.column(0):
-                own = shingle_set(lowered_space_words(body.as_py()), k, hashes)
+                own = shingle_set(body.as_py(), k)
                 n = len(own)
                 if not n or (name := class_of(own)) in seen:
                     continue
@@ -146,11 +144,10 @@ def _linked(source: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     sent = source.join(sends, "c")
 
     def sets(batches):
-        hashes = WordHashes()
         for batch in batches:
             out: dict[str, list] = {"centre": [], "salt": [], "kind": [], "c": [], "tokens": []}
             for body, name, to in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = shingle_set(lowered_space_words(body.as_py()), k, hashes)
+                own = shingle_set(body.as_py(), k)
                 if class_of(own) != name:  # another text under the same id
                     continue
                 tokens = own.tobytes()

@@ -3,7 +3,7 @@
 A word is removed if a window of ``window`` consecutive words covers it whose word sequence also starts earlier
 (smaller id, or same document and earlier start).
 
-1. Every window chooses the 8-word phrase in it with the smallest hash; equal windows choose equal phrases, so only
+1. Every window chooses the 8-word phrases in it with the smallest hash; equal windows choose equal phrases, so only
    phrases that recur in the corpus can hide a repeated window.  Phrases are counted with a partial sum in each task.
 2. Recurring phrases are routed to the documents that hold them (a join Spark can split where a phrase is very common).
 3. Each task compiles automata of its documents' recurring phrases, at most ``SHARD_PHRASES`` each, and streams those
@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.text import WordHashes, gram_hashes, signed, space_words
+from logweave.llm.text import gram_hashes, hashed_words, signed, sliding_min, space_words
 from logweave.plans.session import ship_package, written
 
 PHRASE = 8
@@ -34,27 +34,34 @@ _RESULTS = ("n_words", "n_removed", "kept_text")
 
 
 def _chosen(grams: np.ndarray, window: int) -> np.ndarray:
-    """For every window the position of its smallest phrase hash (the leftmost of equals)."""
+    """Positions of phrases that have the smallest hash of some window."""
     span = window - PHRASE + 1
-    if len(grams) < span:
+    least = sliding_min(grams, span)
+    if not len(least):
         return np.empty(0, dtype=np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(grams, span)
-    return view.argmin(axis=1) + np.arange(len(view))
+    around = np.concatenate([np.zeros(span - 1, dtype=np.uint64), least, np.zeros(span - 1, dtype=np.uint64)])
+    return np.flatnonzero(~sliding_min(~around, span) == grams)
+
+
+def _candidates(grams: np.ndarray, hit: np.ndarray, window: int) -> np.ndarray:
+    """Starts of windows whose smallest phrase is among the hit positions."""
+    span = window - PHRASE + 1
+    shown = np.where(hit, grams, np.uint64((1 << 64) - 1))
+    return np.flatnonzero((sliding_min(shown, span) == sliding_min(grams, span)) & (sliding_min((~hit).astype(np.uint8), span) == 0))
 
 
 def _phrase_rows(docs: DataFrame, window: int) -> DataFrame:
     """``phrase, k, n``: each phrase chosen in a document and how often it stands at a chosen place."""
 
     def rows(batches):
-        hashes = WordHashes()
         for batch in batches:
             phrases, counts, at = [], [], []
             for i, body in enumerate(batch.column(1)):
-                words = space_words(body.as_py())
-                if len(words) < window:
+                grams = gram_hashes(hashed_words(body.as_py()), PHRASE)
+                chosen = _chosen(grams, window)
+                if not len(chosen):
                     continue
-                grams = gram_hashes(hashes.of(words), PHRASE)
-                values, n = np.unique(grams[np.unique(_chosen(grams, window))], return_counts=True)
+                values, n = np.unique(grams[chosen], return_counts=True)
                 phrases.append(values)
                 counts.append(n)
                 at.append(np.full(len(values), i))
@@ -80,21 +87,21 @@ def _places(automaton, haystack: str, starts: np.ndarray) -> np.ndarray:
     return np.searchsorted(starts, np.array(found, dtype=np.int64) + 1) if found else np.empty(0, dtype=np.int64)
 
 
-def _located(group: list[tuple[list[bytes], np.ndarray]], window: int) -> list[np.ndarray]:
-    """Candidate window starts of each document, given its words and its recurring phrases' hashes."""
-    hashes = WordHashes()
-    grams = [gram_hashes(hashes.of(words), PHRASE) for words, _ in group]
+def _located(group: list[tuple[bytes, np.ndarray]], window: int) -> list[np.ndarray]:
+    """Candidate window starts of each document, given its text and its recurring phrases' hashes."""
+    grams = [gram_hashes(hashed_words(text), PHRASE) for text, _ in group]
+    split = [space_words(text) for text, _ in group]
     wanted: set[bytes] = set()
-    for (words, recurring), g in zip(group, grams, strict=True):
+    for words, (_, recurring), g in zip(split, group, grams, strict=True):
         for p in np.flatnonzero(np.isin(g, recurring)).tolist():
             wanted.add(b" " + b" ".join(words[p : p + PHRASE]) + b" ")
     hit = [np.zeros(len(g), dtype=bool) for g in grams]
     for automaton in _automata([p.decode("latin-1") for p in sorted(wanted)]):
-        for i, (words, _) in enumerate(group):
+        for i, words in enumerate(split):
             sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
             starts = 1 + np.cumsum(sizes + 1) - (sizes + 1)
             hit[i][_places(automaton, (b" " + b" ".join(words) + b" ").decode("latin-1"), starts)] = True
-    return [np.flatnonzero(h[_chosen(g, window)]) if len(g) else np.empty(0, dtype=np.int64) for h, g in zip(hit, grams, strict=True)]
+    return [_candidates(g, h, window) for h, g in zip(hit, grams, strict=True)]
 
 
 def _locate(joined: DataFrame, window: int) -> DataFrame:
@@ -120,7 +127,7 @@ def _locate(joined: DataFrame, window: int) -> DataFrame:
                 if not routed[i].is_valid:
                     continue
                 own = np.array(routed[i].as_py(), dtype=np.int64).view(np.uint64)
-                group.append((space_words(pack.decompress(bodies[i].as_py())), own))
+                group.append((pack.decompress(bodies[i].as_py()), own))
                 at.append(i)
                 phrases += len(own)
                 if phrases >= SHARD_PHRASES:
@@ -134,20 +141,16 @@ def _locate(joined: DataFrame, window: int) -> DataFrame:
     return joined.mapInArrow(rows, shape)
 
 
-def _window_hashes(words: list[bytes], starts: np.ndarray, window: int, hashes: WordHashes) -> np.ndarray:
-    return gram_hashes(hashes.of(words), window)[starts]
-
-
 def _instances(candidates: DataFrame, window: int) -> DataFrame:
     """``h, k``: candidate window hashes of each document, once each."""
 
     def rows(batches):
-        pack, hashes = zstandard.ZstdDecompressor(), WordHashes()
+        pack = zstandard.ZstdDecompressor()
         for batch in batches:
             found, at = [], []
             for i in range(batch.num_rows):
-                words = space_words(pack.decompress(batch.column(1)[i].as_py()))
-                own = np.unique(_window_hashes(words, np.frombuffer(batch.column(2)[i].as_py(), dtype="<i4"), window, hashes))
+                starts = np.frombuffer(batch.column(2)[i].as_py(), dtype="<i4")
+                own = np.unique(gram_hashes(hashed_words(pack.decompress(batch.column(1)[i].as_py())), window)[starts])
                 found.append(own)
                 at.append(np.full(len(own), i))
             if at:
@@ -160,18 +163,19 @@ def _cut(joined: DataFrame, window: int) -> DataFrame:
     """Drop words covered by candidate windows that aren't the first of their hash."""
 
     def rows(batches):
-        pack, hashes = zstandard.ZstdDecompressor(), WordHashes()
+        pack = zstandard.ZstdDecompressor()
         for batch in batches:
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             n_words, n_removed, kept = [], [], []
             for i in range(batch.num_rows):
                 body = cols["z"][i].as_py()
-                words = space_words(pack.decompress(body)) if body is not None else []
+                body = b"" if body is None else pack.decompress(body)
+                words = space_words(body)
                 removed = 0
                 n_words.append(len(words))
                 if cols["starts"][i].is_valid:
                     starts = np.frombuffer(cols["starts"][i].as_py(), dtype="<i4").astype(np.int64)
-                    own = _window_hashes(words, starts, window, hashes)
+                    own = gram_hashes(hashed_words(body), window)[starts]
                     firsts = np.array(cols["firsts"][i].as_py() or [], dtype=np.int64).view(np.uint64)
                     _, earliest = np.unique(own, return_index=True)
                     repeated = np.ones(len(own), dtype=bool)

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 #: Maps A-Z to a-z and every ASCII character that is no letter or digit to a space; bytes of non-ASCII characters stay.
 _ALNUM = bytes((c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20) for c in range(256))
 _MULTIPLIER = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+_BYTE = 0xD6E8FEB86659FD93
 
 
 def alnum_words(text: bytes | None) -> list[bytes]:
@@ -26,19 +25,51 @@ def lowered_space_words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered while the memory stays bounded."""
+class _Powers:
+    """Powers of the odd multiplier and of its inverse modulo 2^64, as far as texts have needed them."""
 
-    LIMIT = 400_000
+    def __init__(self) -> None:
+        self.up = self.down = np.empty(0, dtype=np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = max(n, 2 * len(self.up), 1 << 14)
+            self.up, self.down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, m, dtype=np.uint64)])) for m in (np.uint64(_BYTE), np.uint64(pow(_BYTE, -1, 1 << 64))))
+        return self.up, self.down
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+_POWERS = _Powers()
+_SPACES = np.zeros(256, dtype=bool)
+_SPACES[[0x20, *range(0x09, 0x0E)]] = True
+#: Longer texts are hashed in parts that end at white space.
+_PART = 1 << 18
+
+
+def hashed_words(text: bytes | None) -> np.ndarray:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+``: polynomials of their bytes from one running sum, scrambled."""
+    if not text:
+        return np.empty(0, dtype=np.uint64)
+    codes = np.frombuffer(text, dtype=np.uint8)
+    inside = np.zeros(len(codes) + 2, dtype=bool)
+    np.logical_not(_SPACES[codes], out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if len(codes) <= _PART:
+        return _polynomials(codes, starts, ends)
+    out, first = [], 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + _PART, side="right")))
+        a, b = starts[first], ends[last - 1]
+        out.append(_polynomials(codes[a:b], starts[first:last] - a, ends[first:last] - a))
+        first = last
+    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
+
+
+def _polynomials(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    up, down = _POWERS.to(len(codes) + 1)
+    total = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=total[1:])
+    return mixed((total[ends] - total[starts]) * down[starts])
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -52,23 +83,35 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of ``k`` consecutive word hashes; empty when there are fewer."""
-    n = len(words) - k + 1
-    if n <= 0:
+    """Hash of every run of ``k`` consecutive word hashes; empty when there are fewer. Runs are joined by doubling."""
+    if len(words) < k:
         return np.empty(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        out *= np.uint64(_MULTIPLIER)
-        out += words[j : j + n]
-    return mixed(out)
-
-
-def sequence_hash(words: np.ndarray) -> int:
-    """Hash of a whole word sequence, its length included."""
-    value = len(words)
-    for w in words.tolist():
-        value = (value * _MULTIPLIER + w) & _MASK
-    return value
+    run, size, out, done = words, 1, None, 0
+    while True:
+        if k & size:
+            tail = run[done : len(words) - size + 1] if done else run
+            out = tail if out is None else out[: len(words) - done - size + 1] * _power(size) + tail
+            done += size
+        if done == k:
+            return mixed(out)
+        run = run[: len(run) - size] * _power(size) + run[size:]
+        size *= 2
+
+
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(_MULTIPLIER, n, 1 << 64))
+
+
+def sliding_min(values: np.ndarray, span: int) -> np.ndarray:
+    """The least of every ``span`` consecutive values, by doubling."""
+    n = len(values) - span + 1
+    if n <= 0:
+        return values[:0]
+    size = 1
+    while 2 * size <= span:
+        values = np.minimum(values[: len(values) - size], values[size:])
+        size *= 2
+    return np.minimum(values[:n], values[span - size : span - size + n])
 
 
 def signed(values: np.ndarray) -> np.ndarray:
