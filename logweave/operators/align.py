@@ -223,9 +223,9 @@ def interpolated_cells(messages: DataFrame, topics: list[str], step_ns: int, anc
     last = F.least(last, _floor_div(F.col("t1") - F.col("t0"), step_ns))
     cells = spans.withColumns({"_a": first, "_b": last}).where("_b >= _a").withColumn("cell", F.explode(F.sequence("_a", "_b")))
     at = F.col("t0") + F.col("cell") * step_ns
-    alpha = (at - F.col("ts_ns")) / (F.col("hi_ns") - F.col("ts_ns"))
+    cells = cells.withColumn("_alpha", (at - F.col("ts_ns")) / (F.col("hi_ns") - F.col("ts_ns")))
     exact = F.col("payload").cast(_lerped(kind))
-    value = F.when((at == F.col("ts_ns")) | F.col("hi_ns").isNull(), exact).otherwise(lerp(F.col("payload"), F.col("hi"), alpha, kind))
+    value = F.when((at == F.col("ts_ns")) | F.col("hi_ns").isNull(), exact).otherwise(lerp(F.col("payload"), F.col("hi"), F.col("_alpha"), kind))
     return cells.select(EPISODE, "topic", "cell", at.alias("ts_ns"), value.alias("payload"))
 
 
