@@ -46,7 +46,7 @@ def _safe_to_cut(spec: dict) -> bool:
 class Encoder:
     """Ids (little-endian unsigned 32-bit) or counts of texts; one for each worker process and file."""
 
-    PIECES = 600_000
+    PIECES = 1_000_000
     BATCH_BYTES = 1_000_000
 
     def __init__(self, path: str) -> None:
@@ -66,6 +66,9 @@ class Encoder:
             tokenizer.no_truncation()
             self.cut = _safe_to_cut(json.loads(Path(path).read_text(encoding="utf-8")))
             self.library = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            # A special token splits a text before anything else is done to it, so many pieces can go as one text.
+            marks = [(i, t.content) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+            self.mark = marks[-1] if marks else None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         """Straight from the library, in batches balanced by bytes."""
@@ -82,19 +85,28 @@ class Encoder:
             out += [np.array(x, dtype="<u4").tobytes() for x in self.library(batch)]
         return out
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of many short pieces: joined by a special token, encoded as long texts, and cut where its id stands."""
+        if self.mark is None or any(self.mark[1] in p for p in pieces):
+            return self._encode(pieces)
+        out: list[bytes] = []
+        for first in range(0, len(pieces), 20_000):
+            part = pieces[first : first + 20_000]
+            ids = np.array(self.library([self.mark[1].join(part)])[0], dtype="<u4")
+            cuts = (4 * np.flatnonzero(ids == self.mark[0])).tolist()
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
+        return out
+
     def _learn(self, pieces: set[str]) -> None:
         """Remember the ids of new pieces, each with the space before it; pieces that aren't safe get None."""
-        new = [p for p in pieces if p not in self.pieces]
+        new = pieces.difference(self.pieces)
         if len(self.pieces) + len(new) > self.PIECES:
             self.pieces.clear()
-            new = list(pieces)
-        safe = []
-        for p in new:
-            if not p or p[0].isspace() or p[-1].isspace():
-                self.pieces[p] = None
-            else:
-                safe.append(p)
-        self.pieces.update(zip(safe, self._encode([" " + p for p in safe]), strict=True))
+            new = pieces
+        safe = [p for p in new if p and p.strip() == p]
+        self.pieces.update(dict.fromkeys(new))
+        self.pieces.update(zip(safe, self._encode_pieces([" " + p for p in safe]), strict=True))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null is an empty text."""
@@ -117,24 +129,17 @@ class Encoder:
         for p in run:
             pieces.update(p[1:])
         self._learn(pieces)
-        known = self.pieces
-        rough = [i for i, p in enumerate(run) if len(p) > 1 and (not p[0] or p[0][-1].isspace() or any(known[x] is None for x in set(p[1:])))]
         heads = [p[0] for p in run]
-        tails: dict[int, list[str]] = {}
-        if rough:
-            again: set[str] = set()
-            for i in rough:
-                parts = _SAFE.split(" ".join(run[i]))
-                heads[i], tails[i] = parts[0], parts[1:]
-                again.update(tails[i])
-            extra = dict(zip(again, self._encode([" " + p for p in again]), strict=True))
         first = dict(zip(set(heads), self._encode(list(set(heads))), strict=True))
-        out = []
-        for i, p in enumerate(run):
-            if i in tails:
-                out.append(first[heads[i]] + b"".join(map(extra.__getitem__, tails[i])))
-            else:
-                out.append(first[heads[i]] + b"".join(map(known.__getitem__, p[1:])))
+        out: list[bytes] = []
+        for p in run:
+            try:
+                if len(p) > 1 and (not p[0] or p[0][-1].isspace()):
+                    raise TypeError
+                out.append(first[p[0]] + b"".join(map(self.pieces.__getitem__, p[1:])))
+            except TypeError:  # a cut that isn't safe, whose piece has no ids: cut this text with more care
+                head, *tail = _SAFE.split(" ".join(p))
+                out.append(b"".join(self._encode([head, *(" " + x for x in tail)])))
         return out
 
     def counts(self, texts: list[str | None]) -> list[int]:
