@@ -5,13 +5,16 @@ A document's set holds its distinct word shingles; equal sets are one class.  Tw
 
 1. A first pass sketches how common shingles are (a fixed number of counters, summed over all documents), which orders
    shingles from rare to common.  Any total order is exact; a good one keeps lists short.
-2. Linked sets share a token among their first ``n - ceil(percent n) + 1`` in that order, the prefix.  Prefix tokens
-   that two classes share are kept; the classes of a token are compared with one of them, its pivot.  What links is
-   joined into groups of similar documents.
-3. The token-group matrix holds each group's union of prefix tokens with size bounds.  A query's overlap with any member
-   is at most the tokens it shares with that union plus what lies behind the prefixes; only groups whose bound reaches
-   the needed overlap are opened, and their members compared.  Members of one group need no further comparison, so a
-   large group of near copies costs a row for each token and not one for each pair.
+2. Linked sets share a token among their first ``n - ceil(percent n) + 1`` in that order, the prefix; with its places i
+   and j for the first shared one, their overlap is at most ``min(n - i, m - j)``.  Prefix tokens that two classes share
+   are kept; the classes of a token are compared with one of them, its pivot (the one with the fewest rare tokens, which
+   is the likeliest centre of near copies).  What links is joined into groups of similar documents.
+3. The token-group matrix holds each group's union of prefix tokens, by set size, with the least place of each.  For
+   every query and token it bounds the overlap with the group as above; only groups whose bound reaches the needed
+   overlap are opened, and their members compared.  Members of one group need no further comparison, so a large group
+   of near copies costs a row for each token and not one for each pair.
+4. Before sets are sent, the shared prefix tokens of a pair are counted: with those behind the shorter prefix they must
+   reach the needed overlap.
 
 Comparisons are exact on sets of 64-bit shingle hashes, which go to the centre of a comparison once; centres with many
 partners are split by salt. Nothing is collected but the sketch, whose size is fixed.
@@ -26,7 +29,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.components import components
@@ -54,11 +57,6 @@ def class_of(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).view(np.int64))
 
 
-def needed(n: int, m: int, percent: int) -> int:
-    """The least overlap of linked sets of sizes ``n`` and ``m``."""
-    return -(-percent * (n + m) // (100 + percent))
-
-
 def prefix_size(n: int, percent: int) -> int:
     """Tokens of which linked sets must share one: all but the least overlap with any linked set, and one more."""
     return n - -(-percent * n // 100) + 1
@@ -104,13 +102,13 @@ def _order(passed: DataFrame) -> np.ndarray:
 
 
 def _prefixes(source: DataFrame, k: int, percent: int, order: np.ndarray) -> DataFrame:
-    """``token, c, n, last``: prefix tokens of each class (in a task once), ``last`` the order of the prefix's end."""
+    """``token, c, n, at, last``: prefix tokens of each class (in a task once) with their places, ``last`` the order of the prefix's end."""
     held = source.sparkSession.sparkContext.broadcast(order)
 
     def rows(batches):
         seen: set[int] = set()
         for batch in batches:
-            tokens, names, sizes, lasts = [], [], [], []
+            tokens, names, sizes, places, lasts = [], [], [], [], []
             for body in batch.column(0):
                 own = shingle_set(body.as_py(), k)
                 n = len(own)
@@ -125,11 +123,12 @@ def _prefixes(source: DataFrame, k: int, percent: int, order: np.ndarray) -> Dat
                 tokens.append(own[first])
                 names.append(np.full(p, name, dtype=np.int64))
                 sizes.append(np.full(p, n, dtype=np.int32))
+                places.append(np.arange(p, dtype=np.int32))
                 lasts.append(np.full(p, int(rank[first[-1]]), dtype=np.int64))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(np.concatenate(names)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(lasts))], ["token", "c", "n", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(np.concatenate(names)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places)), pa.array(np.concatenate(lasts))], ["token", "c", "n", "at", "last"])
 
-    return source.select("body").mapInArrow(rows, "token long, c long, n int, last long")
+    return source.select("body").mapInArrow(rows, "token long, c long, n int, at int, last long")
 
 
 def _linked(source: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -194,40 +193,31 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     passed = written(_sketched(plain, k), "shingles")
     light = passed.where("block is null").select("k", "n", "c")
     prefixes = _prefixes(plain, k, percent, _order(passed))
-    lists = prefixes.groupBy("token").agg(F.min("c").alias("pivot"), F.max("c").alias("other")).where("pivot < other").select("token", "pivot")
+    ends = F.struct("last", "c")
+    lists = prefixes.groupBy("token").agg(F.max(ends).alias("a"), F.min(ends).alias("b")).where("a <> b").select("token", F.col("a.c").alias("pivot"))
     lists = written(lists, "lists")
-    shared = written(prefixes.join(lists, "token").groupBy("token", "c").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.first("pivot").alias("pivot")), "shared")
-
-    overlap = lambda n, m: F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
-    rest = lambda n: F.ceil(F.lit(percent) * n / F.lit(100)) - 1  # noqa: E731  tokens behind the prefix
-    fits = lambda n, m: (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m))
+    shared = written(prefixes.join(lists, "token").groupBy("token", "c").agg(*[F.first(x).alias(x) for x in ("n", "at", "last", "pivot")]), "shared")
+    heads = written(shared.groupBy("c").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.collect_list("token").alias("tokens")), "heads")
 
     # The document that sends a class's set: any of equal sets would do; the smallest id decides.
     senders = light.where("c is not null").groupBy("c").agg(F.min("k").alias("k"))
 
     # Groups: each class of a token against the token's pivot.
-    pivots = shared.where("c = pivot").select("token", F.col("n").alias("pn"), F.col("last").alias("plast"))
-    near = shared.where("c <> pivot").join(pivots, "token").where(fits(F.col("n"), F.col("pn")))
-    pairs = near.groupBy(F.col("pivot").alias("u"), F.col("c").alias("v")).agg(F.count("*").alias("hits"), *[F.first(x).alias(x) for x in ("n", "pn", "last", "plast")])
-    tail = F.when(F.col("last") < F.col("plast"), rest(F.col("n"))).when(F.col("last") > F.col("plast"), rest(F.col("pn"))).otherwise(F.greatest(rest(F.col("n")), rest(F.col("pn"))) + 1)
-    pairs = written(pairs.where(F.col("hits") + tail >= overlap(F.col("n"), F.col("pn"))).select("u", "v"), "pairs")
+    pivots = shared.where("c = pivot").select("token", F.col("c").alias("u"), F.col("n").alias("m"), F.col("at").alias("j"))
+    near = shared.where("c <> pivot").select("token", F.col("c").alias("v"), "n", F.col("at").alias("i")).join(pivots, "token").where(_within("n", "i", "m", "j", percent))
+    pairs = written(_promising(near.select("u", "v").distinct(), heads, percent), "pairs")
     groups = written(components(_linked(_sources(plain, senders, pairs, k), pairs, k, percent)).withColumnRenamed("node", "c").withColumnRenamed("component", "g"), "groups")
 
-    # The matrix: a token and the groups whose union holds it.
-    grouped = shared.join(groups, "c", "left").select("token", "c", "n", "last", F.coalesce("g", "c").alias("g"))
-    matrix = grouped.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    # The matrix: a token, and the groups and set sizes whose union holds it.
+    grouped = shared.join(groups, "c", "left").select("token", "c", "n", "at", F.coalesce("g", "c").alias("g"))
+    matrix = grouped.groupBy("token", "g", F.col("n").alias("m")).agg(F.min("at").alias("j"))
     several = matrix.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a < b").select("token")
-    grouped, matrix = written(grouped.join(several, "token"), "grouped"), matrix.join(several, "token")
-    asked = grouped.join(matrix.withColumnRenamed("g", "other"), "token").where("other < g")
-    asked = asked.where((F.lit(100) * F.col("most") >= F.lit(percent) * F.col("n")) & (F.lit(percent) * F.col("least") <= F.lit(100) * F.col("n")))
-    bound = asked.groupBy("c", "other").agg(F.count("*").alias("hits"), F.first("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
-    least = F.greatest(F.col("least"), F.ceil(F.lit(percent) * F.col("n") / 100))
-    opened = bound.where(F.col("hits") + F.greatest(rest(F.col("n")), rest(F.col("most"))) + 1 >= overlap(F.col("n"), least)).select("c", "other")
-    left = grouped.join(opened, "c").select("token", F.col("c").alias("v"), F.col("n").alias("vn"), F.col("last").alias("vlast"), F.col("other").alias("g"))
-    met = left.join(grouped.select("token", "g", F.col("c").alias("u"), "n", "last"), ["token", "g"]).where(fits(F.col("n"), F.col("vn")))
-    more = met.groupBy("u", "v").agg(F.count("*").alias("hits"), *[F.first(x).alias(x) for x in ("n", "vn", "last", "vlast")])
-    tail = F.when(F.col("last") < F.col("vlast"), rest(F.col("n"))).when(F.col("last") > F.col("vlast"), rest(F.col("vn"))).otherwise(F.greatest(rest(F.col("n")), rest(F.col("vn"))) + 1)
-    more = written(more.where(F.col("hits") + tail >= overlap(F.col("n"), F.col("vn"))).select("u", "v"), "opened")
+    grouped = written(grouped.join(several, "token"), "grouped")
+    matrix = grouped.groupBy("token", F.col("g").alias("other"), F.col("n").alias("m")).agg(F.min("at").alias("j"))
+    opened = grouped.join(matrix, "token").where(F.col("other") < F.col("g")).where(_within("n", "at", "m", "j", percent)).select("token", F.col("c").alias("v"), "n", F.col("at").alias("i"), "other", "m")
+    members = grouped.select("token", F.col("g").alias("other"), F.col("n").alias("m"), F.col("c").alias("u"), F.col("at").alias("j"))
+    met = opened.join(members, ["token", "other", "m"]).where(_within("n", "i", "m", "j", percent)).select("u", "v").distinct()
+    more = written(_promising(met, heads, percent), "opened")
     named = groups
     if not more.isEmpty():
         found = _linked(_sources(plain, senders, more, k), more, k, percent)
@@ -244,6 +234,26 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return light.join(final, "c", "left").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.col("c").alias("class_id"), F.when(F.col("c").isNull(), F.col("k")).otherwise(F.col("root")).alias("component_id"))
 
 
+def _overlap(n: Column, m: Column, percent: int) -> Column:
+    """The least overlap of linked sets of these sizes."""
+    return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
+
+
+def _within(n: str, i: str, m: str, j: str, percent: int) -> Column:
+    """Whether sets of sizes n and m whose first shared token stands at places i and j can link."""
+    fits = F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
+    return fits & (F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) >= _overlap(F.col(n), F.col(m), percent))
+
+
+def _promising(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose shared prefix tokens, with all that lies behind the prefix that ends first, reach the needed overlap."""
+    ends = [heads.select(F.col("c").alias(x), F.col("n").alias(f"{x}n"), F.col("last").alias(f"{x}last"), F.col("tokens").alias(f"{x}tokens")) for x in ("u", "v")]
+    rows = pairs.join(ends[0], "u").join(ends[1], "v")
+    rest = lambda n: F.ceil(F.lit(percent) * F.col(n) / F.lit(100)) - 1
+    tail = F.when(F.col("ulast") < F.col("vlast"), rest("un")).when(F.col("ulast") > F.col("vlast"), rest("vn")).otherwise(F.greatest(rest("un"), rest("vn")) + 1)
+    return rows.where(F.size(F.array_intersect("utokens", "vtokens")) + tail >= _overlap(F.col("un"), F.col("vn"), percent)).select("u", "v")
+
+
 def _sources(plain: DataFrame, senders: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """``body, c`` of one document of each class in the pairs."""
     ids = pairs.select(F.col("u").alias("c")).unionByName(pairs.select(F.col("v").alias("c"))).distinct()
