@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from logweave.plans.session import written
 
-_ROUNDS = 40
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -26,16 +25,15 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _are_stars(state: DataFrame) -> bool:
+    """Whether every node points to one smaller node that points nowhere: the fixed point of both steps."""
+    ends = state.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(state.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out > 0 and into > 0)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` (smallest node reachable) for every node that has a link in ``links(u, v)``."""
     state = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    summary = lambda x: tuple(x.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-    before = None
-    for _ in range(_ROUNDS):
-        # At the fixed point the links are stars around smallest nodes: no node has two, and no centre points on.
+    while not _are_stars(state):  # O(log^2 n) rounds
         state = written(_star(_star(state, True), False), "links")
-        after = summary(state)
-        if after == before or after[0] == 0:
-            break
-        before = after
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
