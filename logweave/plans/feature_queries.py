@@ -33,6 +33,13 @@ def raw_envelope(spark, sf_dir):
     return docs.select("doc_id", F.regexp_replace(bytes_envelope(F.col("text").cast("binary")), r"\\r\\n", "").alias("envelope"))
 
 
+@query("src3_raw_envelope_whole", """ SELECT doc_id, '{"__bytes__":true,"encoding":"base64","value":"' || to_base64(encode(text)) || '"}' AS envelope FROM documents""", plain=True)
+def raw_envelope_whole(spark, sf_dir):
+    """Every row and its whole text; a null text has no bytes and a null envelope."""
+    envelope = F.regexp_replace(bytes_envelope(F.col("text").cast("binary")), r"\\r\\n", "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNotNull(), envelope).alias("envelope"))
+
+
 @query("src9_decode_policy", " SELECT episode_id, topic, seq, value, k FROM msg WHERE seq % 7 <> 0")
 def decode_policy(spark, sf_dir):
     broken = messages(spark, sf_dir).withColumn("payload", F.when(F.col("seq") % 7 == 0, F.lit("{broken")).otherwise(F.col("payload")))
