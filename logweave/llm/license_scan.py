@@ -1,13 +1,16 @@
 """Licence scans in DataFrame functions only: sparse TF-IDF cosine to templates, then inheritance along directories.
 
-1. Candidate headers are the lines that hold a cue word; whole short texts are candidate licence files.
-2. Each candidate's terms and every template's terms are weighted ``tf * idf`` (idf over all candidate lines and
-   templates) and met in a sparse join on the term; the cosine decides the best template of a line.
-3. A document takes the best header of its own.  A document that is a licence file (its best line holds at least half of
-   its words) licenses its directory; one without a header inherits from the nearest ancestor directory that has one,
-   found by joining the path's ancestors with the licensed directories.
-
-The template table is fixed and small (its size is known), so it is the broadcast side; the directory table is not
+1. Candidate headers are the lines that hold a cue word and, whatever the line breaks, the runs of words that stand to an
+   anchor word as in one of the notices (``places``); whole texts that hold an anchor are candidate licence files.
+2. Each candidate's terms and every template's terms are weighted ``tf * idf`` and met in a sparse join on the term; the
+   cosine decides the best template. Headers meet the notices (idf over all candidate lines and notices; runs overlap
+   with lines and aren't counted), whole texts meet the whole licences (idf over all candidate texts and licences).
+3. A document takes the whole licence it is near to, if at least half of its words are words of that licence, else the
+   best header of its own.  A document that is a licence file (near to a whole licence, or its best header holds at least
+   half of its words) licenses its directory; one without a licence of its own inherits from the nearest ancestor
+   directory that has one, found by joining the path's ancestors with the licensed directories.
+
+The template tables are fixed and small (their size is known), so they are the broadcast side; the directory table is not
 hinted. No row pairs documents with documents.
 
 Defined results: null texts have no lines; null or empty paths have no directory and inherit nothing; equal scores take the
@@ -17,6 +20,9 @@ path; repeated rows of one key give one row each.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +46,22 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 CUES = "licen[cs]e|licensed|copyright|spdx|permission is hereby|redistribution and use|public domain|all rights reserved|proprietary"
 
+#: Single words of the cues: every notice is placed in a text by its first one.
+ANCHORS = "licen[cs]e|copyright|spdx|proprietary|permission|redistribution|domain|reserved"
+#: Whole licences by the same names, as they are published; read on the driver.
+WHOLE: dict[str, tuple[str, ...]] = {f.stem: (f.read_text(encoding="utf-8"),) for f in sorted(Path(__file__).with_name("licences").glob("*.txt"))}
+
+
+def places(templates: dict[str, tuple[str, ...]]) -> list[tuple[str, int, int]]:
+    """``(anchor, words before it, words)`` of all notices."""
+    out = set()
+    for notice in (t for texts in templates.values() for t in texts):
+        words = re.sub(r"[^\w.]+|_|\.(?!\d)|(?<!\d)\.", " ", notice.lower()).split()
+        first = next(((i, m[0]) for i, w in enumerate(words) if (m := re.search(ANCHORS, w))), None)
+        if first:
+            out.add((first[1].replace("licence", "license"), first[0], len(words)))
+    return sorted(out)
+
 
 def _terms(line: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}.]+|\.(?!\d)|(?<!\d)\.", " "), " +"), "")
@@ -48,19 +70,17 @@ def _terms(line: Column) -> Column:
 def template_terms(spark: SparkSession, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """``template, license, term, tf``: one row for each term of each notice."""
     rows = [(i, name, text) for i, (name, text) in enumerate((n, t) for n, texts in (templates or TEMPLATES).items() for t in texts)]
-    values = ", ".join("({}, '{}', '{}')".format(i, n.replace("'", "''"), t.replace("'", "''")) for i, n, t in rows)
+    values = ", ".join("({}, '{}', '{}')".format(i, n.replace("'", "''"), re.sub(r"['\\\\]", " ", t)) for i, n, t in rows)
     table = spark.sql(f"SELECT * FROM VALUES {values} AS t(template, license, notice)")
     return table.select("template", "license", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
 
 
-def license_lines(docs: DataFrame, key: str, text: str = "text", least: float = 0.6, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """``line, n_words, license, score``: the best template of every distinct candidate line, if its cosine is at least ``least``."""
-    spark = docs.sparkSession
-    lines = written(_candidates(docs, key, text).groupBy("line").agg(F.count("*").alias("times")), "license-lines")
-    marks = template_terms(spark, templates)
-    terms = lines.select("line", "times", F.explode(_terms(F.col("line"))).alias("term")).groupBy("line", "term").agg(F.count("*").alias("tf"), F.first("times").alias("times"))
-    n_templates = sum(map(len, (templates or TEMPLATES).values()))
-    total = lines.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("lines"))
+def _best(found: DataFrame, templates: dict[str, tuple[str, ...]], least: float) -> DataFrame:
+    """``id, license, score, n_words, n_known``: the best template of every candidate of ``found(id, line, times)``, if its cosine is at least ``least``."""
+    marks = template_terms(found.sparkSession, templates)
+    terms = found.select("id", "times", F.explode(_terms(F.col("line"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("times").alias("times"))
+    n_templates = sum(map(len, templates.values()))
+    total = found.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("lines"))
     seen = terms.groupBy("term").agg(F.sum("times").alias("df"))
     own = marks.groupBy("term").agg(F.count("*").alias("own"))
     # Terms that no template knows count in a line's norm with the weight of a common word.
@@ -70,24 +90,49 @@ def license_lines(docs: DataFrame, key: str, text: str = "text", least: float =
     norms = template.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     side = F.broadcast(template.join(norms, "template").select("template", "license", "term", (F.col("w") / F.col("norm")).alias("tw")))
     weighed = terms.join(F.broadcast(weights), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
-    line_norm = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("n_words"))
-    dots = weighed.join(side, "term").groupBy("line", "license", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scored = dots.join(line_norm, "line").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= least)
-    best = scored.groupBy("line").agg(F.min_by(F.struct("license", "score", "n_words"), F.struct(-F.col("score"), F.col("license"))).alias("b"))
-    return best.select("line", "b.license", "b.score", "b.n_words")
+    line_norm = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("n_words"))
+    dots = weighed.join(side, "term").groupBy("id", "license", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"), F.sum("tf").alias("n_known"))
+    scored = dots.join(line_norm, "id").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= least)
+    best = scored.groupBy("id").agg(F.min_by(F.struct("license", "score", "n_words", "n_known"), F.struct(-F.col("score"), F.col("license"))).alias("b"))
+    return best.select("id", "b.*")
+
+
+def _candidates(docs: DataFrame, key: str, text: str, templates: dict[str, tuple[str, ...]]) -> DataFrame:
+    """``k, line, times``: distinct candidates of each document; runs of words count no time, as they overlap with lines."""
+    anchored = docs.where(F.lower(text).rlike(ANCHORS)).select(F.col(key).alias("k"), F.col(text).alias("body"))
+    each = F.explode(F.array_distinct(F.filter(F.split("body", r"\n"), lambda x: F.lower(x).rlike(CUES) & (F.length(x) <= 2000))))
+    lines = anchored.select("k", each.alias("raw")).select("k", F.trim("raw").alias("line"), F.lit(1).alias("times"))
+    kinds = F.array(*[F.struct(F.lit(a).alias("anchor"), F.lit(o).alias("before"), F.lit(n).alias("n")) for a, o, n in places(templates)])
+    words = anchored.select("k", _terms(F.col("body")).alias("words"))
+    anchor = lambda w: F.regexp_replace(F.regexp_extract(w, ANCHORS, 0), "licence", "license")
+    marked = words.select("k", "words", F.filter(F.transform("words", lambda w, i: F.struct(anchor(w).alias("anchor"), i.alias("at"))), lambda x: x["anchor"] != "").alias("found"))
+
+    def run(x: Column, p: Column) -> Column:
+        start = F.greatest(x["at"] - p["before"], F.lit(0))
+        return F.array_join(F.slice(F.col("words"), start + 1, x["at"] - p["before"] + p["n"] - start), " ")
+
+    runs = F.flatten(F.transform("found", lambda x: F.transform(F.filter(kinds, lambda p: p["anchor"] == x["anchor"]), lambda p: run(x, p))))
+    return lines.unionByName(marked.select("k", F.explode(F.array_distinct(runs)).alias("line"), F.lit(0).alias("times")))
 
 
-def _candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
-    each = F.explode(F.array_distinct(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\n"), lambda x: F.lower(x).rlike(CUES) & (F.length(x) <= 2000))))
-    return docs.select(F.col(key).alias("k"), each.alias("raw")).select("k", F.trim("raw").alias("line"))
+def _matched(candidates: DataFrame, templates: dict[str, tuple[str, ...]], least: float) -> DataFrame:
+    """``k`` and the columns of ``_best`` for each of ``candidates(k, line, times)`` that is near to a template; equal lines are scored once."""
+    kept = written(candidates.withColumn("id", F.md5(F.col("line").cast("binary"))), "license-candidates")
+    found = written(kept.groupBy("id").agg(F.first("line").alias("line"), F.sum("times").alias("times")), "license-lines")
+    return kept.select("k", "id").join(_best(found, templates, least), "id")
 
 
-def scan(docs: DataFrame, path: Column, key: str = "doc_id", text: str = "text", least: float = 0.6, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def scan(docs: DataFrame, path: Column, key: str = "doc_id", text: str = "text", least: float = 0.6, templates: dict[str, tuple[str, ...]] | None = None, whole: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """One row per document: ``key, path, license, score, via`` (``header``, ``inherited`` or ``none``) and ``licensed_dir``."""
-    found = license_lines(docs, key, text, least, templates)
-    heads = _candidates(docs, key, text).join(found, "line").groupBy("k").agg(F.min_by(F.struct("license", "score", "n_words"), F.struct(-F.col("score"), F.col("license"))).alias("own"))
-    n_words = F.size(_terms(F.coalesce(F.col(text), F.lit(""))))
-    rows = docs.select(F.col(key).alias("k"), path.alias("path"), F.when(F.length(F.coalesce(F.col(text), F.lit(""))) <= 4000, n_words).alias("size")).join(heads, "k", "left")
+    notices = templates or TEMPLATES
+    anchored = F.lower(text).rlike(ANCHORS)
+    headers = _matched(_candidates(docs, key, text, notices), notices, least).select("k", F.lit(0).alias("whole"), "license", "score", "n_words")
+    bodies = docs.where(anchored).select(F.col(key).alias("k"), F.col(text).alias("line"), F.lit(1).alias("times"))
+    files = _matched(bodies, whole or WHOLE, least).where("2 * n_known >= n_words").select("k", F.lit(1).alias("whole"), "license", "score", "n_words")
+    order = F.struct(-F.col("whole"), -F.col("score"), F.col("license"), -F.col("n_words"))
+    heads = headers.unionByName(files).groupBy("k").agg(F.min_by(F.struct("license", "score", "n_words"), order).alias("own"))
+    size = F.when(anchored & (F.length(text) <= 4000), F.size(_terms(F.col(text))))
+    rows = docs.select(F.col(key).alias("k"), path.alias("path"), size.alias("size")).join(heads, "k", "left")
     parts = F.split(F.col("path"), "/")
     up = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     ancestors = F.when(F.size(parts) > 1, up).otherwise(F.array().cast("array<string>"))
