@@ -100,7 +100,7 @@ def _best(found: DataFrame, templates: dict[str, tuple[str, ...]], least: float)
 def _candidates(docs: DataFrame, key: str, text: str, templates: dict[str, tuple[str, ...]]) -> DataFrame:
     """``k, line, times``: distinct candidates of each document; runs of words count no time, as they overlap with lines."""
     anchored = docs.where(F.lower(text).rlike(ANCHORS)).select(F.col(key).alias("k"), F.col(text).alias("body"))
-    each = F.explode(F.array_distinct(F.filter(F.split("body", r"\n"), lambda x: F.lower(x).rlike(CUES) & (F.length(x) <= 2000))))
+    each = F.explode(F.array_distinct(F.filter(F.split("body", r"\n"), lambda x: F.lower(x).rlike(CUES))))
     lines = anchored.select("k", each.alias("raw")).select("k", F.trim("raw").alias("line"), F.lit(1).alias("times"))
     kinds = F.array(*[F.struct(F.lit(a).alias("anchor"), F.lit(o).alias("before"), F.lit(n).alias("n")) for a, o, n in places(templates)])
     words = anchored.select("k", _terms(F.col("body")).alias("words"))
@@ -131,7 +131,7 @@ def scan(docs: DataFrame, path: Column, key: str = "doc_id", text: str = "text",
     files = _matched(bodies, whole or WHOLE, least).where("2 * n_known >= n_words").select("k", F.lit(1).alias("whole"), "license", "score", "n_words")
     order = F.struct(-F.col("whole"), -F.col("score"), F.col("license"), -F.col("n_words"))
     heads = headers.unionByName(files).groupBy("k").agg(F.min_by(F.struct("license", "score", "n_words"), order).alias("own"))
-    size = F.when(anchored & (F.length(text) <= 4000), F.size(_terms(F.col(text))))
+    size = F.when(anchored, F.size(_terms(F.col(text))))
     rows = docs.select(F.col(key).alias("k"), path.alias("path"), size.alias("size")).join(heads, "k", "left")
     parts = F.split(F.col("path"), "/")
     up = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))

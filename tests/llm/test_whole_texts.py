@@ -28,3 +28,20 @@ def test_a_wrapped_licence_file_licenses_its_directory(spark):
 def test_a_notice_wrapped_over_lines_is_found(spark):
     text = PROSE + "\n# This Source Code Form is subject to the terms\n# of the Mozilla Public\n#\n# License, version 2.0.\n" + PROSE
     assert scanned(spark, [(1, text, "a/x"), (2, PROSE, "a/y")]) == {1: ("MPL-2.0", "header"), 2: (None, "none")}
+
+
+@pytest.mark.parametrize("name", ["GPL-3.0", "Apache-2.0"])
+def test_long_licence_files_license_their_directory(spark, name):
+    assert len(licence(name)) > 4000
+    assert scanned(spark, [(1, licence(name), "a/LICENSE"), (2, " ".join(licence(name).split()), "b/LICENSE"), (3, PROSE, "a/x"), (4, PROSE, "b/x")]) == {1: (name, "header"), 2: (name, "header"), 3: (name, "inherited"), 4: (name, "inherited")}
+
+
+def test_a_notice_inside_a_long_line_is_found(spark):
+    for around in (PROSE, " ".join([PROSE] * 20)):
+        text = f"{around} Released under the MIT License {around}"
+        assert scanned(spark, [(1, text, "a/x"), (2, PROSE, "a/y")]) == {1: ("MIT", "header"), 2: (None, "none")}
+
+
+def test_a_long_file_of_one_notice_licenses_its_directory(spark):
+    text = "Licensed under the MIT License." + " - " * 1500 + "\n"
+    assert scanned(spark, [(1, text, "a/x"), (2, PROSE, "a/y")]) == {1: ("MIT", "header"), 2: ("MIT", "inherited")}
