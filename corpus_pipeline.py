@@ -25,17 +25,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return apply_policy(ledger(docs)).where("kept").select(*docs.columns)
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """Documents with ``_row``: rows of equal ids (null too) and equal texts share it. It is never null, and null ids come last."""
+    same = F.struct(
+        F.col("doc_id").isNull().alias("none"),
+        F.coalesce(F.col("doc_id"), F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"),
+        F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("digest"),
+    )
+    return docs.withColumn("_row", same)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id; of rows with one id, one."""
-    found = written(jaccard_components(docs).select("doc_id", "component_id"), "found")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates stays, the one with the smallest id (then digest of the text); of rows with one id and one text, one."""
+    keyed = with_row_key(docs)
+    found = written(jaccard_components(keyed, key="_row").select("_row", "component_id"), "found")
+    gone = found.where("_row <> component_id").select("_row").distinct()
+    repeated = found.groupBy("_row").count().where("count > 1").select("_row")
+    kept = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "_row", "left_anti")
     if repeated.isEmpty():
-        return kept
-    match = F.col("doc_id").eqNullSafe(F.col("again"))
-    one = kept.join(repeated, match, "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, match, "left_anti").unionByName(one)
+        return kept.select(*docs.columns)
+    one = kept.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.join(repeated, "_row", "left_anti").unionByName(one).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +58,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    leaked = contamination(docs, table(spark, sf_dir, "benchmark")).where(F.size("spans") > 0).select("doc_id").distinct()
+    keyed = with_row_key(docs)
+    leaked = contamination(keyed, table(spark, sf_dir, "benchmark"), key="_row").where(F.size("spans") > 0).select("_row").distinct()
     leaked = written(leaked, "leaked")
-    return docs.join(F.broadcast(leaked) if leaked.count() <= BROADCAST_ROWS else leaked, "doc_id", "left_anti").select(*docs.columns)
+    return keyed.join(F.broadcast(leaked) if leaked.count() <= BROADCAST_ROWS else leaked, "_row", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
