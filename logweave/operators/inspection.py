@@ -22,7 +22,7 @@ def first_samples(messages: DataFrame, n: int) -> DataFrame:
     return messages.withColumn("_n", at).where(F.col("_n") <= n).drop("_n")
 
 
-def walk(samples: DataFrame, max_depth: int = 4, items: int = 3) -> DataFrame:
+def walk(samples: DataFrame, max_depth: int = 4, items: int = 4) -> DataFrame:
     """``topic, path, depth, kind, size, value``: every field of every payload, level by level.
 
     ``kind`` is null, bool, int64, float64, bytes, text, sequence or struct. Of lists the first ``items`` are entered

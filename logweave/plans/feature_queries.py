@@ -262,6 +262,14 @@ def shape_merge(spark, sf_dir):
     return inspection.candidates(inspection.walk(rows)).where("path = 'list'").select("topic", "path", F.col("dim").cast("long").alias("dim"))
 
 
+@query("ins4_shape_merge_whole", " SELECT topic, 'list' AS path, CASE WHEN min(k % 3) = max(k % 3) THEN min(k % 3) ELSE -1 END AS dim FROM msg GROUP BY 1 HAVING count(k) > 0")
+def shape_merge_whole(spark, sf_dir):
+    """Every message; an empty list has dim 0, which merges to -1 with others."""
+    k = F.get_json_object("payload", "$.k").cast("int")
+    rows = messages(spark, sf_dir).withColumn("payload", F.to_json(F.struct(F.array_repeat(F.lit(1), k % 3).alias("list"))))
+    return inspection.candidates(inspection.walk(rows)).where("path = 'list'").select("topic", "path", F.col("dim").cast("long").alias("dim"))
+
+
 @query("ins6_field_candidates", _INS + """ SELECT topic, 'value' AS path, count(*) AS observed, FALSE AS nullable, least(3, count(DISTINCT value)) AS n_examples FROM s GROUP BY 1
     UNION ALL SELECT topic, 'k', count(*), FALSE, least(3, count(DISTINCT k)) FROM s GROUP BY 1""")
 def field_candidates(spark, sf_dir):

@@ -3,6 +3,7 @@
 import base64
 import json
 
+from logweave.operators import inspection
 from logweave.registry import QUERIES
 
 
@@ -12,3 +13,16 @@ def test_every_document_has_an_envelope(spark, tmp_path):
     got = {r["doc_id"]: r["envelope"] for r in QUERIES["src3_raw_envelope_whole"](spark, str(tmp_path)).collect()}
     assert sorted(got) == list(range(len(texts))) and got[2] is None
     assert all(base64.b64decode(json.loads(got[i])["value"]).decode() == t for i, t in enumerate(texts) if t is not None)
+
+
+def test_empty_lists_are_merged(spark, tmp_path):
+    rows = [(i, 1, kind, float(i), '{"k": %d}' % k) for i, (kind, k) in enumerate([("click", 0), ("click", 3), ("view", 0), ("view", 1), ("error", 2)])]
+    frame = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string")
+    frame.selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["topic"]: r["dim"] for r in QUERIES["ins4_shape_merge_whole"](spark, str(tmp_path)).collect()}
+    assert got == {"/click": 0, "/view": -1, "/error": 2}
+
+
+def test_four_items_of_a_list_are_entered(spark):
+    sample = spark.createDataFrame([("/t", json.dumps({"a": [{"x": i} for i in range(6)]}))], "topic string, payload string")
+    assert {r["path"] for r in inspection.walk(sample).where("depth = 2").collect()} == {f"a.{i}" for i in range(4)}
