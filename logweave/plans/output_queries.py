@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions import images
-from logweave.operators import inspection, validate
+from logweave.operators import align, inspection, validate
 from logweave.plans.feature_queries import _SAMPLE, built
 from logweave.plans.log_queries import HOUR, MSG
 from logweave.plans.session import shared_folder, ship_package, table
@@ -141,3 +141,24 @@ def stream_buckets(spark, sf_dir):
 @query("str3_trigger_join", f"WITH {MSG}, w AS (SELECT max(ts_ns // 1000000) - 3600000 AS mark FROM msg) SELECT t.episode_id, t.ts_ns, t.seq, coalesce(j.ts_ns, -1) AS match_ts_ns FROM (SELECT msg.* FROM msg, w WHERE topic = '/purchase' AND ts_ns // 1000000 < mark) t ASOF LEFT JOIN (SELECT * FROM msg WHERE topic = '/view') j ON t.episode_id = j.episode_id AND t.ts_ns >= j.ts_ns")
 def stream_join(spark, sf_dir):
     return drained(twins.trigger_join(stream(spark, sf_dir), "/purchase", "/view"), "append").select("episode_id", "ts_ns", "seq", F.coalesce("match_ts_ns", F.lit(-1)).alias("match_ts_ns"))
+
+
+def final_watermark_ms(spark, sf_dir) -> int:
+    """The watermark of a drained stream: an hour before the last message; what lies at or after it is never emitted."""
+    last = messages(spark, sf_dir).agg(F.max("ts_ns")).first()[0]
+    return 0 if last is None else last // 1_000_000 - 3_600_000
+
+
+@query("str2_bucket_latest_whole", f"WITH {MSG} SELECT episode_id, topic, ts_ns // {6 * HOUR} * {6 * HOUR} AS bucket_ns, arg_max(seq, ts_ns) AS seq FROM msg GROUP BY ALL")
+def stream_buckets_whole(spark, sf_dir):
+    """The stream's closed buckets, and those still open at its end from the batch form."""
+    rows = messages(spark, sf_dir).withColumn("payload", F.col("seq").cast("string"))
+    held = twins.bucket_latest(rows, 6 * 3600).where(F.col("bucket_ns") / 1_000_000 + 6 * 3_600_000 > final_watermark_ms(spark, sf_dir))
+    return stream_buckets(spark, sf_dir).unionByName(held.select("episode_id", "topic", "bucket_ns", F.col("payload").cast("long").alias("seq")))
+
+
+@query("str3_trigger_join_whole", f"WITH {MSG} SELECT t.episode_id, t.ts_ns, t.seq, coalesce(j.ts_ns, -1) AS match_ts_ns FROM (SELECT * FROM msg WHERE topic = '/purchase') t ASOF LEFT JOIN (SELECT * FROM msg WHERE topic = '/view') j ON t.episode_id = j.episode_id AND t.ts_ns >= j.ts_ns")
+def stream_join_whole(spark, sf_dir):
+    """The stream's triggers, and those it still holds at its end from the batch as-of join."""
+    held = align.asof_join(messages(spark, sf_dir), "/purchase", "/view").where(F.expr("ts_ns div 1000000") >= final_watermark_ms(spark, sf_dir))
+    return stream_join(spark, sf_dir).unionByName(held.select("episode_id", "ts_ns", "seq", F.coalesce("match_ts_ns", F.lit(-1)).alias("match_ts_ns")))

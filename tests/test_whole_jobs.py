@@ -26,3 +26,12 @@ def test_empty_lists_are_merged(spark, tmp_path):
 def test_four_items_of_a_list_are_entered(spark):
     sample = spark.createDataFrame([("/t", json.dumps({"a": [{"x": i} for i in range(6)]}))], "topic string, payload string")
     assert {r["path"] for r in inspection.walk(sample).where("depth = 2").collect()} == {f"a.{i}" for i in range(4)}
+
+
+def test_streams_give_the_last_hour_too(spark, tmp_path):
+    rows = [(i, 1, kind, float(i), '{"k": 1}', at) for i, (kind, at) in enumerate([("view", "00:00:00"), ("purchase", "01:00:00"), ("view", "08:00:00"), ("purchase", "08:30:00")])]
+    frame = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string, at string")
+    frame.selectExpr("* except (at)", "cast('2024-01-01 ' || at as timestamp_ntz) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(r["seq"] for r in QUERIES["str2_bucket_latest_whole"](spark, str(tmp_path)).collect()) == [0, 1, 2, 3]
+    got = sorted((r["seq"], r["match_ts_ns"]) for r in QUERIES["str3_trigger_join_whole"](spark, str(tmp_path)).collect())
+    assert [x[0] for x in got] == [1, 3] and got[1][1] - got[0][1] == 8 * 3600 * 10**9
