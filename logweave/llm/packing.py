@@ -4,8 +4,9 @@ Only documents longer than a sequence are cut, into full pieces and a rest.  Eac
 of open bins per residual gap become smallest (Csirik et al.): with N(g) open bins of gap g, putting a piece of length
 s into gap g changes the sum by 2(N(g-s) - N(g)) + 2, filling a bin exactly by 1 - 2N(g), opening a bin by 2N(C-s) + 1.
 
-Placing is sequential, so pieces are dealt by a hash into shards of a bounded number of documents; each shard is packed
-on its own from lengths alone (other columns pass through), and may end with a few open bins.
+Placing is sequential, so pieces are written once and dealt by a hash of their place in the written table into shards of a
+bounded number of pieces, however many rows share an id; each shard is packed on its own from lengths alone (other columns
+pass through), and may end with a few open bins.
 
 Defined results: a null or empty text is one piece that holds the end id only; repeated documents are packed each for
 itself; an empty table gives no rows; clashing input columns are dropped.
@@ -20,32 +21,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.tokens import encoder
-from logweave.plans.session import ship_package
+from logweave.llm.tokens import binaries, encoder, ragged, with_end
+from logweave.plans.session import ship_package, written
 
-#: Documents of a shard, at about which number the open bins at its end no longer matter.
-SHARD_DOCUMENTS = 64_000
+#: Pieces of a shard, at about which number the open bins at its end no longer matter.
+SHARD_PIECES = 64_000
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """``key, piece, start, length, ids``: the ids (little-endian unsigned 32-bit, end id last) cut after every ``capacity``."""
     ship_package(docs.sparkSession)
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches):
         own = encoder(tokenizer)
         for batch in batches:
-            at, piece, start, length, ids = [], [], [], [], []
-            for i, body in enumerate(own.ids(batch.column(1).to_pylist())):
-                body += end
-                for k, a in enumerate(range(0, len(body), 4 * capacity)):
-                    part = body[a : a + 4 * capacity]
-                    at.append(i)
-                    piece.append(k)
-                    start.append(a // 4)
-                    length.append(len(part) // 4)
-                    ids.append(part)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())], ["k", "piece", "start", "length", "ids"])
+            first = 0
+            for ids, ends in own.encoded(batch.column(1)):
+                ids, ends = with_end(ids, ends, end_id)
+                sizes = np.diff(ends, prepend=0)
+                times = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(sizes)), times)
+                piece = ragged(np.zeros(len(sizes), dtype=np.int64), times)
+                length = np.minimum(sizes[row] - piece * capacity, capacity)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + row)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), binaries(ids, length)], ["k", "piece", "start", "length", "ids"])
+                first += len(sizes)
 
     shape = f"k {dict(docs.dtypes)[key]}, piece int, start long, length long, ids binary"
     return docs.select(F.col(key).alias("k"), F.col(text)).mapInArrow(cut, shape).withColumnRenamed("k", key)
@@ -83,11 +82,12 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
-def pack(pieces: DataFrame, n_documents: int, order: tuple[str, ...] = ("doc_id", "piece"), capacity: int = 2048, shard_documents: int = SHARD_DOCUMENTS) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity``."""
+def pack(pieces: DataFrame, order: tuple[str, ...] = ("doc_id", "piece"), capacity: int = 2048, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity``; ``order`` decides between equal lengths."""
     ship_package(pieces.sparkSession)
-    shards = max(1, -(-n_documents // shard_documents))
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64(*order), F.lit(shards)))
+    pieces = written(pieces, "pieces")
+    shards = max(1, -(-pieces.count() // shard_pieces))
+    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
     names = pieces.columns
 
     def fill(rows: pa.Table) -> pa.Table:

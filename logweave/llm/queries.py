@@ -14,7 +14,7 @@ from logweave.llm.phrase_dedup import without_repeats
 from logweave.llm.quality_rules import apply_policy, ledger
 from logweave.llm.token_counts import with_token_counts
 from logweave.llm.token_files import part_starts, read_token_files, write_token_files
-from logweave.llm.tokens import tokenizer_path
+from logweave.llm.tokens import tokenizer_path, vocabulary_size
 from logweave.llm.toxicity import fit_severity, score_severity
 from logweave.plans.session import table
 
@@ -58,7 +58,8 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write bit-packed token files, read them back, and digest each document's ids."""
-    path = write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2, vocabulary=50_257)
+    vocabulary = tokenizer_path("byte_bpe_50k.json")
+    path = write_token_files(table(spark, sf_dir, "documents"), vocabulary, end_id=2, vocabulary=vocabulary_size(vocabulary))
     rows = read_token_files(spark, path).select("part", "doc_id", "local_start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     return rows.join(part_starts(spark, path), "part").select("doc_id", (F.col("part_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
@@ -84,7 +85,7 @@ def packed_documents(docs: DataFrame) -> DataFrame:
     """The packing query over any documents table: pieces with the digest of their ids, and their places."""
     pieces = token_pieces(docs, tokenizer_path("word_bpe_49k.json"))
     rows = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(rows, docs.count())
+    return pack(rows)
 
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +21,11 @@ def with_token_counts(docs: DataFrame, tokenizer: str, text: str = "text", limit
     """Add ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens) to the documents."""
     ship_package(docs.sparkSession)
 
-    @F.pandas_udf("long")
-    def lengths(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def lengths(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(tokenizer)
         for batch in texts:
-            yield pd.Series(own.counts(batch.tolist()), dtype="int64")
+            yield pa.array(own.counts(batch))
 
     frame = docs.withColumns({"n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"), "n_tokens": lengths(F.col(text))})
     return frame.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logweave.llm.tokens import encoder
+from logweave.llm.tokens import binaries, encoder, with_end
 from logweave.plans.session import shared_folder, ship_package
 
 #: A block is closed after the document that brings it to so many ids.
@@ -70,17 +70,19 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocabulary:
     spark = docs.sparkSession
     ship_package(spark)
     path = path or f"{shared_folder(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    bits, end = bits_for(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+    bits = bits_for(max(vocabulary, end_id + 1))
 
     def blocks(batches):
         own, part = encoder(tokenizer), TaskContext.get().partitionId()
         block = local = n = 0
         keys: list = []
         starts: list[int] = []
-        bodies: list[bytes] = []
+        bodies: list[np.ndarray] = []
 
         def closed():
-            ids = np.frombuffer(b"".join(bodies), dtype="<u4")
+            ids = np.concatenate(bodies)
+            if int(ids.max()) >> bits:
+                raise ValueError(f"id {ids.max()} does not fit {bits} bits: the vocabulary has more than {vocabulary} ids")
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([local], pa.int64()), pa.array([n], pa.int64()), pa.array([bits], pa.int32()), pa.array([keys], pa.list_(kind)), pa.array([starts], pa.list_(pa.int64())), pa.array([packed(ids, bits)], pa.binary())],
                 ["part", "block", "local_start", "n_ids", "bits", "doc_keys", "doc_starts", "payload"],
@@ -88,14 +90,17 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, vocabulary:
 
         for batch in batches:
             kind = batch.column(0).type
-            for k, body in zip(batch.column(0).to_pylist(), own.ids(batch.column(1).to_pylist()), strict=True):
-                keys.append(k)
-                starts.append(n)
-                bodies.append(body + end)
-                n += len(body) // 4 + 1
-                if n >= BLOCK_IDS:
-                    yield closed()
-                    block, local, n, keys, starts, bodies = block + 1, local + n, 0, [], [], []
+            names = iter(batch.column(0).to_pylist())
+            for ids, ends in own.encoded(batch.column(1)):
+                ids, ends = with_end(ids, ends, end_id)
+                for body in np.split(ids, ends[:-1]):
+                    keys.append(next(names))
+                    starts.append(n)
+                    bodies.append(body)
+                    n += len(body)
+                    if n >= BLOCK_IDS:
+                        yield closed()
+                        block, local, n, keys, starts, bodies = block + 1, local + n, 0, [], [], []
         if keys:
             yield closed()
 
@@ -117,10 +122,10 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> Dat
             cols = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
                 n, starts = cols["n_ids"][i].as_py(), np.array(cols["doc_starts"][i].as_py(), dtype=np.int64)
-                ids = unpacked(cols["payload"][i].as_py(), cols["bits"][i].as_py(), 0, n).tobytes()
+                ids = unpacked(cols["payload"][i].as_py(), cols["bits"][i].as_py(), 0, n)
                 ends = np.append(starts[1:], n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([cols["part"][i].as_py()] * len(starts), pa.int32()), cols["doc_keys"][i].values, pa.array(starts + cols["local_start"][i].as_py(), pa.int64()), pa.array(ends - starts, pa.int64()), pa.array([ids[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())],
+                    [pa.array([cols["part"][i].as_py()] * len(starts), pa.int32()), cols["doc_keys"][i].values, pa.array(starts + cols["local_start"][i].as_py(), pa.int64()), pa.array(ends - starts, pa.int64()), binaries(ids, ends - starts)],
                     ["part", key, "local_start", "n_tokens", "ids"],
                 )
 

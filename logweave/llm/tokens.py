@@ -151,7 +151,7 @@ class Encoder:
         keep = np.flatnonzero(self.seen > 1)
         size = self.size[keep]
         counts = np.maximum(size, 0)
-        names, flat = self.names.take(pa.array(keep)), self.flat[_ragged(self.start[keep], counts)]
+        names, flat = self.names.take(pa.array(keep)), self.flat[ragged(self.start[keep], counts)]
         self._forget()
         if names.nbytes + flat.nbytes + self._ENTRY * len(names) <= self.MEMORY_BYTES // 2:
             self.names, self.flat, self.start, self.size = names, flat, np.cumsum(counts, dtype=np.int64) - counts, size
@@ -214,7 +214,7 @@ class Encoder:
                 keep = np.ones(len(counts), dtype=bool)
                 keep[list(whole)] = False
                 at = at[np.repeat(keep, np.diff(edges))]
-            ids = self.flat[_ragged(self.start[at], self.size[at])]
+            ids = self.flat[ragged(self.start[at], self.size[at])]
             if whole:
                 ends = np.cumsum(counts)
                 filled = np.empty(int(ends[-1]), dtype="<u4")
@@ -246,6 +246,29 @@ class Encoder:
         return np.concatenate(out)
 
 
+def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a run of texts and their ends, with ``end_id`` after each text."""
+    return np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+
+
+def binaries(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Consecutive runs of ids of these lengths as binary values, without copying them."""
+    edges = np.zeros(len(lengths) + 1, dtype=np.int32)
+    np.cumsum(4 * lengths, out=edges[1:])
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(ids, dtype="<u4"))])
+
+
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a vocabulary file."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=path).get_piece_size()
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
+
+
 def _flags(values: pa.Array) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False).astype(bool)
 
@@ -254,7 +277,7 @@ def _strings(texts) -> pa.Array:
     return texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
 
 
-def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers of all ranges of these starts and sizes, one after another."""
     ends = np.cumsum(size, dtype=np.int64)
     return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)

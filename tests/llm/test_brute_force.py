@@ -236,7 +236,7 @@ def test_token_files_round_trip(spark, docs, monkeypatch):
 
 def test_packing_is_gapless_and_close_to_the_bound(spark, docs):
     pieces = packing.token_pieces(docs, tokenizer_path("word_bpe_49k.json"), capacity=128)
-    rows = packing.pack(pieces, docs.count(), capacity=128).collect()
+    rows = packing.pack(pieces, capacity=128).collect()
     texts = dict(corpus())
     whole = {}
     for r in rows:
@@ -245,7 +245,6 @@ def test_packing_is_gapless_and_close_to_the_bound(spark, docs):
         own = [whole[i][k] for k in sorted(whole[i])]
         assert b"".join(bytes(r["ids"]) for r in own) == body + bytes(4)
         assert [r["start"] for r in own] == [128 * k for k in range(len(own))] and all(r["length"] == 128 for r in own[:-1])
-        assert all(zlib.crc32(bytes(r["ids"])) >= 0 for r in own)
     bins = {}
     for r in rows:
         bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
