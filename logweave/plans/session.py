@@ -11,10 +11,13 @@ from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent.parent
 
 
+#: Bytes of Parquet files up to which a written table is broadcast.
+BROADCAST_BYTES = 16 << 20
 #: Bytes of an Arrow batch that a Python task gets at most (beyond one row).
 BATCH_BYTES = 16 << 20
 
@@ -58,6 +61,18 @@ def written(frame: DataFrame, name: str, folder: str | None = None) -> DataFrame
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def small(frame: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, marked for broadcast if its files hold at most so many bytes; beyond, Spark shuffles both sides of its join."""
+    context = frame.sparkSession
+    total = 0
+    for name in frame.inputFiles():
+        place = context._jvm.org.apache.hadoop.fs.Path(name)
+        total += place.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(place).getLen()
+        if total > most:
+            return frame
+    return F.broadcast(frame)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
