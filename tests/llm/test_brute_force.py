@@ -263,7 +263,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_main_text_of_a_page():
-    assert html_extract.main_text(html_extract.blocks(PAGE), []) == "A &< B\nOne two three.\nFour ©\ni\nj"
+    assert html_extract.main_text(html_extract.blocks(PAGE), []) == "A &< B\n\nOne two three.\n\nFour ©\n\ni\n\nj"
     assert html_extract.blocks(None) == [] and html_extract.blocks("<p>open <b>text") == [("open text", False)]
 
 
@@ -272,7 +272,7 @@ def test_neighbours_differ_only_in_main_text(spark):
     rows = [(i, f"http://h.example/a/{i}?q=1", frame.format("".join(f"<p>page {i} line {k}</p>" for k in range(4)))) for i in range(6)]
     rows += [(90, None, None), (91, "http://h.example/a/5#x", rows[5][2]), (92, "http://alone.example/", "<p>only one</p>")]
     got = {r["page_id"]: r["text"] for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
-    assert got[2] == "\n".join(f"page 2 line {k}" for k in range(4))
+    assert got[2] == "\n\n".join(f"page 2 line {k}" for k in range(4))
     assert got[92] == "only one" and got[90] == "" and len(got) == len(rows)
 
 
