@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from logweave.plans.session import written
 
 
-
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Large star: neighbours above a node move to its smallest neighbour; small star: those below, and itself."""
     if large:
@@ -31,9 +30,13 @@ def _are_stars(state: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out > 0 and into > 0)").isEmpty()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node, component`` (smallest node reachable) for every node that has a link in ``links(u, v)``."""
-    state = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+def components(links: DataFrame, folder: str | None = None) -> DataFrame:
+    """``node, component`` (smallest node reachable) for every node that has a link in ``links(u, v)``.
+
+    Defined results: links of a node with itself and repeated links count for nothing; no links give no rows; ends must not
+    be null. The state of each round is written to ``folder``.
+    """
+    state = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", folder)
     while not _are_stars(state):  # O(log^2 n) rounds
-        state = written(_star(_star(state, True), False), "links")
+        state = written(_star(_star(state, True), False), "links", folder)
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -16,11 +16,13 @@ A document's set holds its distinct word shingles; equal sets are one class.  Tw
 4. Before sets are sent, the shared prefix tokens of a pair are counted: with those behind the shorter prefix they must
    reach the needed overlap.
 
-Comparisons are exact on sets of 64-bit shingle hashes, which go to the centre of a comparison once; centres with many
-partners are split by salt. Nothing is collected but the sketch, whose size is fixed.
+Comparisons are exact on sets of 64-bit shingle hashes, which go to the centre of a comparison once; centres whose partners
+hold many shingles are split by salt. Nothing is collected but the sketch, whose size is fixed; its counters are summed in
+rounds of ``FAN_IN`` tasks.
 
 Defined results: null texts and texts without words have an empty set and link with nothing; fewer words than a shingle
-are one shingle; null ids keep a row with a null component unless another document of the component has an id.
+are one shingle; null ids keep a row with a null component unless another document of the component has an id; repeated rows are given back
+each for itself; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,19 +31,23 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.components import components
 from logweave.llm.text import gram_hashes, hashed_words, signed
-from logweave.plans.session import ship_package, written
+from logweave.plans.session import scratch, ship_package, small, written
 
 CELLS = 1 << 22
 _BLOCKS = 64
-#: Deliveries of sets up to which they are broadcast to the documents; beyond, both sides are shuffled.
-BROADCAST_ROWS = 500_000
-#: Partners of a centre that are compared in one run.
-SALT_ROWS = 2_000
+#: Tasks whose counters are summed at once.
+FAN_IN = 64
+#: Shingles of partners that are compared with a centre in one run, and how many times its own set they hold at least.
+SALT_SHINGLES = 20_000
+SALT_TIMES = 16
+#: Bytes of sets that are sent at once.
+SEND_BYTES = 8_000_000
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
@@ -66,7 +72,7 @@ def _sketched(source: DataFrame, k: int) -> DataFrame:
     """One pass: a light row for each document, and each task's counters as compressed blocks."""
 
     def rows(batches):
-        counters = np.zeros(CELLS, dtype=np.uint16)
+        counters, task = np.zeros(CELLS, dtype=np.uint16), TaskContext.get().partitionId()
         for batch in batches:
             kind = batch.column(0).type
             n, names = [], []
@@ -78,26 +84,34 @@ def _sketched(source: DataFrame, k: int) -> DataFrame:
                     cells, c = np.unique(tokens & np.uint64(CELLS - 1), return_counts=True)
                     counters[cells] = np.minimum(counters[cells].astype(np.int64) + c, 65_535)
             empty = pa.nulls(len(n), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), empty, pa.nulls(len(n), pa.binary())], ["k", "n", "c", "block", "counters"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), empty, empty, pa.nulls(len(n), pa.binary())], ["k", "n", "c", "task", "block", "counters"])
         if counters.any():
             parts = [zlib.compress(p.tobytes(), 1) for p in counters.reshape(_BLOCKS, -1)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(_BLOCKS, kind), pa.nulls(_BLOCKS, pa.int64()), pa.nulls(_BLOCKS, pa.int64()), pa.array(range(_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["k", "n", "c", "block", "counters"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(_BLOCKS, kind), pa.nulls(_BLOCKS, pa.int64()), pa.nulls(_BLOCKS, pa.int64()), pa.array([task] * _BLOCKS, pa.int32()), pa.array(range(_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["k", "n", "c", "task", "block", "counters"])
 
-    return source.mapInArrow(rows, f"k {dict(source.dtypes)['k']}, n long, c long, block int, counters binary")
+    return source.mapInArrow(rows, f"k {dict(source.dtypes)['k']}, n long, c long, task int, block int, counters binary")
 
 
-def _order(passed: DataFrame) -> np.ndarray:
+def _order(passed: DataFrame, folder: str) -> np.ndarray:
     """The summed sketch: ``CELLS`` counters, 16 bits each."""
 
     def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(CELLS // _BLOCKS, dtype=np.int64)
         for part in rows.column("counters"):
             total += np.frombuffer(zlib.decompress(part.as_py()), dtype=np.uint16)
-        return pa.table({"block": rows.column("block")[:1], "counters": pa.array([np.minimum(total, 65_535).astype(np.uint16).tobytes()], pa.binary())})
-
+        return pa.table({"task": rows.column("task")[:1], "block": rows.column("block")[:1], "counters": pa.array([zlib.compress(np.minimum(total, 65_535).astype(np.uint16).tobytes(), 1)], pa.binary())})
+
+    counted = passed.where("block is not null").select("task", "block", "counters")
+    tasks = counted.agg(F.coalesce(F.max("task"), F.lit(0)).alias("n")).first()["n"] + 1
+    while True:
+        folded = counted.withColumn("task", F.expr(f"task div {FAN_IN}")).withColumn("task", F.col("task").cast("int"))
+        counted, tasks = folded.groupBy("task", "block").applyInArrow(add, "task int, block int, counters binary"), -(-tasks // FAN_IN)
+        if tasks == 1:
+            break
+        counted = written(counted, "counters", folder)
     out = np.zeros((_BLOCKS, CELLS // _BLOCKS), dtype=np.uint16)
-    for row in passed.where("block is not null").select("block", "counters").groupBy("block").applyInArrow(add, "block int, counters binary").collect():
-        out[row["block"]] = np.frombuffer(row["counters"], dtype=np.uint16)
+    for row in counted.collect():  # one row for each block of the sketch
+        out[row["block"]] = np.frombuffer(zlib.decompress(row["counters"]), dtype=np.uint16)
     return out.reshape(-1)
 
 
@@ -131,20 +145,19 @@ def _prefixes(source: DataFrame, k: int, percent: int, order: np.ndarray) -> Dat
     return source.select("body").mapInArrow(rows, "token long, c long, n int, at int, last long")
 
 
-def _linked(source: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs ``(u, v)`` of classes (``u`` the centre), those whose sets link. Each class sends its set from one document."""
-    salts = pairs.groupBy("u").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
+def _linked(source: DataFrame, pairs: DataFrame, k: int, percent: int, folder: str) -> DataFrame:
+    """Of the pairs ``(u, v, un, vn)`` of classes (``u`` the centre) and their sizes, those whose sets link. Each class sends its set from one document."""
+    run = F.greatest(F.lit(SALT_SHINGLES), SALT_TIMES * F.first("un"))
+    salts = pairs.groupBy("u").agg(F.ceil(F.sum("vn") / run).cast("int").alias("salts"))
     members = pairs.join(salts, "u").select(F.col("v").alias("c"), F.col("u").alias("centre"), F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"))
     centres = salts.select(F.col("u").alias("c"), F.col("u").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
     sends = members.unionByName(centres).groupBy("c").agg(F.collect_list(F.struct("centre", "salt", "kind")).alias("sends"))
-    sends = written(sends, "sends")
-    if sends.count() <= BROADCAST_ROWS:
-        sends = F.broadcast(sends)
-    sent = source.join(sends, "c")
+    sent = source.join(small(written(sends, "sends", folder)), "c")
 
     def sets(batches):
         for batch in batches:
             out: dict[str, list] = {"centre": [], "salt": [], "kind": [], "c": [], "tokens": []}
+            size = 0
             for body, name, to in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = shingle_set(body.as_py(), k)
                 if class_of(own) != name:  # another text under the same id
@@ -156,9 +169,10 @@ def _linked(source: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
                     out["kind"].append(x["kind"])
                     out["c"].append(name)
                     out["tokens"].append(tokens)
-                if len(out["c"]) >= 2_000:
-                    yield table(out)
-                    out = {x: [] for x in out}
+                    size += len(tokens)
+                    if size >= SEND_BYTES:
+                        yield table(out)
+                        out, size = {x: [] for x in out}, 0
             yield table(out)
 
     def table(out):
@@ -189,15 +203,20 @@ def _linked(source: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: ``key``, ``n_shingles``, ``class_id`` (equal sets) and ``component_id`` (smallest key reachable by links)."""
     ship_package(docs.sparkSession)
+    with scratch(docs.sparkSession) as folder:
+        return written(_components(docs, key, text, k, percent, folder), "classes")
+
+
+def _components(docs: DataFrame, key: str, text: str, k: int, percent: int, folder: str) -> DataFrame:
     plain = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("body"))
-    passed = written(_sketched(plain, k), "shingles")
+    passed = written(_sketched(plain, k), "shingles", folder)
     light = passed.where("block is null").select("k", "n", "c")
-    prefixes = _prefixes(plain, k, percent, _order(passed))
+    prefixes = _prefixes(plain, k, percent, _order(passed, folder))
     ends = F.struct("last", "c")
     lists = prefixes.groupBy("token").agg(F.max(ends).alias("a"), F.min(ends).alias("b")).where("a <> b").select("token", F.col("a.c").alias("pivot"))
-    lists = written(lists, "lists")
-    shared = written(prefixes.join(lists, "token").groupBy("token", "c").agg(*[F.first(x).alias(x) for x in ("n", "at", "last", "pivot")]), "shared")
-    heads = written(shared.groupBy("c").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.collect_list("token").alias("tokens")), "heads")
+    lists = written(lists, "lists", folder)
+    shared = written(prefixes.join(lists, "token").groupBy("token", "c").agg(*[F.first(x).alias(x) for x in ("n", "at", "last", "pivot")]), "shared", folder)
+    heads = written(shared.groupBy("c").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.collect_list("token").alias("tokens")), "heads", folder)
 
     # The document that sends a class's set: any of equal sets would do; the smallest id decides.
     senders = light.where("c is not null").groupBy("c").agg(F.min("k").alias("k"))
@@ -205,26 +224,26 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # Groups: each class of a token against the token's pivot.
     pivots = shared.where("c = pivot").select("token", F.col("c").alias("u"), F.col("n").alias("m"), F.col("at").alias("j"))
     near = shared.where("c <> pivot").select("token", F.col("c").alias("v"), "n", F.col("at").alias("i")).join(pivots, "token").where(_within("n", "i", "m", "j", percent))
-    pairs = written(_promising(near.select("u", "v").distinct(), heads, percent), "pairs")
-    groups = written(components(_linked(_sources(plain, senders, pairs, k), pairs, k, percent)).withColumnRenamed("node", "c").withColumnRenamed("component", "g"), "groups")
+    pairs = written(_promising(near.select("u", "v").distinct(), heads, percent), "pairs", folder)
+    groups = written(components(_linked(_sources(plain, senders, pairs, folder), pairs, k, percent, folder), folder).withColumnRenamed("node", "c").withColumnRenamed("component", "g"), "groups", folder)
 
     # The matrix: a token, and the groups and set sizes whose union holds it.
     grouped = shared.join(groups, "c", "left").select("token", "c", "n", "at", F.coalesce("g", "c").alias("g"))
     matrix = grouped.groupBy("token", "g", F.col("n").alias("m")).agg(F.min("at").alias("j"))
     several = matrix.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a < b").select("token")
-    grouped = written(grouped.join(several, "token"), "grouped")
+    grouped = written(grouped.join(several, "token"), "grouped", folder)
     matrix = grouped.groupBy("token", F.col("g").alias("other"), F.col("n").alias("m")).agg(F.min("at").alias("j"))
     opened = grouped.join(matrix, "token").where(F.col("other") < F.col("g")).where(_within("n", "at", "m", "j", percent)).select("token", F.col("c").alias("v"), "n", F.col("at").alias("i"), "other", "m")
     members = grouped.select("token", F.col("g").alias("other"), F.col("n").alias("m"), F.col("c").alias("u"), F.col("at").alias("j"))
     met = opened.join(members, ["token", "other", "m"]).where(_within("n", "i", "m", "j", percent)).select("u", "v").distinct()
-    more = written(_promising(met, heads, percent), "opened")
+    more = written(_promising(met, heads, percent), "opened", folder)
     named = groups
     if not more.isEmpty():
-        found = _linked(_sources(plain, senders, more, k), more, k, percent)
+        found = _linked(_sources(plain, senders, more, folder), more, k, percent, folder)
         old = groups.select("c", "g")
         ends = found.join(old.select(F.col("c").alias("u"), F.col("g").alias("gu")), "u", "left").join(old.select(F.col("c").alias("v"), F.col("g").alias("gv")), "v", "left")
         ends = ends.select(F.coalesce("gu", "u").alias("u"), F.coalesce("gv", "v").alias("v"))
-        over = written(components(ends), "over")
+        over = written(components(ends, folder), "over", folder)
         known = groups.join(over, F.col("g") == F.col("node"), "left").select("c", F.coalesce("component", "g").alias("g"))
         single = over.join(groups, F.col("node") == F.col("c"), "left_anti").select(F.col("node").alias("c"), F.col("component").alias("g"))
         named = known.unionByName(single).groupBy("c").agg(F.min("g").alias("g"))
@@ -251,13 +270,11 @@ def _promising(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     rows = pairs.join(ends[0], "u").join(ends[1], "v")
     rest = lambda n: F.ceil(F.lit(percent) * F.col(n) / F.lit(100)) - 1
     tail = F.when(F.col("ulast") < F.col("vlast"), rest("un")).when(F.col("ulast") > F.col("vlast"), rest("vn")).otherwise(F.greatest(rest("un"), rest("vn")) + 1)
-    return rows.where(F.size(F.array_intersect("utokens", "vtokens")) + tail >= _overlap(F.col("un"), F.col("vn"), percent)).select("u", "v")
+    return rows.where(F.size(F.array_intersect("utokens", "vtokens")) + tail >= _overlap(F.col("un"), F.col("vn"), percent)).select("u", "v", "un", "vn")
 
 
-def _sources(plain: DataFrame, senders: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+def _sources(plain: DataFrame, senders: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
     """``body, c`` of one document of each class in the pairs."""
     ids = pairs.select(F.col("u").alias("c")).unionByName(pairs.select(F.col("v").alias("c"))).distinct()
-    wanted = written(senders.join(ids, "c"), "senders")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = small(written(senders.join(ids, "c"), "senders", folder))
     return plain.join(wanted, plain["k"].eqNullSafe(wanted["k"])).select("body", "c")

@@ -97,10 +97,12 @@ def brute_components(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("broadcast", [500_000, 0])
-def test_jaccard_components_match_brute_force(docs, monkeypatch, broadcast):
-    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", broadcast)
-    monkeypatch.setattr(jaccard_join, "SALT_ROWS", 3)
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_jaccard_components_match_brute_force(docs, monkeypatch, shuffled):
+    if shuffled:
+        monkeypatch.setattr(jaccard_join, "small", lambda frame: frame)
+    for name, value in (("SALT_SHINGLES", 20), ("SALT_TIMES", 1), ("FAN_IN", 2), ("SEND_BYTES", 5_000)):
+        monkeypatch.setattr(jaccard_join, name, value)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect()}
     assert got == brute_components(corpus())
 
