@@ -93,7 +93,8 @@ def _routed(phrases: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     pairs = written(met.join(equal, "r", "left").select("shard", "r", F.coalesce("rows", F.lit(1)).alias("rows")), "pairs", folder)
     copies = written(pairs.groupBy("shard").agg(F.ceil(F.sum("rows") / SALT_DOCUMENTS).cast("int").alias("copies")), "copies", folder)
     sends = pairs.join(copies, "shard").groupBy("r").agg(F.collect_list(F.struct("shard", "copies")).alias("sends"))
-    supplies = placed.join(copies, "shard").groupBy(F.col("home").alias("r")).agg(F.collect_list(F.struct("phrase", "shard", "copies")).alias("supplies"))
+    lists = placed.groupBy("home", "shard").agg(F.collect_list("phrase").alias("phrases")).join(copies, "shard")
+    supplies = lists.groupBy(F.col("home").alias("r")).agg(F.collect_list(F.struct("shard", "copies", "phrases")).alias("supplies"))
     return written(sends, "sends", folder), written(supplies, "supplies", folder)
 
 
@@ -106,8 +107,9 @@ def _supplied(source: DataFrame, supplies: DataFrame) -> DataFrame:
                 body = batch.column(0)[i].as_py()
                 words = space_words(body)
                 at = dict(zip(signed(gram_hashes(hashed_words(body), PHRASE)).tolist(), range(len(words)), strict=False))
-                texts = [b" ".join(words[p : p + PHRASE]) for p in (at[x["phrase"]] for x in wanted)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in wanted], kind) for n, kind in (("phrase", pa.int64()), ("shard", pa.int64()), ("copies", pa.int32()))] + [pa.array(texts, pa.binary())], ["phrase", "shard", "copies", "body"])
+                for x in wanted:
+                    n, texts = len(x["phrases"]), [b" ".join(words[p : p + PHRASE]) for p in map(at.__getitem__, x["phrases"])]
+                    yield pa.RecordBatch.from_arrays([pa.array(x["phrases"], pa.int64()), pa.array([x["shard"]] * n, pa.int64()), pa.array([x["copies"]] * n, pa.int32()), pa.array(texts, pa.binary())], ["phrase", "shard", "copies", "body"])
 
     given = source.join(small(supplies), "r").select("body", "supplies").mapInArrow(rows, "phrase long, shard long, copies int, body binary")
     once = given.groupBy("phrase").agg(*[F.first(x).alias(x) for x in ("shard", "copies", "body")])
