@@ -1,19 +1,26 @@
-"""Inspection of payloads and drafting of conversions: samples, field paths, candidates, proposals."""
+"""Inspection of payloads and drafting of conversions: samples, field paths, candidates, proposals, each for every log."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logweave.operators.mapping import base_name
-
 EPISODE = "episode_id"
-#: Names of image fields, and words of topics that carry images.
-IMAGE_KEYS = ("data", "encoding", "format", "height", "image", "width")
-IMAGE_WORDS = "image|camera|rgb|depth"
+#: Words of paths and topics that carry images, last names of image contents, keys that tell an image struct.
+IMAGE_PATHS = "image|rgb|bgr"
+IMAGE_TOPICS = "image|camera|rgb|bgr"
+IMAGE_TAILS = ("data", "pixels", "frame")
+IMAGE_STRUCTS = (("width", "height", "encoding"), ("width", "height", "data"))
+#: Last names of what describes an image, and types of features that have a zero.
+IMAGE_METADATA = ("width", "height", "encoding", "format", "step", "stride", "channels")
+ZEROED = ("int64", "float32", "float64", "bool")
+#: Levels of lists in lists whose lengths are read.
+SHAPE_LEVELS = 6
+SUMMARY_ITEMS = 8
 
 
 def first_samples(messages: DataFrame, n: int) -> DataFrame:
@@ -22,115 +29,254 @@ def first_samples(messages: DataFrame, n: int) -> DataFrame:
     return messages.withColumn("_n", at).where(F.col("_n") <= n).drop("_n")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _list(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
+def _kind(v: Column) -> Column:
+    """What a value is: null, bool, int, float, bytes (an envelope), str, sequence or struct.
+
+    A number of up to 18 digits is only read as a decimal if it is written with a fraction (``1.0``), so that is a float.
+    """
+    return _let(
+        F.schema_of_variant(v),
+        lambda schema: F.when(v.isNull() | (schema == "VOID"), "null")
+        .when(schema.startswith("OBJECT"), F.when(F.coalesce(F.try_variant_get(v, "$.__bytes__", "boolean"), F.lit(False)), "bytes").otherwise("struct"))
+        .when(schema.startswith("ARRAY"), "sequence")
+        .when(schema == "BOOLEAN", "bool")
+        .when(schema.rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\((19|[23]\d),0\))$"), "int")
+        .when(schema.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "float")
+        .otherwise("str"),
+    )
+
+
+def _shape(v: Column, items: int, levels: int = SHAPE_LEVELS) -> Column:
+    """Lengths of nested lists: where the first ``items`` differ inside, -1; null for what is no list."""
+
+    def inside(children: Column) -> Column:
+        first = F.get(children, F.lit(0))
+        return F.when(F.size(children) == 0, F.array().cast("array<int>")).when(F.forall(children, lambda s: s == first), first).otherwise(F.transform(first, lambda _: F.lit(-1)))
+
+    def of(values: Column) -> Column:
+        children = F.filter(F.transform(F.slice(values, 1, items), lambda x: _shape(x, items, levels - 1)), lambda s: s.isNotNull())
+        return F.when(values.isNotNull(), F.concat(F.array(F.size(values)), _let(children, inside)))
+
+    return F.lit(None).cast("array<int>") if levels == 0 else _let(_list(v), of)
+
+
+def _summary(kind: Column, v: Column, keys: Column, values: Column) -> Column:
+    """An example as text: scalars as they are, structs by their first keys, lists by their length and first items."""
+    cut = lambda x: F.when(F.size(x) > SUMMARY_ITEMS, F.lit(True)).alias("truncated")
+    return (
+        F.when(kind == "struct", F.to_json(F.struct(F.lit("dict").alias("kind"), F.slice(keys, 1, SUMMARY_ITEMS).alias("keys"), cut(keys))))
+        .when(kind == "sequence", F.to_json(F.struct(F.lit("list").alias("kind"), F.size(values).alias("length"), F.slice(values, 1, SUMMARY_ITEMS).alias("preview"), cut(values))))
+        .when(kind == "bytes", F.to_json(v))
+        .when(kind != "null", F.try_variant_get(v, "$", "string"))
+    )
+
+
+def is_image(topic: Column, path: Column, kind: Column, keys: Column) -> Column:
+    """Whether a value looks like an image: by its path, by its last name in an image topic, as bytes, or by its keys."""
+    tail = F.lower(F.substring_index(path, ".", -1))
+    of_topic, of_tail = F.lower(topic).rlike(IMAGE_TOPICS), tail.isin(*IMAGE_TAILS)
+    names = F.transform(keys, F.lower)
+    described = reduce(lambda a, b: a | b, [F.size(F.array_intersect(names, F.array(*map(F.lit, own)))) == len(own) for own in IMAGE_STRUCTS])
+    by_bytes = (kind == "bytes") & (of_tail | (tail == "image") | of_topic)
+    return F.lower(path).rlike(IMAGE_PATHS) | (of_tail & of_topic) | by_bytes | F.coalesce((kind == "struct") & of_tail & described, F.lit(False))
+
+
 def walk(samples: DataFrame, max_depth: int = 4, items: int = 4) -> DataFrame:
-    """``topic, path, depth, kind, size, value``: every field of every payload, level by level.
+    """One row for every value of every payload, level by level.
 
-    ``kind`` is null, bool, int64, float64, bytes, text, sequence or struct. Of lists the first ``items`` are entered
-    (as ``path.0``, ...) when they hold structs or lists; lists of scalars are one observation with their size.
+    ``episode_id, topic, ts_ns, seq, path, depth, mode`` (null, scalar, sequence or struct), ``scalars`` (kinds of a scalar, or of
+    a list's first ``items``), ``nulls`` (it, or its first items), ``shape, example, deep`` (not entered for its depth) and
+    ``image``.  Lists and structs among a list's first items are entered as ``path.0``, ...; a payload that is itself a scalar
+    has the path ``__root__``.
     """
-    level = samples.select("topic", F.lit("").alias("path"), F.lit(0).alias("depth"), F.try_parse_json("payload").alias("v"))
+    level = samples.select(EPISODE, "topic", "ts_ns", "seq", F.lit("").alias("path"), F.try_parse_json("payload").alias("v"))
     out: list[DataFrame] = []
     for depth in range(max_depth + 1):
-        named = level.withColumn("schema", F.schema_of_variant("v"))
-        marked = F.coalesce(F.try_variant_get("v", "$.__bytes__", "boolean"), F.lit(False))
-        kind = (
-            F.when(F.col("v").isNull() | (F.col("schema") == "VOID"), "null")
-            .when(F.col("schema").startswith("OBJECT") & marked, "bytes")
-            .when(F.col("schema").startswith("OBJECT"), "struct")
-            .when(F.col("schema").startswith("ARRAY"), "sequence")
-            .when(F.col("schema") == "BOOLEAN", "bool")
-            .when(F.col("schema").rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))$"), "int64")
-            .when(F.col("schema").rlike("^(DECIMAL|DOUBLE|FLOAT)"), "float64")
-            .otherwise("text")
+        kind, entered = F.col("kind"), F.lit(depth < max_depth)
+        fields = F.try_variant_get("v", "$", "map<string,variant>")
+        named = level.withColumn("kind", _kind(F.col("v"))).withColumns({"fields": F.when(kind == "struct", fields), "values": F.when(kind == "sequence", _list(F.col("v")))})
+        named = named.withColumns({"keys": F.map_keys("fields"), "first": F.slice("values", 1, items)}).withColumn("kinds", F.transform("first", _kind))
+        compound = kind.isin("struct", "sequence")
+        scalar = ~compound & (kind != "null")
+        inner = F.filter("kinds", lambda k: ~k.isin("null", "struct", "sequence"))
+        place = F.when(F.col("path") == "", F.lit("__root__")).otherwise(F.col("path"))
+        seen = named if depth else named.where(scalar)
+        out.append(
+            seen.select(
+                EPISODE,
+                "topic",
+                "ts_ns",
+                "seq",
+                place.alias("path"),
+                F.lit(depth).alias("depth"),
+                F.when(scalar, "scalar").otherwise(kind).alias("mode"),
+                F.when(scalar, F.array(kind)).when((kind == "sequence") & entered, inner).otherwise(F.array().cast("array<string>")).alias("scalars"),
+                F.when(kind == "null", 1).when((kind == "sequence") & entered, F.size(F.filter("kinds", lambda k: k == "null"))).otherwise(0).alias("nulls"),
+                F.when(kind == "sequence", _shape(F.col("v"), items)).alias("shape"),
+                _summary(kind, F.col("v"), F.col("keys"), F.col("values")).alias("example"),
+                (compound & ~entered).alias("deep"),
+                F.coalesce((kind != "null") & is_image(F.col("topic"), place, kind, F.col("keys")), F.lit(False)).alias("image"),
+            )
         )
-        named = named.withColumn("kind", kind)
-        array = F.try_variant_get("v", "$", "array<variant>")
-        out.append(named.where("depth > 0").select("topic", "path", "depth", "kind", "schema", F.when(F.col("kind") == "sequence", F.size(array)).alias("size"), F.when(~F.col("kind").isin("struct", "sequence", "null"), F.try_variant_get("v", "$", "string")).alias("value")))
         if depth == max_depth:
             break
-        inside = F.col("schema").rlike("^ARRAY<(OBJECT|ARRAY)")
-        fields = F.try_variant_get("v", "$", "map<string,variant>")
-        each = F.when(F.col("kind") == "struct", F.map_entries(fields)).when(inside, F.transform(F.slice(array, 1, items), lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value"))))
-        level = named.select("topic", "path", "depth", F.explode(each).alias("e")).select("topic", F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), "e.key").alias("path"), (F.col("depth") + 1).alias("depth"), F.col("e.value").alias("v"))
+        listed = F.filter(F.transform("first", lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value"))), lambda e: _kind(e["value"]).isin("struct", "sequence"))
+        each = F.explode(F.when(kind == "struct", F.map_entries("fields")).otherwise(listed)).alias("e")
+        level = named.select(EPISODE, "topic", "ts_ns", "seq", "path", each).select(EPISODE, "topic", "ts_ns", "seq", F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), "e.key").alias("path"), F.col("e.value").alias("v"))
     return reduce(DataFrame.unionByName, out)
 
 
-def is_image(topic: Column, path: Column) -> Column:
-    """Whether a field looks like part of an image, by its last name or its topic."""
-    return F.lower(F.substring_index(path, ".", -1)).isin(*IMAGE_KEYS) | F.lower(topic).rlike(IMAGE_WORDS)
+def _words(*words: str) -> Column:
+    return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
+
+
+def _merged_shape(shapes: Column) -> Column:
+    """The lengths that all shapes have at a level, -1 where they differ; null without shapes."""
+    places = F.sequence(F.lit(0), F.array_max(F.transform(shapes, F.size)) - 1)
+
+    def dim(i: Column) -> Column:
+        return _let(F.array_distinct(F.filter(F.transform(shapes, lambda s: F.get(s, i)), lambda d: d.isNotNull())), lambda dims: F.when(F.size(dims) == 1, F.get(dims, F.lit(0))).otherwise(F.lit(-1)))
+
+    return F.when(F.size(shapes) > 0, F.transform(places, dim))
 
 
 def candidates(walked: DataFrame) -> DataFrame:
-    """One row per topic and field that can be a feature: type, size, nullability, up to three examples, confidence."""
-    seen = walked.where("kind <> 'struct'").groupBy("topic", "path").agg(
-        F.min("depth").alias("depth"),
+    """One row per episode, topic and path that can be a feature.
+
+    ``kind`` (image, sequence, bytes, scalar, struct or unknown), ``observed, nullable, dtypes`` (the likeliest first), ``shape,
+    variable_length, image_like, examples`` (the first three), ``confidence`` and ``warnings``.  What is gathered of a path is
+    bounded by the samples of its topic.
+    """
+    at = F.struct("ts_ns", "seq", "example")
+    seen = walked.groupBy(EPISODE, "topic", "path").agg(
         F.count("*").alias("observed"),
-        F.count_if(F.col("kind") == "null").alias("nulls"),
-        F.array_sort(F.collect_set(F.when(F.col("kind") != "null", F.col("kind")))).alias("kinds"),
-        F.max("schema").alias("schema"),
-        F.min("size").alias("least"),
-        F.max("size").alias("most"),
-        F.slice(F.array_sort(F.collect_set("value")), 1, 3).alias("examples"),
+        F.sum("nulls").alias("nulls"),
+        F.array_sort(F.collect_set(F.when(F.col("mode") != "null", F.col("mode")))).alias("modes"),
+        F.array_distinct(F.flatten(F.collect_list("scalars"))).alias("scalars"),
+        F.collect_set("shape").alias("shapes"),
+        F.transform(F.slice(F.array_sort(F.collect_list(at)), 1, 3), lambda x: x["example"]).alias("examples"),
+        F.max("deep").alias("deep"),
+        F.max("image").alias("image_like"),
     )
-    kinds = F.col("kinds")
-    element = F.when(F.col("schema").rlike("BIGINT|INT|,0\\)"), "int64").when(F.col("schema").rlike("DECIMAL|DOUBLE|FLOAT"), "float64").when(F.col("schema").contains("BOOLEAN"), "bool").otherwise("json")
-    dtype = (
-        F.when(kinds == F.array(F.lit("sequence")), element)
-        .when(kinds == F.array(F.lit("bool")), "bool")
-        .when(kinds == F.array(F.lit("int64")), "int64")
-        .when((F.size(kinds) > 0) & (F.size(F.array_except(kinds, F.array(F.lit("int64"), F.lit("float64")))) == 0), "float64")
-        .when(kinds == F.array(F.lit("bytes")), "bytes")
-        .otherwise("json")
+    scalars, modes, image = F.col("scalars"), F.col("modes"), F.col("image_like")
+    only = lambda *kinds: F.size(F.array_except(scalars, _words(*kinds))) == 0
+    dtypes = (
+        F.when(image, _words("bytes"))
+        .when(F.size(scalars) == 0, _words("json"))
+        .when(only("bool"), _words("bool"))
+        .when(only("int"), _words("int64"))
+        .when(only("int", "float"), _words("float32", "float64"))
+        .when(only("bytes"), _words("bytes"))
+        .when(only("str"), _words("bytes", "json"))
+        .otherwise(_words("json"))
     )
-    share = (F.col("observed") - F.col("nulls")) / F.col("observed")
+    has = lambda mode: F.array_contains(modes, mode)
+    kind = F.when(image & (has("scalar") | has("sequence")), "image").when(has("sequence"), "sequence").when(has("scalar"), F.when(only("bytes", "str"), "bytes").otherwise("scalar")).when(has("struct"), "struct").otherwise("unknown")
+    seen = seen.withColumns({"shape": _merged_shape(F.col("shapes")), "dtypes": dtypes, "kind": kind})
+    variable = F.coalesce(F.array_contains("shape", -1), F.lit(False))
+    several = F.size("modes") + F.greatest(F.lit(1), F.size("scalars")) - 1
+    sure = F.least(F.lit(1.0), F.greatest(F.lit(0.25), 1 - 0.15 * F.greatest(F.lit(0), several)))
+    warned = F.array_compact(F.array(F.when(F.col("deep"), "max depth reached"), F.when(F.size("shapes") > 1, "observed shape varies across samples")))
     return seen.select(
+        EPISODE,
         "topic",
         "path",
-        "depth",
+        "kind",
         "observed",
         (F.col("nulls") > 0).alias("nullable"),
-        dtype.alias("dtype"),
-        F.when(F.col("least") == F.col("most"), F.col("least")).when(F.col("least").isNotNull(), -1).alias("dim"),
-        F.coalesce(F.col("least") != F.col("most"), F.lit(False)).alias("variable_length"),
+        "dtypes",
+        "shape",
+        variable.alias("variable_length"),
+        "image_like",
         "examples",
-        F.round(F.when(F.size(kinds) > 1, share * 0.5).otherwise(share), 4).alias("confidence"),
-        is_image(F.col("topic"), F.col("path")).alias("image_like"),
+        F.round(F.when(F.col("shape").isNotNull() & ~variable, F.least(F.lit(1.0), sure + 0.1)).otherwise(sure), 4).alias("confidence"),
+        warned.alias("warnings"),
     )
 
 
 def topic_report(samples: DataFrame) -> DataFrame:
-    """Samples, first and last time and the candidate fields of each topic."""
-    times = samples.groupBy("topic").agg(F.count("*").alias("samples"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"))
-    fields = candidates(walk(samples)).groupBy("topic").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "dtype")))).alias("fields"))
-    return times.join(fields, "topic", "left")
+    """Samples, times, first payload, candidate fields and warnings of each topic of each episode."""
+    v = F.try_parse_json("payload")
+    summary = _let(_kind(v), lambda kind: _summary(kind, v, F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), _list(v)))
+    first = F.struct("ts_ns", "seq")
+    times = samples.groupBy(EPISODE, "topic").agg(F.count("*").alias("samples"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), F.array_sort(F.collect_list("ts_ns")).alias("times"), F.min_by(summary, first).alias("preview"))
+    fields = candidates(walk(samples)).groupBy(EPISODE, "topic").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "dtypes")))).alias("fields"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("warnings")))).alias("warnings"))
+    return times.join(fields, [EPISODE, "topic"], "left")
+
 
+def _topics(samples: DataFrame) -> DataFrame:
+    """``episode_id, topic, samples, began``: the topics of each log, which count in the order of their first messages."""
+    return samples.groupBy(EPISODE, "topic").agg(F.count("*").alias("samples"), F.min(F.struct("ts_ns", "seq")).alias("began"))
 
-def trigger_choice(samples: DataFrame) -> DataFrame:
-    """``episode_id, topic``: the topic that sets the pace: image-like first, then most samples, then by name."""
-    counted = samples.groupBy(EPISODE, "topic").agg(F.count("*").alias("n"), F.max(F.coalesce(F.lower("msgtype").contains("image"), F.lit(False)) | F.lower("topic").rlike(IMAGE_WORDS)).alias("image"))
-    return counted.groupBy(EPISODE).agg(F.min_by("topic", F.struct((~F.col("image")).alias("a"), (-F.col("n")).alias("b"), "topic")).alias("topic"))
+
+def trigger_choice(samples: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """``episode_id, topic``: the topic that sets the pace: most image-like fields, then most fields, then most samples, then the first."""
+    found = candidates(walk(samples)) if found is None else found
+    counted = found.groupBy(EPISODE, "topic").agg(F.count_if("image_like").alias("images"), F.count("*").alias("fields"))
+    scored = _topics(samples).join(counted, [EPISODE, "topic"], "left").na.fill(0, ["images", "fields"])
+    least = F.struct(-F.col("images"), -F.col("fields"), -F.col("samples"), "began")
+    return scored.groupBy(EPISODE).agg(F.min_by("topic", least).alias("topic"))
 
 
 def top_candidates(found: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best fields of each topic: image data, shallow, sure, many examples; equals by path. ``rank`` from 1."""
-    order = W.partitionBy("topic").orderBy(F.col("image_like").desc(), "depth", F.col("confidence").desc(), F.size("examples").desc(), "path")
-    ranked = found.withColumn("image_like", F.col("image_like") & F.col("dtype").isin("bytes", "json")).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k)
+    """The ``k`` best fields of each topic, ``rank`` from 1: contents of images, buttons, axes, bytes, lists, scalars, others;
+    then the deepest, surest, those with the fewest examples, and by path."""
+    tail, path, kind = F.lower(F.substring_index("path", ".", -1)), F.col("path"), F.col("kind")
+    base = F.when(tail.isin(*IMAGE_TAILS) & kind.isin("bytes", "scalar", "sequence", "image"), 0).when(path.endswith("buttons"), 1).when(path.endswith("axes"), 2).when(kind == "bytes", 3).when(kind == "sequence", 4).when(kind == "scalar", 5).otherwise(6)
+    metadata = F.when(F.col("image_like") & tail.isin(*IMAGE_METADATA), 10).otherwise(0)
+    order = W.partitionBy(EPISODE, "topic").orderBy(base + metadata, -F.size(F.split(path, r"\.")), F.col("confidence").desc(), F.size("examples"), "path")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _feature_name(path: Column, image: Column, topic: Column) -> Column:
+    tail = F.lower(F.substring_index(path, ".", -1))
+    name = F.when(image & tail.isin(*IMAGE_TAILS), "image").when(path.endswith("buttons"), "buttons").when(path.endswith("axes"), "axes").otherwise(F.coalesce(path, topic))
+    plain = F.lower(F.regexp_replace(F.regexp_replace(name, "[^a-zA-Z0-9]+", "_"), "^_+|_+$", ""))
+    return F.when(plain == "", "feature").otherwise(plain)
+
+
+def _numbered(rows: Column) -> Column:
+    """The structs with ``name`` made unique in their order: a taken name gets the first free number from 2 on."""
 
+    def place(done: Column, row: Column) -> Column:
+        taken = F.transform(done, lambda x: x["name"])
+        tries = F.transform(F.sequence(F.lit(1), F.size(done) + 1), lambda i: F.when(i == 1, row["name"]).otherwise(F.concat(row["name"], F.lit("_"), i.cast("string"))))
+        return F.concat(done, F.array(row.withField("name", F.get(F.filter(tries, lambda t: ~F.array_contains(taken, t)), F.lit(0)))))
 
-def proposals(best: DataFrame) -> DataFrame:
-    """Feature name, type, shape and what to do when it is missing, for each candidate."""
-    name = F.concat_ws("_", base_name(F.col("topic")), base_name(F.col("path")))
-    again = F.row_number().over(W.partitionBy("_name").orderBy("topic", "path"))
-    out = best.withColumn("_name", name).withColumn("_again", again)
-    missing = F.when(F.col("dtype").isin("int64", "float64", "bool"), "zeros").otherwise("null")
-    return out.select("topic", F.when(F.col("_again") == 1, F.col("_name")).otherwise(F.concat_ws("_", "_name", F.col("_again").cast("string"))).alias("name"), "path", "dtype", F.when(F.col("dim").isNotNull(), F.array("dim")).alias("shape"), missing.alias("missing"))
+    return F.aggregate(rows, F.slice(rows, 1, 0), place)
+
+
+def proposals(best: DataFrame, samples: DataFrame) -> DataFrame:
+    """Feature name (unique in its log), type, shape, transforms and what to do when it is missing, for each candidate.
+
+    A topic without candidates is proposed as a whole, as JSON.
+    """
+    rows = _topics(samples).join(best, [EPISODE, "topic"], "left").withColumn("path", F.when(F.col("path") != "__root__", F.col("path")))
+    path, dtypes = F.coalesce("path", F.lit("")), F.coalesce("dtypes", _words("json"))
+    first = F.get(dtypes, F.lit(0))
+    dtype = F.when(F.col("image_like"), "bytes").when(path.endswith("axes") & F.array_contains(dtypes, "float32"), "float32").when(path.endswith("buttons") & F.array_contains(dtypes, "int64"), "int64").when((first == "bytes") & (F.size(dtypes) > 1), "json").otherwise(first)
+    rows = rows.withColumns({"dtype": dtype, "name": _feature_name(F.col("path"), F.coalesce("image_like", F.lit(False)), F.col("topic"))})
+    zeroed = F.col("dtype").isin(*ZEROED)
+    exact = F.when((F.col("kind") == "sequence") & (F.get("shape", F.lit(0)) >= 0), F.concat(F.lit("length:"), F.get("shape", F.lit(0)).cast("string")))
+    made = F.array_compact(F.array(exact, F.when(zeroed, F.concat(F.lit("cast:"), F.col("dtype")))))
+    columns = ["topic", "name", "path", "dtype", F.when(F.col("kind").isin("sequence", "image"), F.col("shape")).alias("shape"), made.alias("transforms"), F.when(zeroed, "zeros").otherwise("default").alias("missing")]
+    each = F.array_sort(F.collect_list(F.struct("began", "topic", "rank", F.struct(*columns).alias("f"))))
+    in_order = rows.groupBy(EPISODE).agg(F.transform(each, lambda x: x["f"]).alias("fs"))
+    return in_order.select(EPISODE, F.inline(_numbered(F.col("fs"))))
 
 
 def drafts(samples: DataFrame, k: int) -> DataFrame:
-    """The proposed conversion of every log: its topics' features, and whether each topic triggers or joins."""
-    best = proposals(top_candidates(candidates(walk(samples)), k))
-    topics = samples.select(EPISODE, "topic").distinct()
-    chosen = trigger_choice(samples).withColumnRenamed("topic", "trigger")
-    rows = topics.join(best, "topic").join(chosen, EPISODE)
-    return rows.withColumn("role", F.when(F.col("topic") == F.col("trigger"), "trigger").otherwise("join")).drop("trigger")
+    """The proposed conversion of every log: its topics' features, and whether each topic triggers (and is required) or joins."""
+    found = candidates(walk(samples))
+    rows = proposals(top_candidates(found, k), samples)
+    chosen = trigger_choice(samples, found).withColumnRenamed("topic", "trigger")
+    return rows.join(chosen, EPISODE).withColumn("role", F.when(F.col("topic") == F.col("trigger"), "trigger").otherwise("join")).withColumn("required", F.col("role") == "trigger").drop("trigger")

@@ -243,67 +243,124 @@ def first_samples(spark, sf_dir):
 _INS = """, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episode_id, topic ORDER BY ts_ns, seq) AS rn FROM msg) WHERE rn <= 4)"""
 
 
-@query("ins2_field_paths", _INS + " SELECT topic, 'value' AS path, 1 AS depth, count(*) AS n FROM s GROUP BY 1 UNION ALL SELECT topic, 'k', 1, count(*) FROM s GROUP BY 1")
+def rich(spark, sf_dir):
+    """The messages with payloads that differ by topic: images, lists of lists, mixed and missing values, deep structs."""
+    k, value = (F.get_json_object("payload", f"$.{name}") for name in ("k", "value"))
+    made = {
+        "/click": ('{"image":{"data":{"__bytes__":true,"encoding":"base64","value":"AA=="},"height":2,"width":', k, "}}"),
+        "/view": ('{"height":', k, ',"pose":{"x":', value, ',"tag":"t"}}'),
+        "/purchase": ('{"buttons":', F.to_json(F.array_repeat(F.lit(1), k.cast("int") % 3)), ',"axes":[', value, ',0.5],"grid":[[1,2],[', k, "]]}"),
+        "/signup": ('{"mixed":', F.when(k.cast("int") % 2 == 0, k).otherwise(value), ',"maybe":', F.when(k.cast("int") % 5 == 0, "null").otherwise("true"), "}"),
+        "/error": ('{"deep":{"a":{"b":{"c":{"d":1}}}},"note":"text"}',),
+    }
+    payload = F.lit(None).cast("string")
+    for topic, parts in made.items():
+        payload = F.when(F.col("topic") == topic, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])).otherwise(payload)
+    return messages(spark, sf_dir).withColumn("payload", payload)
+
+
+def rich_samples(spark, sf_dir):
+    return inspection.first_samples(rich(spark, sf_dir), 4)
+
+
+#: What the payloads of ``rich`` hold, by the rules of inspection: a row for each field of each topic of each episode.
+_RICH = _INS + """, g AS (SELECT episode_id, topic, count(*) AS n, min(k % 3) AS least, max(k % 3) AS most, count_if(k % 2 = 0) AS even, count_if(k % 5 = 0) AS nulls, min((ts_ns, seq)) AS began FROM s GROUP BY 1, 2),
+    v(topic, path, kind, dtypes, shape, image_like, warning) AS (VALUES
+        ('/click', 'image', 'struct', ['bytes'], NULL::INT[], TRUE, ''), ('/click', 'image.data', 'image', ['bytes'], NULL, TRUE, ''), ('/click', 'image.height', 'image', ['bytes'], NULL, TRUE, ''), ('/click', 'image.width', 'image', ['bytes'], NULL, TRUE, ''),
+        ('/view', 'height', 'scalar', ['int64'], NULL, FALSE, ''), ('/view', 'pose', 'struct', ['json'], NULL, FALSE, ''), ('/view', 'pose.x', 'scalar', ['float32', 'float64'], NULL, FALSE, ''), ('/view', 'pose.tag', 'bytes', ['bytes', 'json'], NULL, FALSE, ''),
+        ('/purchase', 'axes', 'sequence', ['float32', 'float64'], [2], FALSE, ''), ('/purchase', 'grid', 'sequence', ['json'], [2, -1], FALSE, ''), ('/purchase', 'grid.0', 'sequence', ['int64'], [2], FALSE, ''), ('/purchase', 'grid.1', 'sequence', ['int64'], [1], FALSE, ''),
+        ('/error', 'deep', 'struct', ['json'], NULL, FALSE, ''), ('/error', 'deep.a', 'struct', ['json'], NULL, FALSE, ''), ('/error', 'deep.a.b', 'struct', ['json'], NULL, FALSE, ''), ('/error', 'deep.a.b.c', 'struct', ['json'], NULL, FALSE, 'max depth reached'), ('/error', 'note', 'bytes', ['bytes', 'json'], NULL, FALSE, '')),
+    f AS (SELECT episode_id, topic, n, began, path, kind, 0 AS nulls_, dtypes, shape, image_like, 2 AS modes, warning FROM g JOIN v USING (topic)
+        UNION ALL SELECT episode_id, topic, n, began, 'buttons', 'sequence', 0, CASE WHEN most > 0 THEN ['int64'] ELSE ['json'] END, [CASE WHEN least = most THEN least ELSE -1 END], FALSE, 2, CASE WHEN least < most THEN 'observed shape varies across samples' ELSE '' END FROM g WHERE topic = '/purchase'
+        UNION ALL SELECT episode_id, topic, n, began, 'mixed', 'scalar', 0, CASE WHEN even = n THEN ['int64'] ELSE ['float32', 'float64'] END, NULL, FALSE, CASE WHEN even = n OR even = 0 THEN 2 ELSE 3 END, '' FROM g WHERE topic = '/signup'
+        UNION ALL SELECT episode_id, topic, n, began, 'maybe', CASE WHEN nulls = n THEN 'unknown' ELSE 'scalar' END, nulls, CASE WHEN nulls = n THEN ['json'] ELSE ['bool'] END, NULL, FALSE, CASE WHEN nulls = n THEN 1 ELSE 2 END, '' FROM g WHERE topic = '/signup'),
+    c AS (SELECT *, coalesce(list_contains(shape, -1), FALSE) AS variable_length, CAST(round(least(1.0, 1 - 0.15 * (modes - 1) + CASE WHEN shape IS NOT NULL AND NOT list_contains(shape, -1) THEN 0.1 ELSE 0 END), 4) AS DOUBLE) AS confidence FROM f),
+    top AS (SELECT *, row_number() OVER (PARTITION BY episode_id, topic ORDER BY CASE path WHEN 'image.data' THEN 0 WHEN 'buttons' THEN 1 WHEN 'axes' THEN 2 WHEN 'image.height' THEN 16 WHEN 'image.width' THEN 16
+            ELSE CASE kind WHEN 'bytes' THEN 3 WHEN 'sequence' THEN 4 WHEN 'scalar' THEN 5 ELSE 6 END END, -len(string_split(path, '.')), confidence DESC, least(n, 3), path) AS rank FROM c),
+    trig AS (SELECT episode_id, arg_min(topic, (-images, -fields, -n, began)) AS topic FROM (SELECT episode_id, topic, n, began, count_if(image_like) AS images, count(*) AS fields FROM c GROUP BY 1, 2, 3, 4) GROUP BY 1),
+    prop AS (SELECT episode_id, topic, path, CASE WHEN path = 'image' THEN 'image_2' WHEN path = 'image.data' THEN 'image' ELSE replace(path, '.', '_') END AS name,
+            CASE WHEN image_like THEN 'bytes' WHEN dtypes[1] = 'bytes' THEN 'json' ELSE dtypes[1] END AS dtype, CASE WHEN kind IN ('sequence', 'image') THEN shape END AS shape FROM top WHERE rank <= 2)"""
+#: Lists and numbers as text, as both engines write them.
+_TEXT = "array_to_string(dtypes, ',') AS dtypes, coalesce(array_to_string(shape, ','), '-') AS shape"
+
+
+def texts(frame, *names):
+    """Columns of lists as text, `-` for null."""
+    return frame.withColumns({n: F.coalesce(F.array_join(F.col(n).cast("array<string>"), ","), F.lit("-")) for n in names})
+
+
+@query("ins2_field_paths", _RICH + " SELECT episode_id, topic, path, CAST(len(string_split(path, '.')) AS INT) AS depth, n FROM c")
 def field_paths(spark, sf_dir):
-    walked = inspection.walk(inspection.first_samples(messages(spark, sf_dir), 4))
-    return walked.where("kind <> 'struct'").groupBy("topic", "path", "depth").agg(F.count("*").alias("n"))
+    return inspection.walk(rich_samples(spark, sf_dir)).groupBy("episode_id", "topic", "path", "depth").agg(F.count("*").alias("n"))
 
 
-@query("ins3_scalar_kinds", _INS + " SELECT topic, 'value' AS path, 'float64' AS dtype FROM s GROUP BY 1 UNION ALL SELECT topic, 'k', 'int64' FROM s GROUP BY 1")
+@query("ins3_scalar_kinds", _RICH + " SELECT episode_id, topic, path, kind, array_to_string(dtypes, ',') AS dtypes FROM c")
 def scalar_kinds(spark, sf_dir):
-    return inspection.candidates(inspection.walk(inspection.first_samples(messages(spark, sf_dir), 4))).select("topic", "path", "dtype")
+    return texts(inspection.candidates(inspection.walk(rich_samples(spark, sf_dir))), "dtypes").select("episode_id", "topic", "path", "kind", "dtypes")
+
+
+def _listed(rows):
+    k = F.get_json_object("payload", "$.k").cast("int")
+    return rows.withColumn("payload", F.to_json(F.struct(F.array_repeat(F.lit(1), k % 3).alias("list"))))
 
 
 @query("ins4_shape_merge", " SELECT topic, 'list' AS path, CASE WHEN min(k % 3) = max(k % 3) THEN min(k % 3) ELSE -1 END AS dim FROM msg WHERE k % 3 > 0 GROUP BY 1")
 def shape_merge(spark, sf_dir):
-    rows = messages(spark, sf_dir)
-    k = F.get_json_object("payload", "$.k").cast("int")
-    rows = rows.where(k % 3 > 0).withColumn("payload", F.to_json(F.struct(F.array_repeat(F.lit(1), k % 3).alias("list"))))
-    return inspection.candidates(inspection.walk(rows)).where("path = 'list'").select("topic", "path", F.col("dim").cast("long").alias("dim"))
+    rows = messages(spark, sf_dir).where(F.get_json_object("payload", "$.k").cast("int") % 3 > 0)
+    return _merged_dims(rows)
 
 
 @query("ins4_shape_merge_whole", " SELECT topic, 'list' AS path, CASE WHEN min(k % 3) = max(k % 3) THEN min(k % 3) ELSE -1 END AS dim FROM msg GROUP BY 1 HAVING count(k) > 0")
 def shape_merge_whole(spark, sf_dir):
     """Every message; an empty list has dim 0, which merges to -1 with others."""
-    k = F.get_json_object("payload", "$.k").cast("int")
-    rows = messages(spark, sf_dir).withColumn("payload", F.to_json(F.struct(F.array_repeat(F.lit(1), k % 3).alias("list"))))
-    return inspection.candidates(inspection.walk(rows)).where("path = 'list'").select("topic", "path", F.col("dim").cast("long").alias("dim"))
+    return _merged_dims(messages(spark, sf_dir))
+
+
+def _merged_dims(rows):
+    """Dims of all messages: of each episode, then of all."""
+    found = inspection.candidates(inspection.walk(_listed(rows))).where("path = 'list'").select("topic", "path", F.get("shape", F.lit(0)).cast("long").alias("dim"))
+    return found.groupBy("topic", "path").agg(F.when(F.min("dim") == F.max("dim"), F.min("dim")).otherwise(F.lit(-1)).alias("dim"))
+
+
+@query("ins4_nested_shapes", _RICH + " SELECT episode_id, topic, path, array_to_string(shape, ',') AS shape, variable_length FROM c WHERE shape IS NOT NULL")
+def nested_shapes(spark, sf_dir):
+    out = inspection.candidates(inspection.walk(rich_samples(spark, sf_dir))).where("shape is not null")
+    return texts(out, "shape").select("episode_id", "topic", "path", "shape", "variable_length")
 
 
-@query("ins6_field_candidates", _INS + """ SELECT topic, 'value' AS path, count(*) AS observed, FALSE AS nullable, least(3, count(DISTINCT value)) AS n_examples FROM s GROUP BY 1
-    UNION ALL SELECT topic, 'k', count(*), FALSE, least(3, count(DISTINCT k)) FROM s GROUP BY 1""")
+@query("ins6_field_candidates", _RICH + f" SELECT episode_id, topic, path, kind, n AS observed, nulls_ > 0 AS nullable, {_TEXT}, variable_length, image_like, least(n, 3) AS n_examples, confidence, warning FROM c")
 def field_candidates(spark, sf_dir):
-    out = inspection.candidates(inspection.walk(inspection.first_samples(messages(spark, sf_dir), 4)))
-    return out.select("topic", "path", "observed", "nullable", F.size("examples").cast("long").alias("n_examples"))
+    out = texts(inspection.candidates(inspection.walk(rich_samples(spark, sf_dir))), "dtypes", "shape")
+    return out.select("episode_id", "topic", "path", "kind", "observed", "nullable", "dtypes", "shape", "variable_length", "image_like", F.size("examples").cast("long").alias("n_examples"), "confidence", F.array_join("warnings", ",").alias("warning"))
 
 
-@query("ins7_topic_report", _INS + " SELECT topic, count(*) AS samples, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, 2 AS n_fields FROM s GROUP BY 1")
+@query("ins7_topic_report", _RICH + """ SELECT s.episode_id, s.topic, count(*) AS samples, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, CAST(any_value(fields) AS INT) AS n_fields, any_value(warned) AS warned,
+    CASE s.topic WHEN '/click' THEN 'image' WHEN '/view' THEN 'height,pose' WHEN '/purchase' THEN 'axes,buttons,grid' WHEN '/signup' THEN 'maybe,mixed' ELSE 'deep,note' END AS preview_keys
+    FROM s JOIN (SELECT episode_id, topic, count(*) AS fields, coalesce(string_agg(DISTINCT warning, ',') FILTER (warning <> ''), '') AS warned FROM c GROUP BY 1, 2) USING (episode_id, topic) GROUP BY 1, 2""")
 def topic_report(spark, sf_dir):
-    sample = inspection.first_samples(messages(spark, sf_dir), 4)
-    return inspection.topic_report(sample).select("topic", "samples", "first_ns", "last_ns", F.size("fields").cast("int").alias("n_fields"))
+    keys = F.array_join(F.from_json(F.get_json_object("preview", "$.keys"), "array<string>"), ",")
+    return inspection.topic_report(rich_samples(spark, sf_dir)).select("episode_id", "topic", "samples", "first_ns", "last_ns", F.size("fields").cast("int").alias("n_fields"), F.array_join("warnings", ",").alias("warned"), keys.alias("preview_keys"))
 
 
-@query("drf1_trigger_choice", _INS + """, c AS (SELECT episode_id, topic, count(*) AS samples FROM s GROUP BY 1, 2)
-    SELECT episode_id, topic FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY CASE WHEN topic = '/click' THEN 1 ELSE 0 END DESC, samples DESC, topic) AS rn FROM c) WHERE rn = 1""")
+@query("drf1_trigger_choice", _RICH + " SELECT episode_id, topic FROM trig")
 def trigger_choice(spark, sf_dir):
-    return inspection.trigger_choice(inspection.first_samples(messages(spark, sf_dir), 4))
+    return inspection.trigger_choice(rich_samples(spark, sf_dir))
 
 
-@query("drf2_top_candidates", _INS + " SELECT topic, 'k' AS path, 1 AS rank FROM s GROUP BY 1")
+@query("drf2_top_candidates", _RICH + " SELECT episode_id, topic, path, CAST(rank AS INT) AS rank FROM top WHERE rank <= 3")
 def top_candidates(spark, sf_dir):
-    out = inspection.candidates(inspection.walk(inspection.first_samples(messages(spark, sf_dir), 4)))
-    return inspection.top_candidates(out, 1).select("topic", "path", "rank")
+    out = inspection.candidates(inspection.walk(rich_samples(spark, sf_dir)))
+    return inspection.top_candidates(out, 3).select("episode_id", "topic", "path", "rank")
 
 
-@query("drf3_feature_proposals", _INS + """ SELECT topic, ltrim(topic, '/') || '_' || path AS name, path, dtype, missing FROM (SELECT topic, 'value' AS path, 'float64' AS dtype, 'zeros' AS missing FROM s GROUP BY 1 UNION ALL SELECT topic, 'k', 'int64', 'zeros' FROM s GROUP BY 1)""")
+@query("drf3_feature_proposals", _RICH + """ SELECT episode_id, topic, name, path, dtype, coalesce(array_to_string(shape, ','), '-') AS shape, CASE WHEN dtype IN ('bytes', 'json') THEN 'default' ELSE 'zeros' END AS missing,
+    concat_ws(',', CASE WHEN shape[1] >= 0 THEN 'length:' || shape[1] END, CASE WHEN dtype NOT IN ('bytes', 'json') THEN 'cast:' || dtype END) AS transforms FROM prop""")
 def feature_proposals(spark, sf_dir):
-    out = inspection.candidates(inspection.walk(inspection.first_samples(messages(spark, sf_dir), 4)))
-    return inspection.proposals(inspection.top_candidates(out, 2)).select("topic", "name", "path", "dtype", "missing")
+    sample = rich_samples(spark, sf_dir)
+    out = inspection.proposals(inspection.top_candidates(inspection.candidates(inspection.walk(sample)), 2), sample)
+    return texts(out, "shape", "transforms").select("episode_id", "topic", "name", "path", "dtype", "shape", "missing", "transforms")
 
 
-@query("drf4_draft_table", _INS + """, c AS (SELECT episode_id, topic, count(*) AS samples FROM s GROUP BY 1, 2),
-    tr AS (SELECT episode_id, topic FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY CASE WHEN topic = '/click' THEN 1 ELSE 0 END DESC, samples DESC, topic) AS rn FROM c) WHERE rn = 1),
-    f(path, dtype) AS (VALUES ('value', 'float64'), ('k', 'int64'))
-    SELECT c.episode_id, c.topic, ltrim(c.topic, '/') || '_' || path AS name, dtype, CASE WHEN tr.topic = c.topic THEN 'trigger' ELSE 'join' END AS role FROM c JOIN tr USING (episode_id), f""")
+@query("drf4_draft_table", _RICH + """ SELECT p.episode_id, p.topic, name, dtype, CASE WHEN p.topic = trig.topic THEN 'trigger' ELSE 'join' END AS role, p.topic = trig.topic AS required FROM prop AS p JOIN trig ON p.episode_id = trig.episode_id""")
 def draft_table(spark, sf_dir):
-    return inspection.drafts(inspection.first_samples(messages(spark, sf_dir), 4), 2).select("episode_id", "topic", "name", "dtype", "role")
+    return inspection.drafts(rich_samples(spark, sf_dir), 2).select("episode_id", "topic", "name", "dtype", "role", "required")

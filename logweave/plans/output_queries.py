@@ -101,10 +101,15 @@ def ambiguous_images(spark, sf_dir):
     return messages(spark, sf_dir).select("topic", validate.ambiguous_image_column(keys).alias("ambiguous")).distinct()
 
 
-@query("ins5_image_like", f"WITH {MSG} SELECT topic, topic = '/click' AS by_path, FALSE AS by_topic FROM msg GROUP BY topic")
+@query("ins5_image_like", f"""WITH {MSG} SELECT topic, tail, kind, CASE tail WHEN 'rgb_data' THEN TRUE WHEN 'pixels' THEN contains(topic, '/Camera') OR kind IN ('bytes', 'struct') ELSE contains(topic, '/Camera') AND kind = 'bytes' END AS image
+    FROM (SELECT DISTINCT CASE WHEN k % 2 = 0 THEN '/Camera' || topic ELSE topic END AS topic FROM msg), (VALUES ('rgb_data'), ('height'), ('pixels'), ('blob')) AS t(tail), (VALUES ('int'), ('bytes'), ('struct')) AS d(kind)""")
 def image_like(spark, sf_dir):
-    path = F.when(F.col("topic") == "/click", "frame.data").otherwise("value")
-    return messages(spark, sf_dir).select("topic", path.alias("p")).distinct().select("topic", inspection.is_image(F.col("topic"), F.col("p")).alias("by_path"), inspection.is_image(F.col("topic"), F.lit("k")).alias("by_topic"))
+    k = F.get_json_object("payload", "$.k").cast("int")
+    topics = messages(spark, sf_dir).select(F.when(k % 2 == 0, F.concat(F.lit("/Camera"), "topic")).otherwise(F.col("topic")).alias("topic")).distinct()
+    tails, kinds = (F.explode(F.array(*map(F.lit, words))) for words in (("rgb_data", "height", "pixels", "blob"), ("int", "bytes", "struct")))
+    each = topics.select("topic", tails.alias("tail")).select("topic", "tail", kinds.alias("kind"))
+    keys = F.when(F.col("kind") == "struct", F.array(F.lit("Width"), F.lit("height"), F.lit("data"), F.lit("step")))
+    return each.select("topic", "tail", "kind", inspection.is_image(F.col("topic"), F.concat(F.lit("a."), "tail"), F.col("kind"), keys).alias("image"))
 
 
 def stream(spark, sf_dir) -> DataFrame:

@@ -216,13 +216,40 @@ def test_images():
 def test_candidates_and_drafts(spark):
     rows = [("e", "/joy", i, i, "m/Joy", json.dumps({"axes": [0.5, 1.0], "buttons": [1] * (1 + i % 2), "on": True, "pose": {"x": i}})) for i in range(4)]
     rows += [("e", "/cam", i, i, "m/Image", json.dumps({"data": {"__bytes__": True, "encoding": "base64", "value": "AA=="}, "height": 2})) for i in range(3)]
+    rows += [("e", "/broken", 9, 9, "m/Broken", "{")]
     m = spark.createDataFrame(rows, "episode_id string, topic string, ts_ns long, seq long, msgtype string, payload string")
     found = {(r["topic"], r["path"]): r for r in inspection.candidates(inspection.walk(m)).collect()}
-    assert found["/joy", "axes"]["dtype"] == "float64" and found["/joy", "axes"]["dim"] == 2
-    assert found["/joy", "buttons"]["variable_length"] and found["/joy", "buttons"]["dim"] == -1 and found["/joy", "buttons"]["dtype"] == "int64"
-    assert found["/joy", "on"]["dtype"] == "bool" and found["/joy", "pose.x"]["dtype"] == "int64" and found["/cam", "data"]["dtype"] == "bytes"
-    drafts = {(r["topic"], r["role"]) for r in inspection.drafts(m, 2).collect()}
-    assert drafts == {("/cam", "trigger"), ("/joy", "join")}
+    assert found["/joy", "axes"]["dtypes"] == ["float32", "float64"] and found["/joy", "axes"]["shape"] == [2] and found["/joy", "axes"]["confidence"] == 0.95
+    buttons = found["/joy", "buttons"]
+    assert buttons["variable_length"] and buttons["shape"] == [-1] and buttons["dtypes"] == ["int64"] and buttons["warnings"] == ["observed shape varies across samples"]
+    assert found["/joy", "on"]["dtypes"] == ["bool"] and found["/joy", "pose.x"]["dtypes"] == ["int64"] and found["/joy", "pose"]["kind"] == "struct"
+    # The struct that is the payload has no path, so its keys alone don't mark a field; bytes named data do.
+    assert found["/cam", "data"]["kind"] == "image" and not found["/cam", "height"]["image_like"]
+    drafts = {(r["topic"], r["role"], r["name"], r["dtype"], r["missing"], r["required"]) for r in inspection.drafts(m, 1).collect()}
+    assert drafts == {("/cam", "trigger", "image", "bytes", "default", True), ("/joy", "join", "buttons", "int64", "zeros", False), ("/broken", "join", "broken", "json", "default", False)}
+    report = {r["topic"]: r for r in inspection.topic_report(m).collect()}
+    assert report["/cam"]["times"] == [0, 1, 2] and json.loads(report["/joy"]["preview"])["keys"] == ["axes", "buttons", "on", "pose"] and report["/broken"]["fields"] is None
+
+
+def test_walks_of_odd_payloads(spark):
+    payloads = ["3", '"text"', "null", "[[1, 2], [3, null], {\"a\": null}, 5, [9]]", '{"l": [1, null, "x"], "deep": {"a": {"b": {"c": {"d": 1}}}}}', '{"image": [], "e": {}}']
+    m = spark.createDataFrame([("e", f"/t{i}", i, i, "x", p) for i, p in enumerate(payloads)], "episode_id string, topic string, ts_ns long, seq long, msgtype string, payload string")
+    got = {(r["topic"], r["path"]): (r["kind"], r["dtypes"], r["shape"], r["nullable"], r["image_like"], r["warnings"]) for r in inspection.candidates(inspection.walk(m)).collect()}
+    assert got == {
+        ("/t0", "__root__"): ("scalar", ["int64"], None, False, False, []),
+        ("/t1", "__root__"): ("bytes", ["bytes", "json"], None, False, False, []),
+        ("/t3", "0"): ("sequence", ["int64"], [2], False, False, []),
+        ("/t3", "1"): ("sequence", ["int64"], [2], True, False, []),
+        ("/t3", "2"): ("struct", ["json"], None, False, False, []),
+        ("/t3", "2.a"): ("unknown", ["json"], None, True, False, []),
+        ("/t4", "l"): ("sequence", ["json"], [3], True, False, []),
+        ("/t4", "deep"): ("struct", ["json"], None, False, False, []),
+        ("/t4", "deep.a"): ("struct", ["json"], None, False, False, []),
+        ("/t4", "deep.a.b"): ("struct", ["json"], None, False, False, []),
+        ("/t4", "deep.a.b.c"): ("struct", ["json"], None, False, False, ["max depth reached"]),
+        ("/t5", "image"): ("image", ["bytes"], [0], False, True, []),
+        ("/t5", "e"): ("struct", ["json"], None, False, False, []),
+    }
 
 
 def test_validation(spark):
