@@ -59,9 +59,9 @@ class Encoder:
     """Ids (little-endian unsigned 32-bit) or counts of texts; one for each worker process and file."""
 
     #: Bytes of the texts that are taken apart together, of those the library gets at once, and of remembered pieces.
-    BATCH_BYTES = 8_000_000
+    BATCH_BYTES = 3_000_000
     LIBRARY_BYTES = 500_000
-    MEMORY_BYTES = 48_000_000
+    MEMORY_BYTES = 24_000_000
     #: What one remembered piece takes beside its characters and ids.
     _ENTRY = 16
 
@@ -225,6 +225,7 @@ class Encoder:
             yield ids, np.cumsum(counts)
             if self._full():
                 self._make_room()
+        pa.default_memory_pool().release_unused()
 
     def ids(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """The ids of each text; null is an empty text."""
