@@ -30,34 +30,27 @@ def _sided(messages: DataFrame, trigger: str, topics: list[str]) -> DataFrame:
     return messages.where(F.col("topic").isin([trigger, *topics])).withColumn("_trigger", (F.col("topic") == trigger).cast("int"))
 
 
-def _before(inclusive: bool):
-    """All rows up to a trigger in time order; at equal times joined messages come first if they count."""
-    side = F.col("_trigger").asc() if inclusive else F.col("_trigger").desc()
-    return W.partitionBy(EPISODE).orderBy("ts_ns", side, "seq")
-
-
 def _match(topic: str) -> Column:
     return F.when(F.col("topic") == topic, F.struct("ts_ns", "seq", "payload"))
 
 
-def _fresh(match: Column, staleness_ns: int | None) -> Column:
-    if staleness_ns is None:
+def _fresh(match: Column, most_ns: int | None) -> Column:
+    if most_ns is None:
         return match
-    return F.when(F.abs(F.col("ts_ns") - match["ts_ns"]) <= staleness_ns, match)
+    return F.when(F.abs(F.col("ts_ns") - match["ts_ns"]) <= most_ns, match)
 
 
-def _last_known(topic: str, staleness_ns: int | None) -> Column:
-    found = F.last(_match(topic), ignorenulls=True).over(_before(True).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return _fresh(found, staleness_ns)
+def _last(topic: str, keys: list[str], inclusive: bool) -> Column:
+    """The last message up to a trigger; at equal times joined messages come first if they count."""
+    side = F.col("_trigger").asc() if inclusive else F.col("_trigger").desc()
+    order = W.partitionBy(*keys).orderBy("ts_ns", side, "seq")
+    return F.last(_match(topic), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
 
 
-def _nearest(topic: str, tolerance_ns: int | None, staleness_ns: int | None) -> Column:
-    order = _before(False)
-    left = F.last(_match(topic), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    right = F.first(_match(topic), ignorenulls=True).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
-    back, ahead = F.col("ts_ns") - left["ts_ns"], right["ts_ns"] - F.col("ts_ns")
-    near = F.when(right.isNull() | (left.isNotNull() & (back <= ahead)), left).otherwise(right)
-    return _fresh(_fresh(near, tolerance_ns), staleness_ns)
+def _next(topic: str, keys: list[str]) -> Column:
+    """The first message from a trigger on, equal times included: the last one in the opposite order, so that the frame only grows."""
+    order = W.partitionBy(*keys).orderBy(F.col("ts_ns").desc(), F.col("_trigger").asc(), F.col("seq").desc())
+    return F.last(_match(topic), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
 
 
 def _exact(topic: str) -> Column:
@@ -66,37 +59,73 @@ def _exact(topic: str) -> Column:
     return F.first(_match(topic), ignorenulls=True).over(order)
 
 
-def asof_join(messages: DataFrame, trigger: str, topic: str, policy: str = "last-known-before", tolerance_ns: int | None = None, staleness_ns: int | None = None) -> DataFrame:
-    """Each trigger with the matching message of another topic (``match_ts_ns, match``), one shuffle and sort.
+def _carried(rows: DataFrame, topics: list[str]) -> DataFrame:
+    """For each episode and time bucket, what the buckets before and after it hold: ``_b<i>`` and ``_a<i>`` for each topic.
+
+    One row for each episode and bucket that has messages, so only these are ordered over a whole episode.
+    """
+    at = lambda topic: F.when(F.col("topic") == topic, F.struct("ts_ns", "seq"))
+    ends = []
+    for i, topic in enumerate(topics):
+        ends += [F.max_by(_match(topic), at(topic)).alias(f"_l{i}"), F.min_by(_match(topic), at(topic)).alias(f"_f{i}")]
+    before, after = (W.partitionBy(EPISODE).orderBy(order).rowsBetween(W.unboundedPreceding, -1) for order in (F.col("_bucket").asc(), F.col("_bucket").desc()))
+    columns = []
+    for i in range(len(topics)):
+        columns += [F.last(f"_l{i}", ignorenulls=True).over(before).alias(f"_b{i}"), F.last(f"_f{i}", ignorenulls=True).over(after).alias(f"_a{i}")]
+    return rows.groupBy(EPISODE, "_bucket").agg(*ends).select(EPISODE, "_bucket", *columns)
+
+
+def _matched(messages: DataFrame, trigger: str, joins: list[Join], bucket_ns: int | None) -> DataFrame:
+    """The trigger's messages with ``_m_<name>`` for each join.
+
+    All joins share one shuffle, by episode or by episode and time bucket; within a bucket only what its neighbours carry in
+    is missing, and that comes back by a join of two rows' sides.
+    """
+    topics = list(dict.fromkeys(j.topic for j in joins))
+    rows, keys = _sided(messages, trigger, topics), [EPISODE]
+    if bucket_ns is not None:
+        rows, keys = rows.withColumn("_bucket", _floor_div(F.col("ts_ns"), bucket_ns)), [EPISODE, "_bucket"]
+    sides: dict[str, Column] = {}
+    for i, j in enumerate(joins):
+        if j.policy == "last-known-before":
+            sides[f"_p{i}"] = _last(j.topic, keys, True)
+        elif j.policy == "exact-within-tolerance" and j.tolerance_ns is None:
+            sides[f"_p{i}"] = _exact(j.topic)
+        elif j.policy in ("nearest", "exact-within-tolerance"):
+            sides |= {f"_p{i}": _last(j.topic, keys, False), f"_n{i}": _next(j.topic, keys)}
+        else:
+            raise ValueError(f"unknown policy {j.policy!r}")
+    found = rows.withColumns(sides).where("_trigger = 1")
+    if bucket_ns is not None:
+        found = found.join(_carried(rows, topics), keys)
+    out: dict[str, Column] = {}
+    for i, j in enumerate(joins):
+        left, right, at = F.col(f"_p{i}"), F.col(f"_n{i}"), topics.index(j.topic)
+        exact = j.policy == "exact-within-tolerance" and j.tolerance_ns is None
+        if bucket_ns is not None and not exact:
+            left, right = F.coalesce(left, f"_b{at}"), F.coalesce(right, f"_a{at}")
+        if f"_n{i}" in sides:
+            back, ahead = F.col("ts_ns") - left["ts_ns"], right["ts_ns"] - F.col("ts_ns")
+            near = F.when(right.isNull() | (left.isNotNull() & (back <= ahead)), left).otherwise(right)
+            left = _fresh(near, j.tolerance_ns)
+        out[f"_m_{j.name}"] = left if exact else _fresh(left, j.staleness_ns)
+    return found.withColumns(out)
+
+
+def asof_join(messages: DataFrame, trigger: str, topic: str, policy: str = "last-known-before", tolerance_ns: int | None = None, staleness_ns: int | None = None, bucket_ns: int | None = None) -> DataFrame:
+    """Each trigger with the matching message of another topic (``match_ts_ns, match``), one shuffle.
 
     ``last-known-before``: the last arrival at or before the trigger. ``nearest``: the closer of both sides, the earlier
     of equals. ``exact-within-tolerance``: as nearest within the tolerance; without one, at the trigger's own time only.
+    With ``bucket_ns``, very long episodes are split into time buckets.
     """
-    if policy == "last-known-before":
-        found = _last_known(topic, staleness_ns)
-    elif policy == "nearest" or (policy == "exact-within-tolerance" and tolerance_ns is not None):
-        found = _nearest(topic, tolerance_ns, staleness_ns)
-    elif policy == "exact-within-tolerance":
-        found = _exact(topic)
-    else:
-        raise ValueError(f"unknown policy {policy!r}")
-    rows = _sided(messages, trigger, [topic]).withColumn("_match", found).where("_trigger = 1")
-    return rows.select(EPISODE, "ts_ns", "seq", "payload", F.col("_match.ts_ns").alias("match_ts_ns"), F.col("_match.payload").alias("match"))
+    rows = _matched(messages, trigger, [Join(topic, "one", policy, tolerance_ns, staleness_ns)], bucket_ns)
+    return rows.select(EPISODE, "ts_ns", "seq", "payload", F.col("_m_one.ts_ns").alias("match_ts_ns"), F.col("_m_one.payload").alias("match"))
 
 
 def asof_join_bucketed(messages: DataFrame, trigger: str, topic: str, bucket_ns: int) -> DataFrame:
-    """Last-known-before for very long episodes: windows of (episode, time bucket), each opened by the message carried in.
-
-    The carried messages are one row for each episode and bucket that has messages, so only they are ordered over a whole episode.
-    """
-    rows = _sided(messages, trigger, [topic]).withColumn("_bucket", _floor_div(F.col("ts_ns"), bucket_ns))
-    ends = rows.groupBy(EPISODE, "_bucket").agg(F.max_by(_match(topic), F.when(F.col("topic") == topic, F.struct("ts_ns", "seq"))).alias("_end"))
-    before = W.partitionBy(EPISODE).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    carried = ends.select(EPISODE, "_bucket", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
-    inside = W.partitionBy(EPISODE, "_bucket").orderBy("ts_ns", "_trigger", "seq").rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = rows.withColumn("_own", F.last(_match(topic), ignorenulls=True).over(inside)).where("_trigger = 1").join(carried, [EPISODE, "_bucket"])
-    match = F.coalesce("_own", "_carried")
-    return found.select(EPISODE, "ts_ns", "seq", "payload", match["ts_ns"].alias("match_ts_ns"), match["payload"].alias("match"))
+    """Last-known-before for very long episodes: windows of (episode, time bucket), each opened by the message carried in."""
+    return asof_join(messages, trigger, topic, bucket_ns=bucket_ns)
 
 
 @dataclass(frozen=True)
@@ -113,18 +142,14 @@ class Join:
     missing: str = "null"
 
 
-def trigger_rows(messages: DataFrame, trigger: str, joins: list[Join]) -> DataFrame:
+def trigger_rows(messages: DataFrame, trigger: str, joins: list[Join], bucket_ns: int | None = None) -> DataFrame:
     """One row per trigger with each join's payload and presence, and ``_dropped`` where a required one has nothing.
 
     Presence tells whether a message matched; a default or zeros fill the payload and spare the row from being dropped,
-    but leave presence at 0. All joins share one shuffle by episode.
+    but leave presence at 0. All joins share one shuffle by episode; ``bucket_ns`` splits very long episodes by time.
     """
-    rows = _sided(messages, trigger, [j.topic for j in joins])
     kind = messages.schema["payload"].dataType
-    for j in joins:
-        found = _last_known(j.topic, j.staleness_ns) if j.policy == "last-known-before" else _exact(j.topic) if j.policy != "nearest" and j.tolerance_ns is None else _nearest(j.topic, j.tolerance_ns, j.staleness_ns)
-        rows = rows.withColumn(f"_m_{j.name}", found)
-    rows, dropped = rows.where("_trigger = 1"), F.lit(False)
+    rows, dropped = _matched(messages, trigger, joins, bucket_ns), F.lit(False)
     columns: list[Column] = []
     for j in joins:
         match = F.col(f"_m_{j.name}")

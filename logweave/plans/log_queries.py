@@ -61,7 +61,7 @@ def header_scan(spark, sf_dir):
 
 @query("src4_topic_pushdown", "SELECT episode_id, topic, ts_ns, seq FROM msg WHERE topic IN ('/view', '/error')")
 def topic_pushdown(spark, sf_dir):
-    return headers(scan(messages(spark, sf_dir), topics=["/view", "/error"]))
+    return headers(messages(spark, sf_dir, topics=["/view", "/error"]))
 
 
 _T0 = 1_704_500_000_000_000_000
@@ -69,7 +69,7 @@ _T0 = 1_704_500_000_000_000_000
 
 @query("src5_time_range", f"SELECT episode_id, topic, ts_ns, seq FROM msg WHERE ts_ns >= {_T0} AND ts_ns < {_T0 + 3 * DAY}")
 def time_range(spark, sf_dir):
-    return headers(scan(messages(spark, sf_dir), start_ns=_T0, stop_ns=_T0 + 3 * DAY))
+    return headers(messages(spark, sf_dir, start_ns=_T0, stop_ns=_T0 + 3 * DAY))
 
 
 @query("src10_topic_globs", "SELECT topic, count(*) AS n FROM msg WHERE (topic GLOB '/[cp]*' OR topic GLOB '/v?ew') AND NOT topic GLOB '*ick' GROUP BY topic")

@@ -34,8 +34,8 @@ def query(name: str, sql: str | None = None):
 
 
 def new_folder(spark, name: str) -> str:
-    """A new folder below the shared one, as a plain path."""
-    return f"{shared_folder(spark).rstrip('/').removeprefix('file://').removeprefix('file:')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 _RECORD = "seq bigint, topic string, value float, k bigint, list array<bigint>"

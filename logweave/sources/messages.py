@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +20,26 @@ def epoch_ns(column: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({column} as timestamp_ntz))") * F.lit(1000)
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as messages: an episode for each user, a topic for each event type."""
+def _moment(ns: int) -> str:
+    """The first microsecond at or after a time, as a timestamp in SQL; events have whole microseconds."""
+    at = datetime(1970, 1, 1) + timedelta(microseconds=-(-ns // 1000))
+    return f"TIMESTAMP_NTZ'{at.isoformat(sep=' ', timespec='microseconds')}'"
+
+
+def messages(spark: SparkSession, sf_dir: str, topics: list[str] | None = None, start_ns: int | None = None, stop_ns: int | None = None) -> DataFrame:
+    """Events as messages: an episode for each user, a topic for each event type.
+
+    Topics and the half-open time range are asked of the events' own columns, so both filters reach the Parquet scan.
+    """
+    events = table(spark, sf_dir, "events")
+    if topics is not None:
+        events = events.where(F.col("event_type").isin([t.removeprefix("/") for t in topics if t.startswith("/")]))
+    for op, bound in ((">=", start_ns), ("<", stop_ns)):
+        if bound is not None:
+            events = events.where(f"ts {op} {_moment(bound)}")
     kind = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
     k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("user_"), F.col("user_id")).alias("episode_id"),
         F.concat(F.lit("/"), F.col("event_type")).alias("topic"),
         epoch_ns("ts").alias("ts_ns"),
@@ -52,7 +68,7 @@ def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan(frame: DataFrame, topics: list[str] | None = None, start_ns: int | None = None, stop_ns: int | None = None) -> DataFrame:
-    """Messages of some topics in the half-open time range; both filters reach the Parquet scan."""
+    """Messages of some topics in the half-open time range; over a stored message table both filters reach its scan."""
     if topics is not None:
         frame = frame.where(F.col("topic").isin(topics))
     if start_ns is not None:

@@ -65,10 +65,52 @@ def test_asof_ties_and_policies(spark):
     assert take(staleness_ns=9) == [None, 3.0, None]
     long = align.asof_join_bucketed(m, "/t", "/j", 50).orderBy("ts_ns").collect()
     assert [r["match"]["value"] for r in long] == [1.0, 3.0, 3.0]
+    for bucket in (7, 50, 1_000):
+        assert take(policy="nearest", bucket_ns=bucket) == [1.0, 2.0, 3.0]
+        assert take(policy="exact-within-tolerance", tolerance_ns=10, bucket_ns=bucket) == [1.0, 2.0, None]
+        assert take(policy="exact-within-tolerance", bucket_ns=bucket) == [None, 2.0, None]
     with pytest.raises(ValueError):
         align.asof_join(m, "/t", "/j", policy="other")
 
 
+def test_frames_of_nearest_only_grow_and_buckets_agree(spark):
+    import random
+
+    r = random.Random(3)
+    m = stream(spark, [(r.choice(["/t", "/a", "/b"]), r.randrange(400), {"value": i}) for i in range(300)])
+    joins = [align.Join("/a", "a", "nearest"), align.Join("/b", "b", "nearest", tolerance_ns=5), align.Join("/b", "c", staleness_ns=9)]
+    whole = sorted(map(repr, align.trigger_rows(m, "/t", joins).collect()))
+    assert whole == sorted(map(repr, align.trigger_rows(m, "/t", joins, bucket_ns=11).collect())) and len(whole) > 80
+    plan = align.trigger_rows(m, "/t", joins)._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_filters_reach_the_scan(spark):
+    from pathlib import Path
+
+    from logweave.sources.messages import messages
+
+    data = "/root/testdata/sf0.001"
+    if not Path(data).exists():
+        pytest.skip("needs the given tables")
+    plan = lambda f: f._jdf.queryExecution().executedPlan().toString()
+    by_topic = plan(messages(spark, data, topics=["/view", "/error"]).select("seq"))
+    assert "PushedFilters: [In(event_type" in by_topic or "PushedFilters: [Or(EqualTo(event_type" in by_topic
+    by_time = plan(messages(spark, data, start_ns=1_704_500_000_000_000_001, stop_ns=1_704_600_000_000_000_000).select("seq"))
+    assert "GreaterThanOrEqual(ts" in by_time and "LessThan(ts" in by_time
+
+
+def test_datasets_are_not_written_by_one_task(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("'e' as episode_id", "id as ts_ns", "'all' as split", "cast(id as string) as x")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together again
+    try:
+        sinks.write_dataset(rows, str(tmp_path / "d"), partitions=("split",))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = sinks.read_dataset(spark, str(tmp_path / "d"))
+    assert back.count() == 4000 and len(back.inputFiles()) > 1
+
+
 def test_defaults_zeros_and_drops(spark):
     m = stream(spark, [("/t", 100, {"value": 1})])
     joins = [align.Join("/a", "a", required=True, default='{"value": 7}'), align.Join("/b", "b", missing="zeros", required=True), align.Join("/c", "c")]
@@ -183,6 +225,8 @@ def test_records_round_trip(spark, tmp_path, codec):
 
 
 def test_record_checksum():
+    parts = [bytes(range(256)) * k + b"x" * (k % 7) for k in (0, 1, 3, 70)]
+    assert tfrecord.masked_crcs(parts) == [tfrecord.masked_crc(p) for p in parts] and tfrecord.masked_crcs([]) == []
     assert tfrecord.masked_crc(b"123456789") == ((((0xE3069283 >> 15) | (0xE3069283 << 17)) + 0xA282EAD8) & 0xFFFFFFFF)
     assert tfrecord.decode_example(tfrecord.encode_example({"a": [1, -1], "b": 2.5, "c": "x", "d": None, "e": []})) == {"__sequence_length__a": [2], "a": [1, -1], "b": [2.5], "c": [b"x"], "__sequence_length__e": [0]}
 
