@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import mimetypes
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Order in which statuses are shown, and how media types follow from file names.
-STATUSES = {"asset": ("pending", "indexing", "indexed", "failed"), "job": ("queued", "running", "succeeded", "failed"), "run": ("queued", "running", "succeeded", "failed"), "output": ("ready", "missing")}
-FORMATS = [(".manifest.json", "json", "manifest", "application/json"), (".report.md", "markdown", "report", "text/markdown"), (".parquet", "parquet", "dataset", "application/x-parquet"), (".tfrecord", "tfrecord", "dataset", "application/x-tfrecord"), (".json", "json", "sidecar", "application/json"), (".html", "html", "page", "text/html")]
+#: Order in which statuses are shown, what follows from the ends of file names, and media types of formats.
+STATUSES = {"asset": ("pending", "indexing", "indexed", "failed"), "job": ("queued", "running", "succeeded", "failed"), "run": ("queued", "running", "succeeded", "failed"), "output": ("ready", "missing", "invalid")}
+NAMES = ((".manifest.json", "json", "manifest"), (".report.md", "md", "report"))
+DATASETS = ("parquet", "tfrecord")
+MEDIA = {"parquet": "application/x-parquet", "tfrecord": "application/octet-stream", "json": "application/json", "jsonl": "application/x-ndjson"}
 
 
 def tag_name(tag: Column) -> Column:
@@ -86,12 +90,27 @@ def mark_missing(outputs: DataFrame, listing: DataFrame, run_id: int) -> DataFra
 
 
 def file_class(name: Column) -> Column:
-    """``struct(format, role, media_type)`` of an output by its file name."""
-    low, out = F.lower(name), None
-    for suffix, kind, role, media in FORMATS:
-        value = F.struct(F.lit(kind).alias("format"), F.lit(role).alias("role"), F.lit(media).alias("media_type"))
-        out = F.when(low.endswith(suffix), value) if out is None else out.when(low.endswith(suffix), value)
-    return out.otherwise(F.struct(F.lit("unknown").alias("format"), F.lit("other").alias("role"), F.lit("application/octet-stream").alias("media_type")))
+    """``struct(format, role, media_type)`` of an output by its file name: datasets, manifests and reports by their ends, all else sidecars.
+
+    A format without a media type of its own has the one that Python's table gives its suffix, or none.
+    """
+    last = F.lower(F.substring_index(name, "/", -1))
+    suffix = F.regexp_extract(last, r"^.+\.([^.]+)$", 1)
+    kind, role = F.when(suffix == "", "unknown").otherwise(suffix), F.when(suffix.isin(*DATASETS), "dataset").otherwise("sidecar")
+    for end, own, says in NAMES:
+        kind, role = F.when(last.endswith(end), own).otherwise(kind), F.when(last.endswith(end), says).otherwise(role)
+    known = F.create_map(*[F.lit(x) for pair in MEDIA.items() for x in pair])
+    common = F.create_map(*[F.lit(x) for end, media in sorted(mimetypes.types_map.items()) for x in (end[1:], media)])
+    return F.struct(kind.alias("format"), role.alias("role"), F.coalesce(F.element_at(known, kind), F.element_at(common, suffix)).alias("media_type"))
+
+
+def preset(outputs: DataFrame, name: str) -> DataFrame:
+    """Outputs of a preset: ``ready_datasets``, or ``json_sidecars`` (JSON formats, manifests and sidecars)."""
+    if name == "ready_datasets":
+        return outputs.where((F.col("role") == "dataset") & (F.col("status") == "ready"))
+    if name == "json_sidecars":
+        return outputs.where(F.col("format").isin("json", "jsonl") | F.col("role").isin("manifest", "sidecar"))
+    raise ValueError(f"unknown preset {name!r}")
 
 
 def shown_status(status: Column) -> Column:
@@ -110,6 +129,30 @@ def revision_kinds(revisions: DataFrame, key: str, number: str, text: str) -> Da
     return revisions.withColumn("kind", F.when(first, "create").when(F.lower(text).contains("migrat"), "migration").otherwise("update"))
 
 
+def migration_notes(revisions: DataFrame, key: str, number: str, text: str) -> DataFrame:
+    """Distinct texts of each document's revisions that tell of a migration, in the order they first came."""
+    told = revisions.where(F.lower(text).contains("migrat")).groupBy(key, F.col(text).alias("_note")).agg(F.min(number).alias("_at"))
+    return told.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_note"))), lambda x: x["_note"]).alias("notes"))
+
+
+def blockers(assets: DataFrame, jobs: DataFrame, runs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """One row: what stands in the way: assets pending and failed, jobs and runs failed, outputs missing and invalid. One count of each table by ``status``."""
+    wanted = {"assets": ("pending", "failed"), "jobs": ("failed",), "conversions": ("failed",), "outputs": ("missing", "invalid")}
+    parts = [rows.select(F.lit(name).alias("of"), "status").where(F.col("status").isin(*wanted[name])) for name, rows in zip(wanted, (assets, jobs, runs, outputs), strict=True)]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return both.agg(*[F.count_if((F.col("of") == name) & (F.col("status") == status)).alias(f"{status}_{name}") for name, statuses in wanted.items() for status in statuses])
+
+
+def search_assets(assets: DataFrame, metadata: DataFrame, text: str | None = None, kind: str | None = None, status: str | None = None, duration: tuple = (None, None), start: tuple = (None, None)) -> DataFrame:
+    """Assets by a text in name, type or path, by type and status, and by the closed ranges of their metadata's duration and start.
+
+    Assets without metadata stay unless a range is asked for.
+    """
+    rows = search(assets, text, ["name", "kind", "path"], **{k: v for k, v in (("kind", kind), ("status", status)) if v is not None})
+    rows = rows.join(metadata.select("asset_id", "duration", "started"), "asset_id", "left")
+    return in_range(in_range(rows, "duration", *duration), "started", *start)
+
+
 def inventory_summary(rows: DataFrame, time: str, size: str, now: str) -> DataFrame:
     """One row: count, bytes, and how many were registered in the last day, week and month."""
     at = F.lit(now).cast("timestamp_ntz")
@@ -140,8 +183,11 @@ def daily_trend(series: dict[str, DataFrame], start: str, days: int) -> DataFram
     if not 1 <= days <= 90:
         raise ValueError("a trend has 1 to 90 days")
     spark = next(iter(series.values())).sparkSession
-    out = spark.range(days).select(F.date_add(F.lit(start).cast("date"), F.col("id").cast("int")).alias("day"))
-    for name, rows in series.items():
-        counts = rows.where((F.col("day") >= F.lit(start)) & (F.col("day") < F.date_add(F.lit(start).cast("date"), days))).groupBy("day").agg(F.count("*").alias(name))
-        out = out.join(counts, "day", "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    return out
+    end = F.date_add(F.lit(start).cast("date"), days)
+    marked = [rows.select("day", F.lit(name).alias("of")).where((F.col("day") >= F.lit(start)) & (F.col("day") < end)) for name, rows in series.items()]
+    both = marked[0]
+    for more in marked[1:]:
+        both = both.unionByName(more)
+    counts = both.groupBy("day").agg(*[F.count_if(F.col("of") == name).alias(name) for name in series])
+    every = spark.range(days).select(F.date_add(F.lit(start).cast("date"), F.col("id").cast("int")).alias("day"))
+    return every.join(counts, "day", "left").select("day", *[F.coalesce(name, F.lit(0)).alias(name) for name in series])

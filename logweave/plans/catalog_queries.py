@@ -102,6 +102,18 @@ def output_page(spark, sf_dir):
     return catalog.page(catalog.search(table(spark, sf_dir, "pages"), "BLOG", ["url"]), [F.col("page_id").desc()], 5, 20).select("page_id", "url")
 
 
+@query("cat2_asset_search", """WITH m AS (SELECT o_custkey AS asset_id, count(*) AS duration, min(CAST(o_orderdate AS TIMESTAMP)) AS started FROM orders GROUP BY 1),
+    a AS (SELECT c_custkey AS asset_id, c_name AS name, c_mktsegment AS kind, 'logs/' || c_nationkey AS path, CASE WHEN c_acctbal < 0 THEN 'failed' ELSE 'indexed' END AS status FROM customer)
+    SELECT 'text' AS filter, asset_id, coalesce(duration, -1) AS duration FROM a LEFT JOIN m USING (asset_id) WHERE contains(lower(concat_ws(' ', name, kind, path)), 'logs/1') AND status = 'indexed'
+    UNION ALL SELECT 'range', asset_id, duration FROM a JOIN m USING (asset_id) WHERE kind = 'BUILDING' AND duration BETWEEN 2 AND 12 AND started >= TIMESTAMP '1992-03-01 00:00:00'""")
+def asset_search(spark, sf_dir):
+    metadata = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("asset_id")).agg(F.count("*").alias("duration"), F.min(F.col("o_orderdate").cast("timestamp_ntz")).alias("started"))
+    rows = assets(spark, sf_dir).select("asset_id", "name", "kind", F.concat(F.lit("logs/"), "nation").alias("path"), F.when(F.col("size") < 0, "failed").otherwise("indexed").alias("status"))
+    by_text = catalog.search_assets(rows, metadata, text=" LOGS/1", status="indexed")
+    by_range = catalog.search_assets(rows, metadata, kind="BUILDING", duration=(2, 12), start=(F.expr("TIMESTAMP_NTZ'1992-03-01 00:00:00'"), None))
+    return by_text.select(F.lit("text").alias("filter"), "asset_id", F.coalesce("duration", F.lit(-1)).alias("duration")).unionByName(by_range.select(F.lit("range").alias("filter"), "asset_id", "duration"))
+
+
 @query("cat8_output_assets", "SELECT o_orderkey AS run_id, page_id, CASE WHEN page_id % 3 = 0 THEN '' || page_id WHEN o_custkey IS NOT NULL THEN '' || o_custkey ELSE '' END AS assets FROM pages LEFT JOIN orders ON o_orderkey = page_id")
 def output_assets(spark, sf_dir):
     outputs = table(spark, sf_dir, "pages").select("page_id", F.col("page_id").alias("run_id"), F.when(F.col("page_id") % 3 == 0, F.col("page_id")).alias("asset_id"))
@@ -126,15 +138,29 @@ def mark_missing(spark, sf_dir):
     return catalog.mark_missing(outputs, outputs.where("page_id % 8 <> 5").select("output_path"), 1).select("page_id", "status", "size")
 
 
-@query("cat11_file_classes", "SELECT CASE WHEN lower(u) LIKE '%.html' THEN 'html' ELSE 'unknown' END AS format, count(*) AS n FROM (SELECT url AS u FROM pages) GROUP BY 1")
+_ENDS = (".parquet", ".TFRecord", ".manifest.json", ".report.md", ".jsonl", ".json", ".html", ".md", "", ".odd")
+_OUT = f"""WITH o AS (SELECT page_id, CAST(page_id AS VARCHAR) || ['{"', '".join(_ENDS)}'][1 + page_id % {len(_ENDS)}] AS name, CASE WHEN page_id % 4 = 1 THEN 'missing' WHEN page_id % 7 = 2 THEN 'invalid' ELSE 'ready' END AS status,
+    ['parquet', 'tfrecord', 'json', 'md', 'jsonl', 'json', 'html', 'md', 'unknown', 'odd'][1 + page_id % 10] AS format, ['dataset', 'dataset', 'manifest', 'report'][1 + page_id % 10] AS named,
+    ['application/x-parquet', 'application/octet-stream', 'application/json', 'text/markdown', 'application/x-ndjson', 'application/json', 'text/html', 'text/markdown', '-', '-'][1 + page_id % 10] AS media_type FROM pages),
+    out AS (SELECT *, coalesce(named, 'sidecar') AS role FROM o)"""
+
+
+def outputs(spark, sf_dir) -> DataFrame:
+    """Pages as outputs with names of all kinds: ready, missing or invalid."""
+    name = F.concat(F.col("page_id").cast("string"), F.element_at(F.array(*map(F.lit, _ENDS)), (1 + F.col("page_id") % len(_ENDS)).cast("int")))
+    status = F.when(F.col("page_id") % 4 == 1, "missing").when(F.col("page_id") % 7 == 2, "invalid").otherwise("ready")
+    return table(spark, sf_dir, "pages").select("page_id", name.alias("name"), status.alias("status"), catalog.file_class(F.concat(F.lit("a.b/"), name)).alias("c")).select("page_id", "name", "status", "c.*")
+
+
+@query("cat11_file_classes", _OUT + " SELECT page_id, name, format, role, media_type FROM out")
 def file_classes(spark, sf_dir):
-    return table(spark, sf_dir, "pages").groupBy(catalog.file_class(F.col("url"))["format"].alias("format")).agg(F.count("*").alias("n"))
+    return outputs(spark, sf_dir).select("page_id", "name", "format", "role", F.coalesce("media_type", F.lit("-")).alias("media_type"))
 
 
-@query("cat12_output_presets", "SELECT page_id, url FROM pages WHERE url LIKE '%.html' AND page_id % 4 <> 1")
+@query("cat12_output_presets", _OUT + " SELECT 'ready_datasets' AS preset, page_id FROM out WHERE role = 'dataset' AND status = 'ready' UNION ALL SELECT 'json_sidecars', page_id FROM out WHERE format IN ('json', 'jsonl') OR role IN ('manifest', 'sidecar')")
 def output_presets(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").withColumn("status", F.when(F.col("page_id") % 4 == 1, "missing").otherwise("ready"))
-    return catalog.search(rows.withColumn("role", catalog.file_class(F.col("url"))["role"]), None, [], status="ready", role="page").select("page_id", "url")
+    parts = [catalog.preset(outputs(spark, sf_dir), name).select(F.lit(name).alias("preset"), "page_id") for name in ("ready_datasets", "json_sidecars")]
+    return parts[0].unionByName(parts[1])
 
 
 @query("cat13_job_filters", _JOB + " SELECT job_id, 'queued' AS status FROM job WHERE status = 'pending' AND kind = '1-URGENT'")
@@ -172,6 +198,13 @@ def revision_kinds(spark, sf_dir):
     return catalog.revision_kinds(revisions(spark, sf_dir), "conv_id", "turn", "text").groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query("cat17_migration_notes", """WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN 'Migrated from ' || (turn // 4) ELSE text END AS note FROM conversations)
+    SELECT CAST(conv_id AS VARCHAR) AS conv_id, string_agg(note, '|' ORDER BY began, note) AS notes FROM (SELECT conv_id, note, min(turn) AS began FROM r WHERE contains(lower(note), 'migrat') GROUP BY 1, 2) GROUP BY 1""")
+def migration_notes(spark, sf_dir):
+    note = F.when(F.col("turn") % 2 == 1, F.concat(F.lit("Migrated from "), F.expr("turn div 4").cast("string"))).otherwise(F.col("text"))
+    return catalog.migration_notes(revisions(spark, sf_dir).withColumn("note", note), "conv_id", "turn", "note").select("conv_id", F.array_join("notes", "|").alias("notes"))
+
+
 _NOW = "1998-01-01 00:00:00"
 
 
@@ -187,6 +220,11 @@ def status_counts(spark, sf_dir):
     return catalog.status_counts(jobs(spark, sf_dir).withColumn("status", catalog.shown_status(F.col("status"))), "status", catalog.STATUSES["job"])
 
 
+@query("cat19_output_counts", _OUT + " SELECT CAST(place AS INT) AS place, d.status, count(page_id) AS n FROM (VALUES (0, 'ready'), (1, 'missing'), (2, 'invalid')) AS d(place, status) LEFT JOIN out ON out.status = d.status GROUP BY 1, 2")
+def output_counts(spark, sf_dir):
+    return catalog.status_counts(outputs(spark, sf_dir), "status", catalog.STATUSES["output"])
+
+
 @query("cat20_value_counts", _JOB + " SELECT kind, count(*) AS n FROM job GROUP BY 1")
 def value_counts(spark, sf_dir):
     return catalog.value_counts(jobs(spark, sf_dir), "kind")
@@ -212,11 +250,12 @@ def daily_trend(spark, sf_dir):
     return catalog.daily_trend(series, "1997-01-01", 30).withColumn("day", F.col("day").cast("string"))
 
 
-@query("cat24_blockers", _JOB + " SELECT (SELECT count_if(c_acctbal < 0) FROM customer) AS failed_assets, (SELECT count_if(status = 'failed') FROM job) AS failed_jobs, (SELECT count_if(status = 'pending') FROM job) AS waiting_jobs")
+@query("cat24_blockers", _JOB + ", " + _OUT.removeprefix("WITH ") + """ SELECT (SELECT count_if(c_acctbal >= 0 AND c_acctbal < 1000) FROM customer) AS pending_assets, (SELECT count_if(c_acctbal < 0) FROM customer) AS failed_assets, (SELECT count_if(status = 'failed') FROM job) AS failed_jobs,
+    (SELECT count_if(status = 'failed' AND job_id % 2 = 0) FROM job) AS failed_conversions, (SELECT count_if(status = 'missing') FROM out) AS missing_outputs, (SELECT count_if(status = 'invalid') FROM out) AS invalid_outputs""")
 def blockers(spark, sf_dir):
-    a = assets(spark, sf_dir).agg(F.count_if(F.col("size") < 0).alias("failed_assets"))
-    j = jobs(spark, sf_dir).agg(F.count_if(F.col("status") == "failed").alias("failed_jobs"), F.count_if(F.col("status") == "pending").alias("waiting_jobs"))
-    return a.join(j, F.lit(True))
+    status = F.when(F.col("size") < 0, "failed").when(F.col("size") < 1000, "pending").otherwise("indexed")
+    every = jobs(spark, sf_dir)
+    return catalog.blockers(assets(spark, sf_dir).withColumn("status", status), every, every.where("job_id % 2 = 0"), outputs(spark, sf_dir))
 
 
 @query("cat25_reindex_selection", _JOB + " SELECT job_id FROM job WHERE status IN ('pending', 'failed')")

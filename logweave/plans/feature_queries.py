@@ -9,7 +9,7 @@ from logweave.functions import features, transforms
 from logweave.operators import align, inspection, validate
 from logweave.plans.log_queries import DAY, MSG, TIED, directory, tied
 from logweave.plans.session import table
-from logweave.sources.messages import bytes_envelope, decoded, embedded_payloads, messages, typed
+from logweave.sources.messages import bytes_envelope, decoded, decoded_by_hint, embedded_payloads, messages, typed
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -46,6 +46,15 @@ def decode_policy(spark, sf_dir):
     return decoded(broken, on_failure="skip").select("episode_id", "topic", "seq", "payload.value", "payload.k")
 
 
+@query("src9_type_hints", """ SELECT seq, CASE WHEN topic = '/view' THEN 'k=' || k WHEN topic = '/click' THEN 'v=' || CAST(round(value * 100) AS BIGINT) ELSE 'raw' END AS decoded FROM msg WHERE topic <> '/error'""")
+def type_hints(spark, sf_dir):
+    """Payloads by the types that topics are hinted to have; broken ones are left out, and counted."""
+    broken = messages(spark, sf_dir).withColumn("payload", F.when(F.col("topic") == "/error", F.lit("{broken")).otherwise(F.col("payload")))
+    out, _ = decoded_by_hint(broken, {"/view": "k long", "/click": "value double"}, on_failure="warn")
+    k, v = F.get_json_object("payload", "$.k"), F.get_json_object("payload", "$.value")
+    return out.select("seq", F.when(v.isNull(), F.concat(F.lit("k="), k)).when(k.isNull(), F.concat(F.lit("v="), F.round(v.cast("double") * 100).cast("long").cast("string"))).otherwise("raw").alias("decoded"))
+
+
 @query("src11_payload_json", " SELECT seq, json_extract_string(props, '$.k') AS k_text FROM (SELECT event_id AS seq, props FROM events)")
 def payload_json(spark, sf_dir):
     return messages(spark, sf_dir).select("seq", F.get_json_object("payload", "$.k").alias("k_text"))
@@ -219,6 +228,14 @@ def val_preview(spark, sf_dir):
     return validate.first_rows(built(spark, sf_dir), 5).select("episode_id", "seq", "price", "view_value", "view_value__present")
 
 
+@query("val5_preview_report", _SAMPLE + """, m AS (SELECT episode_id, list(seq ORDER BY ts_ns, seq)[1:3] AS seqs, count(*) AS checked, CAST(count_if(view_value__present = 0) AS BIGINT) AS bad, count_if(view_value__present = 0) / count(*) AS rate,
+    bool_or(rn <= 3 AND seq % 2 = 0) AS warned FROM first GROUP BY 1) SELECT episode_id, array_to_string(seqs, ',') AS seqs, checked, bad, bad AS missing, rate, 2 * bad AS missing_topic, CAST(warned AS INT) AS warnings FROM m""")
+def preview_report(spark, sf_dir):
+    payload = F.when(F.col("seq") % 2 == 0, '[{"data":1,"width":2}]').otherwise('{"data":1,"format":"x"}')
+    out = validate.preview(built(spark, sf_dir).withColumn("raw", payload), ["price", "view_value"], ["price", "view_value"], {"/view": ("view_value__present", 2)}, 3, 10, {"view_value": "raw"})
+    return out.select("episode_id", F.array_join(F.transform("rows", lambda r: r["seq"].cast("string")), ",").alias("seqs"), "checked", "bad", F.col("missing")["view_value"].alias("missing"), F.col("rates")["view_value"].alias("rate"), F.col("missing_topics")["/view"].alias("missing_topic"), F.size("warnings").alias("warnings"))
+
+
 @query("snk4_presence_encoding", _FEA + " SELECT seq, view_value__present, CASE WHEN view_value__present = 1 THEN 'kept' ELSE 'omitted' END AS state FROM fea")
 def presence_encoding(spark, sf_dir):
     from logweave.sources.sinks import presence_encoded

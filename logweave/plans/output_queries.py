@@ -95,10 +95,14 @@ def over_budget(spark, sf_dir):
     return validate.over_budget(built(spark, sf_dir), ["view_value"], 10, 1).select("episode_id", "bad")
 
 
-@query("val6_ambiguous_images", f"WITH {MSG} SELECT topic, topic IN ('/click', '/view') AS ambiguous FROM msg GROUP BY topic")
+@query("val6_ambiguous_images", f"""WITH {MSG} SELECT seq, CASE topic WHEN '/click' THEN k % 2 = 0 WHEN '/view' THEN FALSE WHEN '/purchase' THEN k % 3 > 0 ELSE FALSE END AS ambiguous FROM msg""")
 def ambiguous_images(spark, sf_dir):
-    keys = F.when(F.col("topic") == "/click", F.array(F.lit("data"), F.lit("height"))).when(F.col("topic") == "/view", F.array(F.lit("data"), F.lit("width"), F.lit("encoding"))).when(F.col("topic") == "/error", F.array(F.lit("data"), F.lit("format"))).otherwise(F.array(F.lit("value")))
-    return messages(spark, sf_dir).select("topic", validate.ambiguous_image_column(keys).alias("ambiguous")).distinct()
+    """Images whole and not, at the top, inside structs and inside lists."""
+    k = F.get_json_object("payload", "$.k").cast("int")
+    whole, half, packed, plain = ('{"data":[1],"height":1,"width":1,"encoding":"rgb8"}', '{"data":[1],"height":1}', '{"format":"png","data":"x","step":3}', '{"data":[1,2]}')
+    made = F.when(F.col("topic") == "/click", F.when(k % 2 == 0, half).otherwise(whole)).when(F.col("topic") == "/view", packed)
+    made = made.when(F.col("topic") == "/purchase", F.concat(F.lit('{"a":[1,[{"b":'), F.when(k % 3 > 0, half).otherwise(packed), F.lit("}]]}"))).otherwise(F.lit(f'{{"x":{plain}}}'))
+    return messages(spark, sf_dir).select("seq", validate.ambiguous_payload(F.try_parse_json(made)).alias("ambiguous"))
 
 
 @query("ins5_image_like", f"""WITH {MSG} SELECT topic, tail, kind, CASE tail WHEN 'rgb_data' THEN TRUE WHEN 'pixels' THEN contains(topic, '/Camera') OR kind IN ('bytes', 'struct') ELSE contains(topic, '/Camera') AND kind = 'bytes' END AS image

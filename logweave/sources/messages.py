@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.plans.session import table
@@ -62,6 +62,26 @@ def decoded(frame: DataFrame, schema: str = PAYLOAD, on_failure: str = "skip") -
     return frame.where(valid).withColumn("payload", parsed)
 
 
+def decoded_by_hint(frame: DataFrame, hints: dict[str, str], on_failure: str = "warn") -> tuple[DataFrame, Observation | None]:
+    """Payloads (JSON text) as the type that their topic is hinted to have, whatever their own says; others stay as they are.
+
+    Failures: ``skip`` drops the message, ``warn`` drops and counts it (``failures`` of the observation, once the frame has
+    run), ``fail`` stops the job.
+    """
+    if on_failure not in ("skip", "warn", "fail"):
+        raise ValueError(f"unknown failure policy {on_failure!r}")
+    shaped = F.col("payload")
+    for topic, schema in hints.items():
+        shaped = F.when(F.col("topic") == topic, F.to_json(F.from_json("payload", schema))).otherwise(shaped)
+    valid, seen = F.try_parse_json("payload").isNotNull(), None
+    if on_failure == "fail":
+        return frame.withColumn("payload", F.when(valid, shaped).otherwise(F.raise_error(F.concat(F.lit("undecodable message "), F.col("seq").cast("string"))))), None
+    if on_failure == "warn":
+        seen = Observation()
+        frame = frame.observe(seen, F.count_if(~valid).alias("failures"))
+    return frame.where(valid).withColumn("payload", shaped), seen
+
+
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with decoded payloads (``payload.value``, ``payload.k``)."""
     return messages(spark, sf_dir).withColumn("payload", F.from_json("payload", PAYLOAD))

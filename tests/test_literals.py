@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logweave.functions import features, images, transforms
 from logweave.operators import align, inspection, layout, mapping, profile, validate
 from logweave.sources import files, sinks, tfrecord
-from logweave.sources.messages import bytes_envelope, decoded, embedded_payloads, glob_topics
+from logweave.sources.messages import bytes_envelope, decoded, decoded_by_hint, embedded_payloads, glob_topics
 
 S = 1_000_000_000
 
@@ -163,6 +163,14 @@ def test_decode_policies(spark):
         decoded(frame, on_failure="fail").collect()
 
 
+def test_type_hints_and_warnings(spark):
+    frame = spark.createDataFrame([("e", "/a", 1, 1, "x", '{"value": 2, "k": 1}'), ("e", "/a", 2, 2, "x", "{broken"), ("e", "/b", 3, 3, "x", '{"k": 5}')], "episode_id string, topic string, ts_ns long, seq long, msgtype string, payload string")
+    out, seen = decoded_by_hint(frame, {"/a": "k int"})
+    assert sorted((r["seq"], r["payload"]) for r in out.collect()) == [(1, '{"k":1}'), (3, '{"k": 5}')] and seen.get["failures"] == 1
+    with pytest.raises(Exception, match="undecodable"):
+        decoded_by_hint(frame, {}, on_failure="fail")[0].collect()
+
+
 def test_concat_and_stack(spark):
     frame = spark.createDataFrame([([1.0, 2.0], [0.25, -0.25], [1.0])], "a array<double>, b array<double>, c array<double>")
     r = frame.select(features.concat(F.col("a"), F.array(F.lit(9.0))).alias("c1"), features.stack(F.col("b"), F.array(F.lit(0.0), F.lit(0.0))).alias("s0"), features.stack(F.col("a"), F.col("b"), axis=1).alias("s1"), features.stack(F.col("a"), F.col("c")).alias("bad")).first()
@@ -304,7 +312,9 @@ def test_validation(spark):
     assert (b["bad"], b["first_bad_ns"]) == (3, 0) and validate.over_budget(rows, ["f"], 5, 3).isEmpty()
     s = validate.label_summary(rows, "f", 9).first()
     assert (s["present"], s["missing"], s["examples"]) == (6, 3, ["3", "4", "5", "6", "7"])
-    assert validate.ambiguous_image(["data", "height"]) and not validate.ambiguous_image(["data", "format"])
+    odd = ['{"data":1,"height":2}', '{"data":1,"format":"x"}', '{"a":[[{"b":{"data":1,"step":2}}]]}', '{"data":1}', "[]", "3", "{"]
+    frame = spark.createDataFrame([(p,) for p in odd], "p string")
+    assert [r["a"] for r in frame.select(validate.ambiguous_payload(F.try_parse_json("p")).alias("a")).collect()] == [True, False, True, False, False, False, False]
 
 
 def test_the_rest_does_not_need_the_training_data_operators():
