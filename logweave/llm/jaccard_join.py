@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.components import components
-from logweave.llm.text import gram_hashes, hashed_words, signed
+from logweave.llm.text import free_memory, gram_hashes, hashed_words, signed
 from logweave.plans.session import scratch, ship_package, small, written
 
 CELLS = 1 << 22
@@ -122,6 +122,7 @@ def _prefixes(source: DataFrame, k: int, percent: int, order: np.ndarray) -> Dat
     def rows(batches):
         seen: set[int] = set()
         for batch in batches:
+            free_memory()
             tokens, names, sizes, places, lasts = [], [], [], [], []
             for body in batch.column(0):
                 own = shingle_set(body.as_py(), k)

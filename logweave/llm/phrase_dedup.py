@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.text import gram_hashes, hashed_words, signed, sliding_min, space_words
+from logweave.llm.text import free_memory, gram_hashes, hashed_words, signed, sliding_min, space_words
 from logweave.plans.session import scratch, ship_package, small, written
 
 PHRASE = 8
@@ -62,6 +62,7 @@ def _phrase_rows(source: DataFrame, window: int) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
+            free_memory()
             phrases, counts, at = [], [], []
             for i, body in enumerate(batch.column(1)):
                 grams = gram_hashes(hashed_words(body.as_py()), PHRASE)
@@ -187,6 +188,7 @@ def _searched(phrases: DataFrame, texts: DataFrame, window: int) -> DataFrame:
                     keep.append(i)
                     starts.append(found.astype("<i4").tobytes())
                     hashes.append(gram_hashes(hashed, window)[found].tobytes())
+            free_memory()
             where = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(3).take(where), batch.column(4).take(where), pa.array(starts, pa.binary()), pa.array(hashes, pa.binary())], ["id", "r", "starts", "hashes"])
 
@@ -264,6 +266,7 @@ def _cut(text, gone):
             words = [w for a, b in zip(left[::2], left[1::2], strict=True) for w in words[a:b]]
         n_removed.append(n_words[-1] - len(words))
         kept.append(b" ".join(words))
+    free_memory()
     return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], list(_RESULTS))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 
 #: Maps A-Z to a-z and every ASCII character that is no letter or digit to a space; bytes of non-ASCII characters stay.
 _ALNUM = bytes((c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20) for c in range(256))
@@ -119,15 +122,9 @@ def signed(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values).view(np.int64)
 
 
-def by_bytes(texts: list, limit: int) -> list[tuple[int, int]]:
-    """Consecutive runs ``(first, last)`` of texts whose bytes stay under ``limit`` (a longer text stands alone)."""
-    runs, first, size = [], 0, 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
-        if i > first and size + n > limit:
-            runs.append((first, i))
-            first, size = i, 0
-        size += n
-    if first < len(texts):
-        runs.append((first, len(texts)))
-    return runs
+def free_memory() -> None:
+    """Give freed memory back to the system, where the C library can: workers wait for their next task with it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from logweave.llm.text import free_memory
+
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Stands at a cut while a batch is taken apart; texts that hold it themselves are not cut.
 _CUT = "\x1f"
@@ -225,7 +227,7 @@ class Encoder:
             yield ids, np.cumsum(counts)
             if self._full():
                 self._make_room()
-        pa.default_memory_pool().release_unused()
+        free_memory()
 
     def ids(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """The ids of each text; null is an empty text."""
