@@ -19,7 +19,7 @@ PACKAGE = Path(__file__).resolve().parent.parent
 #: Bytes of Parquet files up to which a written table is broadcast.
 BROADCAST_BYTES = 16 << 20
 #: Bytes of an Arrow batch that a Python task gets at most (beyond one row).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
