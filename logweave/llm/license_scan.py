@@ -13,9 +13,10 @@
 The template tables are fixed and small (their size is known), so they are the broadcast side; the directory table is not
 hinted. No row pairs documents with documents.
 
+Rows are told apart by a hash of key, text and path, so null and shared keys keep their own licences.
 Defined results: null texts have no lines; null or empty paths have no directory and inherit nothing; equal scores take the
 template first in alphabetical order; two licence files of one directory: the one with the higher score, then the smaller
-path; repeated rows of one key give one row each.
+path; repeated rows give one row each; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -125,26 +126,28 @@ def _matched(candidates: DataFrame, templates: dict[str, tuple[str, ...]], least
 def scan(docs: DataFrame, path: Column, key: str = "doc_id", text: str = "text", least: float = 0.6, templates: dict[str, tuple[str, ...]] | None = None, whole: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """One row per document: ``key, path, license, score, via`` (``header``, ``inherited`` or ``none``) and ``licensed_dir``."""
     notices = templates or TEMPLATES
-    anchored = F.lower(text).rlike(ANCHORS)
-    headers = _matched(_candidates(docs, key, text, notices), notices, least).select("k", F.lit(0).alias("whole"), "license", "score", "n_words")
-    bodies = docs.where(anchored).select(F.col(key).alias("k"), F.col(text).alias("line"), F.lit(1).alias("times"))
+    row = F.xxhash64(key, text, path)
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), path.alias("path"), row.alias("k"))
+    anchored = F.lower("text").rlike(ANCHORS)
+    headers = _matched(_candidates(docs, "k", "text", notices), notices, least).select("k", F.lit(0).alias("whole"), "license", "score", "n_words")
+    bodies = docs.where(anchored).select("k", F.col("text").alias("line"), F.lit(1).alias("times"))
     files = _matched(bodies, whole or WHOLE, least).where("2 * n_known >= n_words").select("k", F.lit(1).alias("whole"), "license", "score", "n_words")
     order = F.struct(-F.col("whole"), -F.col("score"), F.col("license"), -F.col("n_words"))
     heads = headers.unionByName(files).groupBy("k").agg(F.min_by(F.struct("license", "score", "n_words"), order).alias("own"))
-    size = F.when(anchored, F.size(_terms(F.col(text))))
-    rows = docs.select(F.col(key).alias("k"), path.alias("path"), size.alias("size")).join(heads, "k", "left")
+    size = F.when(anchored, F.size(_terms(F.col("text"))))
+    rows = docs.select("key", "k", "path", size.alias("size")).join(heads, "k", "left")
     parts = F.split(F.col("path"), "/")
     up = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     ancestors = F.when(F.size(parts) > 1, up).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumn("ancestors", F.coalesce(ancestors, F.array().cast("array<string>")))
     files = rows.where(F.col("own").isNotNull() & (2 * F.col("own.n_words") >= F.col("size")) & (F.size("ancestors") > 0))
-    folders = files.groupBy(F.element_at("ancestors", -1).alias("dir")).agg(F.min_by(F.col("own.license"), F.struct(-F.col("own.score"), F.col("path"))).alias("dir_license"), F.max("own.score").alias("dir_score"))
+    folders = files.groupBy(F.try_element_at("ancestors", F.lit(-1)).alias("dir")).agg(F.min_by(F.col("own.license"), F.struct(-F.col("own.score"), F.col("path"))).alias("dir_license"), F.max("own.score").alias("dir_score"))
     # Directories of documents are few for each directory name: the nearest licensed ancestor is found once for each.
-    dirs = rows.where(F.size("ancestors") > 0).select(F.element_at("ancestors", -1).alias("at"), "ancestors").groupBy("at").agg(F.first("ancestors").alias("ancestors"))
+    dirs = rows.where(F.size("ancestors") > 0).select(F.try_element_at("ancestors", F.lit(-1)).alias("at"), "ancestors").groupBy("at").agg(F.first("ancestors").alias("ancestors"))
     nearest = dirs.select("at", F.posexplode("ancestors").alias("depth", "dir")).join(folders, "dir").groupBy("at").agg(F.max_by(F.struct("dir", "dir_license", "dir_score"), "depth").alias("up"))
-    rows = rows.withColumn("at", F.when(F.size("ancestors") > 0, F.element_at("ancestors", -1))).join(nearest, "at", "left")
+    rows = rows.withColumn("at", F.when(F.size("ancestors") > 0, F.try_element_at("ancestors", F.lit(-1)))).join(nearest, "at", "left")
     return rows.select(
-        F.col("k").alias(key),
+        F.col("key").alias(key),
         "path",
         F.coalesce("own.license", "up.dir_license").alias("license"),
         F.coalesce("own.score", "up.dir_score").alias("score"),

@@ -71,9 +71,9 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence of every document by its header or its nearest licensed directory, as ``source/lang/id`` paths."""
+    """Licence of every document by its header or, where the table has a ``path``, by its nearest licensed directory."""
     docs = table(spark, sf_dir, "documents")
-    return scan(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    return scan(docs, F.col("path") if "path" in docs.columns else F.lit(None).cast("string"))
 
 
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
