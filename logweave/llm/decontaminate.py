@@ -7,8 +7,10 @@ a first pass counts.  The second pass joins document shingles with those prefixe
 says where the window would have to start, positions that would leave the document are dropped (length and positional
 bound), and what is left is verified word for word.
 
-The benchmark is the small side, but its size is checked, not assumed: it is cut into blocks of at most
-``block_bytes`` of text, by a hash of the item, and each block is one pass over the documents.
+Both sides are tables: windows, frequencies, prefixes and what a document holds meet in joins that Spark broadcasts or
+shuffles by their size.  Each pass reads the documents once, whatever the size of the benchmark; a bitmap of
+``BITS`` bits (its size is fixed) tells which shingles of a document any prefix can hold, and with a benchmark that fills it
+more shingles reach the join.
 
 Defined results: null or empty texts have no words and no windows; an item with a null id still marks words but is
 not listed; items that repeat an id count once; repeated documents are reported each for itself, and null document
@@ -17,152 +19,152 @@ ids stay null; other document columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterator
-from functools import reduce
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.text import alnum_words
-from logweave.plans.session import ship_package
+from logweave.llm.text import alnum_text, gram_hashes, hashed_words, signed
+from logweave.plans.session import scratch, ship_package, written
 
 SHINGLE = 3
-BLOCK_BYTES = 2_000_000
+#: Bits of the bitmaps of shingles, 8 MB.
+BITS = 1 << 26
 _SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def _windows(words: list[bytes], window: int) -> Iterator[tuple[bytes, ...]]:
-    if words:
-        for i in range(max(1, len(words) - window + 1)):
-            yield tuple(words[i : i + window])
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping or touching half-open spans joined, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
-def _shingles(words: list[bytes] | tuple[bytes, ...], k: int):
-    return zip(*(words[j:] for j in range(k)), strict=False)
+def _windows(bench: DataFrame, window: int) -> DataFrame:
+    """``w, n, shingles, items``: each different window, its number of words, the hashes of its shingles, and the items that hold it."""
 
+    def rows(batches):
+        for batch in batches:
+            for item, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = alnum_text(body.as_py())
+                words = text.split()
+                if not words:
+                    continue
+                n = min(window, len(words))
+                k = min(SHINGLE, n)
+                grams = signed(gram_hashes(hashed_words(text), k))
+                starts = range(len(words) - n + 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([item] * len(starts), pa.string()), pa.array([b" ".join(words[a : a + n]) for a in starts], pa.binary()), pa.array([n] * len(starts), pa.int32()), pa.array([grams[a : a + n - k + 1] for a in starts], pa.list_(pa.int64()))],
+                    ["item", "w", "n", "shingles"],
+                )
+
+    each = bench.mapInArrow(rows, "item string, w binary, n int, shingles array<long>")
+    return each.groupBy("w").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.collect_set("item").alias("items"))
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """The bitmap of a column of hashes: at most ``BITS / 32768`` rows of 4 KB come to the driver."""
+    cell = 1 + F.col(hashes.columns[0]).bitwiseAND(F.lit(BITS - 1))
+    rows = hashes.groupBy(F.bitmap_bucket_number(cell).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias("bits"))
+    out = np.zeros(BITS // 8, dtype=np.uint8)
+    for row in rows.collect():
+        out[4096 * (row["bucket"] - 1) : 4096 * row["bucket"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out
 
-def _sizes(windows) -> dict[int, set]:
-    """Shingles of all windows by shingle size; windows shorter than a shingle are one shingle."""
-    by_size: dict[int, set] = defaultdict(set)
-    for w in windows:
-        k = min(SHINGLE, len(w))
-        by_size[k].update(_shingles(w, k))
-    return dict(by_size)
 
+def _held(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Places of the shingles that are in a bitmap."""
+    cells = (grams & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return np.flatnonzero((bits[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1)
 
-def _frequencies(docs: DataFrame, text: str, shingles: dict[int, set]) -> dict[tuple, int]:
-    """Document frequency of the given shingles over the whole corpus, counted in the tasks before they are summed."""
-    held = docs.sparkSession.sparkContext.broadcast(shingles)
 
-    def count(batches):
-        seen: Counter = Counter()
+def _frequencies(source: DataFrame, sizes: list[int], bits: np.ndarray) -> DataFrame:
+    """``h, df``: in how many documents each shingle of the bitmap stands."""
+    shared = source.sparkSession.sparkContext.broadcast(bits)
+
+    def rows(batches):
         for batch in batches:
+            found = []
             for body in batch.column(0):
-                words = alnum_words(body.as_py())
-                for k, wanted in held.value.items():
-                    seen.update(wanted.intersection(_shingles(words, k)))
-        keys = [b" ".join(x) for x in seen]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(list(seen.values()), pa.int64())], ["shingle", "n"])
-
-    rows = docs.select(F.col(text).cast("binary").alias("body")).mapInArrow(count, "shingle binary, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return {tuple(bytes(r["shingle"]).split(b" ")): r["n"] for r in rows.toLocalIterator()}
-
-
-def _prefix_index(items: dict[tuple, list], frequency: dict[tuple, int]) -> dict[int, dict]:
-    """Rarest shingle of each window -> [(its place in the window, the window, its items)], by shingle size."""
-    index: dict[int, dict] = defaultdict(lambda: defaultdict(list))
-    for w, ids in items.items():
-        k = min(SHINGLE, len(w))
-        at, rarest = min(enumerate(_shingles(w, k)), key=lambda x: (frequency.get(x[1], 0), x[1], x[0]))
-        index[k][rarest].append((at, w, ids))
-    return {k: dict(v) for k, v in index.items()}
-
-
-def _located(words: list[bytes], index: dict[int, dict]) -> tuple[list[tuple[int, int]], set]:
-    """Merged word spans covered by windows, and the items of those windows."""
-    spans, found, n = [], set(), len(words)
-    for k, entries in index.items():
-        if entries.keys().isdisjoint(_shingles(words, k)):
-            continue
-        for i, shingle in enumerate(_shingles(words, k)):
-            for at, w, ids in entries.get(shingle, ()):
-                start, end = i - at, i - at + len(w)
-                if start >= 0 and end <= n and tuple(words[start:end]) == w:
-                    spans.append((start, end))
-                    found.update(ids)
-    return merged(spans), found
+                words = hashed_words(alnum_text(body.as_py()))
+                for k in sizes:
+                    grams = gram_hashes(words, k)
+                    found.append(np.unique(grams[_held(shared.value, grams)]))
+            if found:
+                values, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(values)), pa.array(n.astype(np.int64))], ["h", "n"])
 
+    return source.select("body").mapInArrow(rows, "h long, n long").groupBy("h").agg(F.sum("n").alias("df"))
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping or touching half-open spans joined, in order."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
 
+def _prefixes(windows: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """``h, at, n, w, items``: the rarest shingle of each window and its place there."""
+    each = windows.select("w", F.posexplode("shingles").alias("at", "h")).join(frequencies, "h", "left")
+    rarest = each.groupBy("w").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "at")).alias("x"))
+    return rarest.select("w", "x.h", "x.at").join(windows.select("w", "n", "items"), "w")
 
-def _pass(docs: DataFrame, text: str, key: str, index: dict[int, dict]) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(index)
 
-    def probe(batches):
+def _probed(source: DataFrame, sizes: list[int], bits: np.ndarray, window: int) -> DataFrame:
+    """``id, r, n_words, hits``: of each document, the shingles a prefix can hold: hash, place, words before it, and the words around it."""
+    shared, kind = source.sparkSession.sparkContext.broadcast(bits), dict(source.dtypes)["id"]
+    shape = pa.list_(pa.struct([("h", pa.int64()), ("i", pa.int32()), ("lead", pa.int32()), ("around", pa.string())]))
+
+    def rows(batches):
+        for batch in batches:
+            counts, hits = [], []
+            for body in batch.column(2):
+                text = alnum_text(body.as_py())
+                hashed, words, own = hashed_words(text), None, []
+                for k in sizes:
+                    grams = gram_hashes(hashed, k)
+                    for i in _held(shared.value, grams).tolist():
+                        words = text.split() if words is None else words
+                        first = max(0, i - window + 1)
+                        own.append({"h": int(grams[i : i + 1].view(np.int64)[0]), "i": i, "lead": i - first, "around": b" ".join(words[first : i + window]).decode()})
+                counts.append(len(hashed))
+                hits.append(own or None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hits, shape)], ["id", "r", "n_words", "hits"])
+
+    return source.select("id", "r", "body").mapInArrow(rows, f"id {kind}, r long, n_words long, hits array<struct<h:long,i:int,lead:int,around:string>>")
+
+
+def _found(probed: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """``r, spans, items``: verified windows of each document that has any, as merged word spans."""
+    hits = probed.where("hits is not null").select("r", F.explode("hits").alias("x")).select("r", "x.*")
+    once = hits.groupBy("r", "h", "i").agg(F.first("lead").alias("lead"), F.first("around").alias("around"))  # equal rows hold the same
+    start = F.col("i") - F.col("at")
+    place = F.greatest(F.col("lead") - F.col("at"), F.lit(0)) + 1
+    same = F.array_join(F.slice(F.split("around", " "), place, F.col("n")), " ").cast("binary") == F.col("w")
+    met = once.join(prefixes, "h").where((start >= 0) & same)
+    gathered = met.select("r", F.struct(start.alias("a"), (start + F.col("n")).alias("b")).alias("span"), "items").groupBy("r").agg(F.collect_set("span").alias("spans"), F.collect_set("items").alias("items"))
+
+    def merge(batches):
         for batch in batches:
-            ns, spans, items = [], [], []
-            for body in batch.column(1):
-                words = alnum_words(body.as_py())
-                s, found = _located(words, held.value)
-                ns.append(len(words))
-                spans.append([{"a": a, "b": b} for a, b in s])
-                items.append(sorted(x for x in found if x is not None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), batch.column(2)], ["doc_key", "n_words", "spans", "items", "digest"])
+            spans = [[{"a": a, "b": b} for a, b in merged([(x["a"], x["b"]) for x in row])] for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS), batch.column(2)], ["r", "spans", "items"])
 
-    shape = f"doc_key {dict(docs.dtypes)[key]}, n_words long, spans array<struct<a:int,b:int>>, items array<string>, digest string"
-    return docs.select(F.col(key).alias("doc_key"), F.col(text).cast("binary").alias("body"), F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b""))).alias("digest")).mapInArrow(probe, shape)
+    items = F.array_sort(F.array_distinct(F.flatten("items"))).alias("items")
+    return gathered.select("r", "spans", items).mapInArrow(merge, "r long, spans array<struct<a:int,b:int>>, items array<string>")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """One row per document: ``key, n_words, spans`` (covered word spans, half open, merged) and ``items`` (ids as strings, sorted)."""
     spark = docs.sparkSession
     ship_package(spark)
     bench = benchmark.select(F.col(item_key).cast("string").alias("item"), F.col(item_text).cast("binary").alias("body"))
-    total = bench.agg(F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("b")).first()["b"]
-    blocks = max(1, -(-total // block_bytes))
-    parts = []
-    for block in range(blocks):
-        items: dict[tuple, list] = defaultdict(list)
-        for row in bench.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == block).toLocalIterator():
-            for w in set(_windows(alnum_words(bytes(row["body"]) if row["body"] is not None else None), window)):
-                items[w].append(row["item"])
-        index = _prefix_index(items, _frequencies(docs, text, _sizes(items))) if items else {}
-        if index or block == 0:
-            parts.append(_pass(docs, text, key, index))
-    if len(parts) == 1:
-        return parts[0].drop("digest").withColumnRenamed("doc_key", key)
-    return _folded(parts, key)
-
-
-def _folded(parts: list[DataFrame], key: str) -> DataFrame:
-    """The blocks' findings for one document together. Repeated rows have equal findings in each block, so they are
-    folded by (key, digest of the text) and given back as many times as a block has them."""
-    both = reduce(DataFrame.unionByName, parts)
-    grouped = both.groupBy("doc_key", "digest").agg(
-        F.first("n_words").alias("n_words"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.count("*").alias("times"),
-    )
-
-    def merge(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index("spans")
-            spans = [[{"a": a, "b": b} for a, b in merged([(x["a"], x["b"]) for x in row])] for row in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(spans, _SPANS))
-
-    shape = f"doc_key {dict(both.dtypes)['doc_key']}, n_words long, spans array<struct<a:int,b:int>>, items array<string>, times long"
-    one = grouped.select("doc_key", "n_words", "spans", "items", "times").mapInArrow(merge, shape)
-    again = F.explode(F.sequence(F.lit(1), F.expr(f"times div {len(parts)}")))
-    return one.select(F.col("doc_key").alias(key), "n_words", "spans", "items", again.alias("_copy")).drop("_copy")
+    source = docs.select(F.col(key).alias("id"), F.xxhash64(key, text).alias("r"), F.col(text).cast("binary").alias("body"))
+    with scratch(spark) as folder:
+        windows = written(_windows(bench, window), "windows", folder)
+        sizes = sorted(windows.agg(F.collect_set(F.least("n", F.lit(SHINGLE))).alias("k")).first()["k"])
+        frequencies = written(_frequencies(source, sizes, _bitmap(windows.select(F.explode("shingles")))), "frequencies", folder)
+        prefixes = written(_prefixes(windows, frequencies), "prefixes", folder)
+        probed = written(_probed(source, sizes, _bitmap(prefixes.select("h")), window), "probed", folder)
+        found = written(_found(probed, prefixes), "found", folder)
+        joined = probed.select("id", "r", "n_words").join(found, "r", "left")
+        spans, items = F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")), F.coalesce("items", F.array().cast("array<string>"))
+        return written(joined.select(F.col("id").alias(key), "n_words", spans.alias("spans"), items.alias("items")), "contamination")

@@ -13,9 +13,14 @@ _MULTIPLIER = 0x9E3779B97F4A7C15
 _BYTE = 0xD6E8FEB86659FD93
 
 
+def alnum_text(text: bytes | None) -> bytes:
+    """A text of words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with spaces between, after lower-casing A-Z; null is empty."""
+    return text.translate(_ALNUM) if text else b""
+
+
 def alnum_words(text: bytes | None) -> list[bytes]:
-    """Words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z; null has none."""
-    return text.translate(_ALNUM).split() if text else []
+    """The words of ``alnum_text``."""
+    return alnum_text(text).split()
 
 
 def space_words(text: bytes | None) -> list[bytes]:

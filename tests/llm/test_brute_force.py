@@ -141,21 +141,22 @@ def brute_hits(rows, items):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [2_000_000, 300])
-def test_contamination_matches_brute_force(spark, docs, block_bytes):
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 15])
+def test_contamination_matches_brute_force(spark, docs, monkeypatch, bits):
+    monkeypatch.setattr(decontaminate, "BITS", bits)
     words = corpus()[1][1].split()
     items = [(1, " ".join(words[5:40]).upper()), (2, " ".join(words[10:22])), (2, "b C d"), (3, "zz yy"), (4, None), (5, ""), (None, "x" * 5000), (6, corpus()[0][1]), (7, "a")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r["doc_id"]: (r["n_words"], sum(s["b"] - s["a"] for s in r["spans"]), list(r["items"])) for r in decontaminate.contamination(docs, bench, block_bytes=block_bytes).collect()}
+    got = {r["doc_id"]: (r["n_words"], sum(s["b"] - s["a"] for s in r["spans"]), list(r["items"])) for r in decontaminate.contamination(docs, bench).collect()}
     assert got == brute_hits(corpus(), items)
-    none = decontaminate.contamination(docs, bench.where("false"), block_bytes=block_bytes)
+    none = decontaminate.contamination(docs, bench.where("false"))
     assert none.where("size(spans) > 0").count() == 0 and none.count() == len(corpus())
 
 
-def test_repeated_documents_keep_their_number_in_blocks(spark):
+def test_repeated_documents_keep_their_number(spark):
     rows = spark.createDataFrame([(1, "b c d"), (1, "b c d"), (None, "e"), (1, "q")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "b c d"), (2, "e f g h i j k l m n o p q r s")], "item_id long, text string")
-    got = decontaminate.contamination(rows, bench, block_bytes=5)
+    got = decontaminate.contamination(rows, bench)
     assert sorted((r["doc_id"] or 0, r["n_words"], len(r["spans"])) for r in got.collect()) == [(0, 1, 0), (1, 1, 0), (1, 3, 1), (1, 3, 1)]
 
 
