@@ -79,3 +79,13 @@ def pixel_bytes(pixels: Column) -> Column:
         return pd.Series(out, dtype=object)
 
     return run(pixels)
+
+
+def payload(pixels: Column, contract: str = "bytes_v2") -> Column:
+    """An integer list of pixels as an output holds it: ``bytes_v2`` as bytes (an error where a value is no byte), ``legacy_list_v1`` as it is."""
+    if contract == "legacy_list_v1":
+        return pixels.cast("array<bigint>")
+    if contract != "bytes_v2":
+        raise ValueError(f"unknown image payload contract {contract!r}")
+    whole = F.forall(pixels, lambda x: x.between(0, 255))
+    return F.when(pixels.isNotNull(), F.when(whole, pixel_bytes(pixels)).otherwise(F.raise_error(F.lit("image data values must be in the range 0 to 255")).cast("binary")))

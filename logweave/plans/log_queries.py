@@ -304,13 +304,18 @@ def topic_summary(spark, sf_dir):
     return profile.topic_summary(profile.topic_directory(messages(spark, sf_dir)))
 
 
-@query("agg6_index_payload", f""", d AS (SELECT episode_id, topic, {_CLASS} AS m, {_FAMILY} AS f, count(*) AS n FROM msg GROUP BY ALL)
-    SELECT episode_id, episode_id || ':default' AS default_episode, string_agg(topic || ':' || m || ':' || n, ',' ORDER BY topic) AS lanes,
-    CASE WHEN count_if(f <> 'other') > 0 THEN array_to_string(list_sort(list_distinct(list(f) FILTER (f <> 'other'))), ',') ELSE 'other' END AS sensor_types, CAST(sum(n) AS BIGINT) AS message_count FROM d GROUP BY 1""")
+@query("agg6_index_payload", f""", d AS (SELECT episode_id, topic, {_CLASS} AS m, {_FAMILY} AS f, count(*) AS n FROM msg GROUP BY ALL), fam AS (SELECT episode_id, f, min(topic) AS began FROM d GROUP BY 1, 2),
+    kinds AS (SELECT episode_id, coalesce(string_agg(f, ',' ORDER BY began) FILTER (f <> 'other'), 'other') AS sensor_types FROM fam GROUP BY 1)
+    SELECT episode_id, episode_id || ':default' AS default_episode, string_agg(topic || ':' || m || ':' || n, ',' ORDER BY topic) AS lanes, any_value(sensor_types) AS sensor_types, CAST(sum(n) AS BIGINT) AS message_count,
+    count(*) AS topic_count, count_if(m <> 'other') AS default_lane_count, CASE WHEN length(episode_id) % 2 = 0 THEN episode_id || '.bag' ELSE episode_id || '.mcap' END AS file_path, length(episode_id) AS file_size_bytes,
+    CASE WHEN length(episode_id) % 2 = 0 THEN 'ROS1' ELSE 'ROS2' END AS ros_version, 'zstd' AS compression_format FROM d JOIN kinds USING (episode_id) GROUP BY 1""")
 def index_payload(spark, sf_dir):
     m = messages(spark, sf_dir)
-    p = profile.index_payload(m, profile.topic_directory(m))
-    return p.select("episode_id", "default_episode", F.array_join(F.transform("lanes", lambda x: F.concat_ws(":", x["topic"], x["modality"], x["message_count"].cast("string"))), ",").alias("lanes"), F.array_join("sensor_types", ",").alias("sensor_types"), "message_count")
+    name = F.length("episode_id")
+    logs = m.select("episode_id").distinct().select("episode_id", F.concat("episode_id", F.when(name % 2 == 0, ".bag").otherwise(".mcap")).alias("path"), name.cast("long").alias("length"), F.lit("zstd").alias("compression"))
+    p = profile.index_payload(m, profile.topic_directory(m), logs)
+    lanes = F.array_join(F.transform("lanes", lambda x: F.concat_ws(":", x["topic"], x["modality"], x["message_count"].cast("string"))), ",").alias("lanes")
+    return p.select("episode_id", "default_episode", lanes, F.array_join("sensor_types", ",").alias("sensor_types"), "message_count", "topic_count", "default_lane_count", "file_path", "file_size_bytes", "ros_version", "compression_format")
 
 
 @query("agg7_index_upsert", """ SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 AND c_acctbal >= 0 THEN 'new ' || c_name WHEN c_custkey % 2 = 0 THEN 'old ' || c_name END AS payload,

@@ -265,6 +265,16 @@ def test_images():
         images.crop(pixels, 1, 1, 2, 2)
 
 
+def test_image_payload_contracts(spark):
+    frame = spark.createDataFrame([([0, 255, 7],), (None,)], "p array<int>")
+    got = frame.select(images.payload(F.col("p")).alias("b"), images.payload(F.col("p"), "legacy_list_v1").alias("l")).collect()
+    assert (bytes(got[0]["b"]), got[0]["l"], got[1]["b"], got[1]["l"]) == (b"\x00\xff\x07", [0, 255, 7], None, None)
+    with pytest.raises(Exception, match="range 0 to 255"):
+        spark.createDataFrame([([256],)], "p array<int>").select(images.payload(F.col("p"))).collect()
+    with pytest.raises(ValueError):
+        images.payload(F.col("p"), "other")
+
+
 def test_candidates_and_drafts(spark):
     rows = [("e", "/joy", i, i, "m/Joy", json.dumps({"axes": [0.5, 1.0], "buttons": [1] * (1 + i % 2), "on": True, "pose": {"x": i}})) for i in range(4)]
     rows += [("e", "/cam", i, i, "m/Image", json.dumps({"data": {"__bytes__": True, "encoding": "base64", "value": "AA=="}, "height": 2})) for i in range(3)]
