@@ -62,9 +62,9 @@ def has_shape(value: Column, shape: list[int]) -> Column:
 
 
 def has_dtype(variant: Column, dtype: str) -> Column:
-    """Whether a variant scalar is of a feature type: booleans are no numbers, whole numbers pass as floats."""
+    """Whether a variant scalar is of a feature type: booleans are no numbers, whole numbers pass as floats, ``1.0`` is no whole number."""
     kind = F.schema_of_variant(variant)
-    whole, number = kind.rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))$"), kind.rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|FLOAT|DOUBLE)")
+    whole, number = kind.rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\((19|[23]\d),0\))$"), kind.rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|FLOAT|DOUBLE)")
     return {"int64": whole, "float32": number, "float64": number, "bool": kind == "BOOLEAN", "bytes": kind == "BINARY", "json": F.lit(True)}[dtype]
 
 

@@ -133,18 +133,20 @@ def feature_build(spark, sf_dir):
     return rows.select("seq", "price", "view_value", F.coalesce(F.array_position("click_bin", 1) - 1, F.lit(-1)).alias("click_bin"), "price__present", "view_value__present", "click_bin__present")
 
 
-@query("fea7_shape_check", " SELECT vec_id, len(embedding) = 64 AS flat, TRUE AS any_size, FALSE AS nested FROM embeddings", plain=True)
+@query("fea7_shape_check", " SELECT vec_id, vec_id % 4 = 2 AS flat, vec_id % 4 = 3 AS nested, vec_id % 4 = 1 AS deep FROM embeddings", plain=True)
 def shape_check(spark, sf_dir):
-    e = F.col("embedding")
-    return table(spark, sf_dir, "embeddings").select("vec_id", features.has_shape(e, [64]).alias("flat"), features.has_shape(e, [-1, 7]).alias("any_size"), features.has_shape(F.array(e, e), [2, 63]).alias("nested"))
+    """Lists of 0 to 3 values, alone, in a list, and in a list of lists."""
+    e = F.slice("embedding", F.lit(1), (F.col("vec_id") % 4).cast("int"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", features.has_shape(e, [2]).alias("flat"), features.has_shape(F.array(e, e), [2, 3]).alias("nested"), features.has_shape(F.array(F.array(e), F.array(e)), [2, 1, 1]).alias("deep"))
 
 
-@query("fea8_dtype_check", " SELECT seq, TRUE AS whole_is_int, TRUE AS whole_is_float, FALSE AS bool_is_int, FALSE AS text_is_float FROM msg")
+@query("fea8_dtype_check", " SELECT seq, seq % 5 = 0 AS is_int, seq % 5 < 2 AS is_float, seq % 5 = 2 AS is_bool, topic IN ('/view', '/click') AND seq % 5 = 0 AS int_of_some FROM msg")
 def dtype_check(spark, sf_dir):
-    v = lambda text: F.try_parse_json(text)
-    k = F.get_json_object("payload", "$.k")
-    truth, word = F.when(F.col("seq") % 2 == 0, "true").otherwise("false"), F.concat(F.lit('"'), "topic", F.lit('"'))
-    return messages(spark, sf_dir).select("seq", features.has_dtype(v(k), "int64").alias("whole_is_int"), features.has_dtype(v(k), "float64").alias("whole_is_float"), features.has_dtype(v(truth), "int64").alias("bool_is_int"), features.has_dtype(v(word), "float32").alias("text_is_float"))
+    """Whole numbers, fractions, truth values, texts and lists in turn."""
+    k, turn = F.get_json_object("payload", "$.k"), F.col("seq") % 5
+    v = F.try_parse_json(F.when(turn == 0, k).when(turn == 1, F.concat(k, F.lit(".5"))).when(turn == 2, "true").when(turn == 3, F.concat(F.lit('"'), k, F.lit('"'))).otherwise(F.concat(F.lit("["), k, F.lit("]"))))
+    some = F.when(F.col("topic").isin("/view", "/click"), v).otherwise(F.try_parse_json(F.lit('"text"')))
+    return messages(spark, sf_dir).select("seq", features.has_dtype(v, "int64").alias("is_int"), features.has_dtype(v, "float64").alias("is_float"), features.has_dtype(v, "bool").alias("is_bool"), features.has_dtype(some, "int64").alias("int_of_some"))
 
 
 @query("fea9_bytes_coercion", " SELECT seq, CASE WHEN k BETWEEN 0 AND 255 THEN printf('%02X', k) || '00FF' ELSE 'none' END AS bytes FROM msg")
@@ -158,10 +160,12 @@ def trf_cast(spark, sf_dir):
     return typed(spark, sf_dir).select("seq", transforms.cast("int64")(v).alias("whole"), transforms.cast("bool")(k).alias("truth"), transforms.cast("float64")(k).alias("real"))
 
 
-@query("trf2_length", """ SELECT vec_id, 70 AS padded, 10 AS cut, FALSE AS exact, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings""", plain=True)
+@query("trf2_length", """ WITH e AS (SELECT vec_id, embedding[1:vec_id % 64] AS v FROM embeddings) SELECT vec_id, round(CAST(coalesce(v[30], 0) AS DOUBLE), 6) AS thirtieth, 30 AS padded, CASE WHEN len(v) < 3 THEN -1 ELSE least(len(v), 10) END AS cut, len(v) = 7 AS exact FROM e""", plain=True)
 def trf_length(spark, sf_dir):
-    e = F.col("embedding")
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(transforms.length(pad_to=70, pad_value=0.0)(e)).alias("padded"), F.size(transforms.length(truncate_to=10, minimum=3)(e)).alias("cut"), transforms.length(exact=63)(e).isNotNull().alias("exact"), F.round(transforms.length(truncate_to=1)(e)[0].cast("double"), 6).alias("first"))
+    """Lists of 0 to 63 values: filled or cut to 30, cut to 10 (missing below 3), and of 7 only."""
+    v = F.slice("embedding", F.lit(1), (F.col("vec_id") % 64).cast("int"))
+    padded, cut = transforms.length(pad_to=30, pad_value=0.0)(v), transforms.length(truncate_to=10, minimum=3)(v)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(padded[29].cast("double"), 6).alias("thirtieth"), F.size(padded).alias("padded"), F.when(cut.isNull(), -1).otherwise(F.size(cut)).alias("cut"), transforms.length(exact=7)(v).isNotNull().alias("exact"))
 
 
 def _total(x):
