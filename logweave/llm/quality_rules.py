@@ -36,15 +36,16 @@ POLICIES: dict[str, tuple[str, ...]] = {
 }
 
 
-def _materialised(frame: DataFrame, **columns: Column) -> DataFrame:
+def _with(frame: DataFrame, **columns: Column) -> DataFrame:
+    """The frame with columns given by name."""
     return frame.withColumns(columns)
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the measurements of every whole text: no shuffle, arrays of one document at a time."""
     body = F.coalesce(F.col(text), F.lit(""))
-    frame = _materialised(docs, _words=F.array_remove(F.split(F.translate(body, _BLANKS, " " * len(_BLANKS)), " "), ""), _lines=F.filter(F.split(body, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
-    frame = _materialised(
+    frame = _with(docs, _words=F.array_remove(F.split(F.translate(body, _BLANKS, " " * len(_BLANKS)), " "), ""), _lines=F.filter(F.split(body, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
+    frame = _with(
         frame,
         n_words=F.size("_words").cast("long"),
         word_chars=F.length(F.translate(body, " " + _BLANKS, "")).cast("long"),
@@ -58,18 +59,18 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     # Equal 3-word windows meet by sorting; a window is repeated if it equals a neighbour in sorted order.
     repeated = F.size("_grams") > F.size(F.array_distinct("_grams"))
-    frame = _materialised(frame, _sorted=F.when(repeated, F.sort_array(F.transform("_grams", lambda gram, i: F.struct(gram.alias("g"), i.alias("at"))))))
+    frame = _with(frame, _sorted=F.when(repeated, F.sort_array(F.transform("_grams", lambda gram, i: F.struct(gram.alias("g"), i.alias("at"))))))
     flagged = F.transform(
         "_sorted",
         lambda x, i: F.when(x["g"].eqNullSafe(F.get("_sorted", i - 1)["g"]) | x["g"].eqNullSafe(F.get("_sorted", i + 1)["g"]), x["at"]),
     )
-    frame = _materialised(frame, _starts=F.sort_array(F.array_compact(flagged)))
+    frame = _with(frame, _starts=F.sort_array(F.array_compact(flagged)))
     covered = F.aggregate(
         F.transform("_starts", lambda at, i: F.least(F.lit(3), F.coalesce(F.get("_starts", i + 1) - at, F.lit(3)))),
         F.lit(0),
         lambda total, x: total + x,
     )
-    frame = _materialised(frame, n_repeat_words=F.coalesce(covered, F.lit(0)).cast("long"))
+    frame = _with(frame, n_repeat_words=F.coalesce(covered, F.lit(0)).cast("long"))
     return frame.drop("_words", "_lines", "_grams", "_sorted", "_starts")
 
 

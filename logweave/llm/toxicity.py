@@ -12,7 +12,8 @@ the sample), which keeps long documents from adding up noise.
 parameter ``sample``. All documents are scored.
 
 Defined results: a null text has no words and gets the model's base severity; labels that are null or without a document
-are ignored; without both kinds of labels the severity is 0 for every document; repeated documents are each scored.
+are ignored; without both kinds of labels the severity is 0 for every document; repeated documents are each scored, and of
+those that share a labelled id the least text in byte order is fitted on; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.text import alnum_words
-from logweave.plans.session import ship_package
+from logweave.plans.session import ship_package, written
 
 SAMPLE = 20_000
 FEATURES = 4_096
@@ -88,11 +89,13 @@ def fit_ordinal(rows: list[tuple[int, list[int]]], n_features: int, grades: int
 
 
 def fit_severity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, features: int = FEATURES) -> SeverityModel:
-    """Select the vocabulary with one pass over the labelled sample, read its presence with another, and fit."""
+    """Select the vocabulary from the labelled sample, read its presence, and fit."""
     ship_package(docs.sparkSession)
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("k"), "k").limit(sample)  # at most `sample` rows of two numbers
-    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("body")).join(F.broadcast(chosen), "k").select("toxic", "body")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("body")).join(F.broadcast(chosen), "k")
+    # One text for each labelled id, so that what is collected stays within the sample; documents are read once for it.
+    rows = written(rows.groupBy("k").agg(F.first("toxic").alias("toxic"), F.min("body").alias("body")).select("toxic", "body"), "labelled")
 
     def words(batches):
         for batch in batches:
