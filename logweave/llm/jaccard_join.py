@@ -249,8 +249,9 @@ def _components(docs: DataFrame, key: str, text: str, k: int, percent: int, fold
         single = over.join(groups, F.col("node") == F.col("c"), "left_anti").select(F.col("node").alias("c"), F.col("component").alias("g"))
         named = known.unionByName(single).groupBy("c").agg(F.min("g").alias("g"))
     classes = light.where("c is not null").groupBy("c").agg(F.min("k").alias("first")).join(named, "c", "left").select("c", "first", F.coalesce("g", "c").alias("g"))
-    roots = classes.groupBy("g").agg(F.min("first").alias("root"))
-    final = classes.join(roots, "g").select("c", "root")
+    classes = written(classes, "named", folder)
+    roots = written(classes.groupBy("g").agg(F.min("first").alias("root")), "roots", folder)
+    final = classes.join(small(roots), "g").select("c", "root")
     return light.join(final, "c", "left").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.col("c").alias("class_id"), F.when(F.col("c").isNull(), F.col("k")).otherwise(F.col("root")).alias("component_id"))
 
 
