@@ -24,7 +24,7 @@ def test_empty_lists_are_merged(spark, tmp_path):
 
 
 def test_four_items_of_a_list_are_entered(spark):
-    sample = spark.createDataFrame([("/t", json.dumps({"a": [{"x": i} for i in range(6)]}))], "topic string, payload string")
+    sample = spark.createDataFrame([("e", "/t", 1, 1, json.dumps({"a": [{"x": i} for i in range(6)]}))], "episode_id string, topic string, ts_ns long, seq long, payload string")
     assert {r["path"] for r in inspection.walk(sample).where("depth = 2").collect()} == {f"a.{i}" for i in range(4)}
 
 
