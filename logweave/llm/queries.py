@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.llm.conversation_repair import damaged, joined_sha256, repair
 from logweave.llm.decontaminate import contamination
+from logweave.llm.hard_negatives import hard_negatives, integer_vectors, with_moved_labels
 from logweave.llm.html_extract import extract_main_text
 from logweave.llm.jaccard_join import jaccard_components
+from logweave.llm.lattice_lm import score_documents
 from logweave.llm.license_scan import scan
 from logweave.llm.packing import pack, token_pieces
 from logweave.llm.phrase_dedup import without_repeats
@@ -95,6 +98,27 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "rule_bits")
 
 
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and its digest for every conversation, after the damage that the query does to its rows."""
+    given = table(spark, sf_dir, "conversations")
+    found = repair(damaged(given))
+    audits = found.audits.select(F.col("c").alias("ac"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")
+    digests = joined_sha256(found.rows).select(F.col("c").alias("dc"), "sha256")
+    every = given.select("conv_id").distinct().join(audits, F.col("conv_id").eqNullSafe(F.col("ac")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("dc")), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each of the five best positives of every hundredth vector."""
+    return hard_negatives(integer_vectors(with_moved_labels(table(spark, sf_dir, "embeddings"))))
+
+
+def lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and lattice log10 probabilities of every document."""
+    return score_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -113,6 +137,9 @@ QUERIES = {
     "op8_license_scan": license_scan,
     "op9_packing": packing,
     "op10_quality_rules": quality_rules,
+    "op11_conversation_repair": conversation_repair,
+    "op12_hard_negatives": negative_mining,
+    "op13_lattice_lm": lattice_lm,
     "pipeline": pipeline,
 }
 
@@ -152,4 +179,14 @@ ORACLES = {
                      + (CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END) AS bits FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
                (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, bits = 0 AS kept, CAST(bits AS BIGINT) AS rule_bits FROM r""",
+    "op12_hard_negatives": """
+        WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+                   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+              FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE label <> own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10""",
 }
