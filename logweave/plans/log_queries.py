@@ -360,6 +360,12 @@ def random_split_counts(spark, sf_dir):
     return layout.split_counts(layout.random_split(headers(messages(spark, sf_dir)), _SPLIT, seed=7))
 
 
+@query("lay3_random_split", _COUNTS + """ SELECT msg.episode_id, ts_ns, seq, CASE WHEN row_number() OVER w <= n0 THEN 'train' WHEN row_number() OVER w <= n0 + n1 THEN 'val' ELSE 'test' END AS split
+    FROM msg JOIN k USING (episode_id) WINDOW w AS (PARTITION BY msg.episode_id ORDER BY md5(concat_ws('|', 7, msg.episode_id, ts_ns, seq)), ts_ns, seq)""")
+def random_split(spark, sf_dir):
+    return layout.random_split(headers(messages(spark, sf_dir)).drop("topic"), _SPLIT, seed=7)
+
+
 @query("lay4_no_split", " SELECT episode_id, 'all' AS split, count(*) AS n FROM msg GROUP BY 1")
 def no_split(spark, sf_dir):
     return layout.split_counts(layout.no_split(headers(messages(spark, sf_dir))))
