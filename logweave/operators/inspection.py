@@ -18,8 +18,9 @@ IMAGE_STRUCTS = (("width", "height", "encoding"), ("width", "height", "data"))
 #: Last names of what describes an image, and types of features that have a zero.
 IMAGE_METADATA = ("width", "height", "encoding", "format", "step", "stride", "channels")
 ZEROED = ("int64", "float32", "float64", "bool")
-#: Levels of lists in lists whose lengths are read.
-SHAPE_LEVELS = 6
+#: What comes first among the fields of a topic, by kind, and what metadata of an image adds.
+PRIORITIES = {"bytes": 3, "sequence": 4, "scalar": 5}
+OTHER_PRIORITY, METADATA_PENALTY = 6, 10
 SUMMARY_ITEMS = 8
 
 
@@ -55,18 +56,38 @@ def _kind(v: Column) -> Column:
     )
 
 
-def _shape(v: Column, items: int, levels: int = SHAPE_LEVELS) -> Column:
-    """Lengths of nested lists: where the first ``items`` differ inside, -1; null for what is no list."""
+_OPEN = "array<struct<list:boolean,n:int,first:array<int>,differs:boolean>>"
 
-    def inside(children: Column) -> Column:
-        first = F.get(children, F.lit(0))
-        return F.when(F.size(children) == 0, F.array().cast("array<int>")).when(F.forall(children, lambda s: s == first), first).otherwise(F.transform(first, lambda _: F.lit(-1)))
 
-    def of(values: Column) -> Column:
-        children = F.filter(F.transform(F.slice(values, 1, items), lambda x: _shape(x, items, levels - 1)), lambda s: s.isNotNull())
-        return F.when(values.isNotNull(), F.concat(F.array(F.size(values)), _let(children, inside)))
+def _shape(v: Column, items: int) -> Column:
+    """Lengths of nested lists at any depth: where the first ``items`` differ inside, -1; null for what is no list.
 
-    return F.lit(None).cast("array<int>") if levels == 0 else _let(_list(v), of)
+    One fold over the brackets of the JSON text, with the lists and structs that are open (the innermost first): what a list
+    holds so far, the shape of its first inner list, and whether another differs.
+    """
+    text = F.regexp_replace(F.to_json(v), r"\\.", "?")
+    bare = F.regexp_replace(text, r'"[^"]*"|[^\[\]{},:"]+', "0")
+    tokens = F.regexp_extract_all(bare, F.lit(r"[\[\]{}]|0"), F.lit(0))
+    frame = lambda is_list, n, first, differs: F.array(F.struct(is_list.alias("list"), n.alias("n"), first.alias("first"), differs.alias("differs")))
+    behind = lambda frames: F.slice(frames, 2, F.greatest(F.size(frames), F.lit(1)))
+    none, no = F.lit(None).cast("array<int>"), F.lit(False)
+
+    def step(state: Column, token: Column) -> Column:
+        frames = state["open"]
+        top, rest = F.get(frames, F.lit(0)), behind(frames)
+        up = F.get(rest, F.lit(0))
+        counted = F.when(F.size(frames) > 0, F.concat(frame(top["list"], top["n"] + 1, top["first"], top["differs"]), rest)).otherwise(frames)
+        inner = F.when(top["differs"], F.transform(top["first"], lambda _: F.lit(-1))).otherwise(F.coalesce(top["first"], F.array().cast("array<int>")))
+        own = F.concat(F.array(top["n"]), inner)
+        told = frame(up["list"], up["n"], F.coalesce(up["first"], own), up["differs"] | F.coalesce(up["first"] != own, no))
+        closed = F.when((F.size(rest) > 0) & up["list"] & (up["n"] <= items), F.concat(told, behind(rest))).otherwise(rest)
+        opened = F.concat(frame(token == "[", F.lit(0), none, no), counted)
+        after = F.when(token.isin("[", "{"), opened).when(token == "0", counted).when(token == "]", closed).otherwise(rest)
+        done = F.when((token == "]") & (F.size(rest) == 0), own).otherwise(state["done"])
+        return F.struct(after.cast(_OPEN).alias("open"), done.alias("done"))
+
+    start = F.struct(F.array().cast(_OPEN).alias("open"), none.alias("done"))
+    return F.when(_list(v).isNotNull(), F.aggregate(tokens, start, step, lambda state: state["done"]))
 
 
 def _summary(kind: Column, v: Column, keys: Column, values: Column) -> Column:
@@ -90,49 +111,61 @@ def is_image(topic: Column, path: Column, kind: Column, keys: Column) -> Column:
     return F.lower(path).rlike(IMAGE_PATHS) | (of_tail & of_topic) | by_bytes | F.coalesce((kind == "struct") & of_tail & described, F.lit(False))
 
 
+def _children(x: Column, items: int) -> Column:
+    """Paths and values inside a struct, and the structs and lists among the first items of a list."""
+    below = lambda key: F.concat_ws(".", F.when(x["path"] != "", x["path"]), key).alias("path")
+    fields = F.transform(F.map_entries(F.try_variant_get(x["v"], "$", "map<string,variant>")), lambda e: F.struct(below(e["key"]), e["value"].alias("v")))
+    listed = F.transform(F.slice(_list(x["v"]), 1, items), lambda item, i: F.struct(below(i.cast("string")), item.alias("v")))
+    inner = F.filter(listed, lambda e: _kind(e["v"]).isin("struct", "sequence"))
+    kind = _kind(x["v"])
+    return F.when(kind == "struct", fields).when(kind == "sequence", inner).otherwise(F.slice(fields, 1, 0))
+
+
+def _observed(samples: DataFrame, max_depth: int, items: int) -> DataFrame:
+    """The rows of ``walk``, and one of each sample without a path, whose example is the whole payload.
+
+    The values of a payload are listed level by level in one row and given out once, so a sample is read and parsed once.
+    """
+    key = [EPISODE, "topic", "ts_ns", "seq"]
+    frame = samples.select(*key, F.array(F.struct(F.lit("").alias("path"), F.try_parse_json("payload").alias("v"))).alias("l0"))
+    for depth in range(max_depth):
+        inside = F.transform(f"l{depth}", lambda x: F.coalesce(_children(x, items), F.slice(F.array(x), 1, 0)))
+        frame = frame.withColumn(f"l{depth + 1}", F.flatten(inside))
+    placed = lambda d, path: lambda x: F.struct(F.lit(d).alias("depth"), path(x).alias("path"), x["v"].alias("v"))
+    whole = F.transform("l0", placed(-1, lambda x: F.lit(None).cast("string")))
+    every = F.concat(whole, *[F.transform(f"l{d}", placed(d, lambda x: F.when(x["path"] == "", F.lit("__root__")).otherwise(x["path"]))) for d in range(max_depth + 1)])
+    level = frame.select(*key, F.explode(every).alias("e")).select(*key, "e.depth", "e.path", "e.v")
+
+    kind, entered, path = F.col("kind"), F.col("depth") < max_depth, F.col("path")
+    fields = F.try_variant_get("v", "$", "map<string,variant>")
+    named = level.withColumn("kind", _kind(F.col("v"))).withColumns({"fields": F.when(kind == "struct", fields), "values": F.when(kind == "sequence", _list(F.col("v")))})
+    named = named.withColumns({"keys": F.map_keys("fields"), "first": F.slice("values", 1, items)}).withColumn("kinds", F.transform("first", _kind))
+    compound = kind.isin("struct", "sequence")
+    scalar = ~compound & (kind != "null")
+    inner = F.filter("kinds", lambda k: ~k.isin("null", "struct", "sequence"))
+    return named.where((F.col("depth") != 0) | scalar).select(
+        *key,
+        "path",
+        "depth",
+        F.when(scalar, "scalar").otherwise(kind).alias("mode"),
+        F.when(scalar, F.array(kind)).when((kind == "sequence") & entered, inner).otherwise(F.array().cast("array<string>")).alias("scalars"),
+        F.when(kind == "null", 1).when((kind == "sequence") & entered, F.size(F.filter("kinds", lambda k: k == "null"))).otherwise(0).alias("nulls"),
+        F.when((kind == "sequence") & path.isNotNull(), _shape(F.col("v"), items)).alias("shape"),
+        _summary(kind, F.col("v"), F.col("keys"), F.col("values")).alias("example"),
+        (compound & ~entered).alias("deep"),
+        F.coalesce((kind != "null") & is_image(F.col("topic"), path, kind, F.col("keys")), F.lit(False)).alias("image"),
+    )
+
+
 def walk(samples: DataFrame, max_depth: int = 4, items: int = 4) -> DataFrame:
-    """One row for every value of every payload, level by level.
+    """One row for every value of every payload.
 
     ``episode_id, topic, ts_ns, seq, path, depth, mode`` (null, scalar, sequence or struct), ``scalars`` (kinds of a scalar, or of
     a list's first ``items``), ``nulls`` (it, or its first items), ``shape, example, deep`` (not entered for its depth) and
     ``image``.  Lists and structs among a list's first items are entered as ``path.0``, ...; a payload that is itself a scalar
     has the path ``__root__``.
     """
-    level = samples.select(EPISODE, "topic", "ts_ns", "seq", F.lit("").alias("path"), F.try_parse_json("payload").alias("v"))
-    out: list[DataFrame] = []
-    for depth in range(max_depth + 1):
-        kind, entered = F.col("kind"), F.lit(depth < max_depth)
-        fields = F.try_variant_get("v", "$", "map<string,variant>")
-        named = level.withColumn("kind", _kind(F.col("v"))).withColumns({"fields": F.when(kind == "struct", fields), "values": F.when(kind == "sequence", _list(F.col("v")))})
-        named = named.withColumns({"keys": F.map_keys("fields"), "first": F.slice("values", 1, items)}).withColumn("kinds", F.transform("first", _kind))
-        compound = kind.isin("struct", "sequence")
-        scalar = ~compound & (kind != "null")
-        inner = F.filter("kinds", lambda k: ~k.isin("null", "struct", "sequence"))
-        place = F.when(F.col("path") == "", F.lit("__root__")).otherwise(F.col("path"))
-        seen = named if depth else named.where(scalar)
-        out.append(
-            seen.select(
-                EPISODE,
-                "topic",
-                "ts_ns",
-                "seq",
-                place.alias("path"),
-                F.lit(depth).alias("depth"),
-                F.when(scalar, "scalar").otherwise(kind).alias("mode"),
-                F.when(scalar, F.array(kind)).when((kind == "sequence") & entered, inner).otherwise(F.array().cast("array<string>")).alias("scalars"),
-                F.when(kind == "null", 1).when((kind == "sequence") & entered, F.size(F.filter("kinds", lambda k: k == "null"))).otherwise(0).alias("nulls"),
-                F.when(kind == "sequence", _shape(F.col("v"), items)).alias("shape"),
-                _summary(kind, F.col("v"), F.col("keys"), F.col("values")).alias("example"),
-                (compound & ~entered).alias("deep"),
-                F.coalesce((kind != "null") & is_image(F.col("topic"), place, kind, F.col("keys")), F.lit(False)).alias("image"),
-            )
-        )
-        if depth == max_depth:
-            break
-        listed = F.filter(F.transform("first", lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value"))), lambda e: _kind(e["value"]).isin("struct", "sequence"))
-        each = F.explode(F.when(kind == "struct", F.map_entries("fields")).otherwise(listed)).alias("e")
-        level = named.select(EPISODE, "topic", "ts_ns", "seq", "path", each).select(EPISODE, "topic", "ts_ns", "seq", F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), "e.key").alias("path"), F.col("e.value").alias("v"))
-    return reduce(DataFrame.unionByName, out)
+    return _observed(samples, max_depth, items).where(F.col("path").isNotNull())
 
 
 def _words(*words: str) -> Column:
@@ -156,7 +189,12 @@ def candidates(walked: DataFrame) -> DataFrame:
     variable_length, image_like, examples`` (the first three), ``confidence`` and ``warnings``.  What is gathered of a path is
     bounded by the samples of its topic.
     """
-    at = F.struct("ts_ns", "seq", "example")
+    return _fields(walked).drop("times", "began")
+
+
+def _fields(walked: DataFrame) -> DataFrame:
+    """``candidates``, with the times and the first place of samples where the path is null."""
+    at, whole = F.struct("ts_ns", "seq", "example"), F.col("path").isNull()
     seen = walked.groupBy(EPISODE, "topic", "path").agg(
         F.count("*").alias("observed"),
         F.sum("nulls").alias("nulls"),
@@ -166,6 +204,8 @@ def candidates(walked: DataFrame) -> DataFrame:
         F.transform(F.slice(F.array_sort(F.collect_list(at)), 1, 3), lambda x: x["example"]).alias("examples"),
         F.max("deep").alias("deep"),
         F.max("image").alias("image_like"),
+        F.array_sort(F.collect_list(F.when(whole, F.col("ts_ns")))).alias("times"),
+        F.array_min(F.collect_list(F.when(whole, F.struct("ts_ns", "seq")))).alias("began"),
     )
     scalars, modes, image = F.col("scalars"), F.col("modes"), F.col("image_like")
     only = lambda *kinds: F.size(F.array_except(scalars, _words(*kinds))) == 0
@@ -200,41 +240,63 @@ def candidates(walked: DataFrame) -> DataFrame:
         "examples",
         F.round(F.when(F.col("shape").isNotNull() & ~variable, F.least(F.lit(1.0), sure + 0.1)).otherwise(sure), 4).alias("confidence"),
         warned.alias("warnings"),
+        "times",
+        "began",
     )
 
 
+def _found(samples: DataFrame) -> DataFrame:
+    """Candidates of all topics, and one row of each topic (without a path) with its samples, times and first payload."""
+    return _fields(_observed(samples, 4, 4))
+
+
 def topic_report(samples: DataFrame) -> DataFrame:
     """Samples, times, first payload, candidate fields and warnings of each topic of each episode."""
-    v = F.try_parse_json("payload")
-    summary = _let(_kind(v), lambda kind: _summary(kind, v, F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")), _list(v)))
-    first = F.struct("ts_ns", "seq")
-    times = samples.groupBy(EPISODE, "topic").agg(F.count("*").alias("samples"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), F.array_sort(F.collect_list("ts_ns")).alias("times"), F.min_by(summary, first).alias("preview"))
-    fields = candidates(walk(samples)).groupBy(EPISODE, "topic").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "dtypes")))).alias("fields"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("warnings")))).alias("warnings"))
-    return times.join(fields, [EPISODE, "topic"], "left")
+    whole = F.col("path").isNull()
+    of_topic = lambda value: F.first(F.when(whole, value), ignorenulls=True)
+    named = F.array_sort(F.collect_list(F.when(~whole, F.struct("path", "dtypes"))))
+    warned = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(~whole, F.col("warnings"))))))
+    rows = _found(samples).groupBy(EPISODE, "topic").agg(of_topic(F.col("observed")).alias("samples"), of_topic(F.col("times")).alias("times"), of_topic(F.get("examples", F.lit(0))).alias("preview"), named.alias("named"), warned.alias("warned"))
+    some = F.size("named") > 0
+    return rows.select(EPISODE, "topic", "samples", F.array_min("times").alias("first_ns"), F.array_max("times").alias("last_ns"), "times", "preview", F.when(some, F.map_from_entries("named")).alias("fields"), F.when(some, F.col("warned")).alias("warnings"))
+
+
+def _order(of: Callable[[str], Column]) -> Column:
+    """What sorts the fields of a topic: contents of images, buttons, axes, bytes, lists, scalars, others; then the deepest,
+    surest, those with the fewest examples, and by path."""
+    path, kind = of("path"), of("kind")
+    tail = F.lower(F.substring_index(path, ".", -1))
+    base = F.when(tail.isin(*IMAGE_TAILS) & kind.isin("bytes", "scalar", "sequence", "image"), 0).when(path.endswith("buttons"), 1).when(path.endswith("axes"), 2)
+    for name, priority in PRIORITIES.items():
+        base = base.when(kind == name, priority)
+    metadata = F.when(of("image_like") & tail.isin(*IMAGE_METADATA), METADATA_PENALTY).otherwise(0)
+    return F.struct((base.otherwise(OTHER_PRIORITY) + metadata).alias("priority"), (-F.size(F.split(path, r"\."))).alias("levels"), (-of("confidence")).alias("doubt"), F.size(of("examples")).alias("seen"), path.alias("by"))
 
 
-def _topics(samples: DataFrame) -> DataFrame:
-    """``episode_id, topic, samples, began``: the topics of each log, which count in the order of their first messages."""
-    return samples.groupBy(EPISODE, "topic").agg(F.count("*").alias("samples"), F.min(F.struct("ts_ns", "seq")).alias("began"))
+def top_candidates(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best fields of each topic, ``rank`` from 1, in the order of ``_order``."""
+    order = W.partitionBy(EPISODE, "topic").orderBy(_order(F.col))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def trigger_choice(samples: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """``episode_id, topic``: the topic that sets the pace: most image-like fields, then most fields, then most samples, then the first."""
-    found = candidates(walk(samples)) if found is None else found
-    counted = found.groupBy(EPISODE, "topic").agg(F.count_if("image_like").alias("images"), F.count("*").alias("fields"))
-    scored = _topics(samples).join(counted, [EPISODE, "topic"], "left").na.fill(0, ["images", "fields"])
-    least = F.struct(-F.col("images"), -F.col("fields"), -F.col("samples"), "began")
-    return scored.groupBy(EPISODE).agg(F.min_by("topic", least).alias("topic"))
+def _logs(samples: DataFrame) -> DataFrame:
+    """``episode_id, topics, trigger``: the topics of each log by their first samples, each with its candidates, best first.
 
+    The trigger sets the pace: most image-like fields, then most fields, then most samples, then the first.  A sample is read once;
+    all but the last grouping, by log, keep the partitioning of the samples.
+    """
+    whole = F.col("path").isNull()
+    columns = ["path", "kind", "dtypes", "shape", "image_like"]
+    own = F.array_sort(F.collect_list(F.when(~whole, F.struct(_order(F.col).alias("order"), *columns))))
+    topics = _found(samples).groupBy(EPISODE, "topic").agg(F.first("began", ignorenulls=True).alias("began"), F.first(F.when(whole, F.col("observed")), ignorenulls=True).alias("samples"), own.alias("fields"))
+    each = F.array_sort(F.collect_list(F.struct("began", "topic", "samples", "fields")))
+    paces = F.transform("topics", lambda t: F.struct((-F.size(F.filter(t["fields"], lambda f: f["image_like"]))).alias("images"), (-F.size(t["fields"])).alias("fields"), (-t["samples"]).alias("samples"), t["began"].alias("began"), t["topic"].alias("topic")))
+    return topics.groupBy(EPISODE).agg(each.alias("topics")).withColumn("trigger", F.array_min(paces)["topic"])
 
-def top_candidates(found: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best fields of each topic, ``rank`` from 1: contents of images, buttons, axes, bytes, lists, scalars, others;
-    then the deepest, surest, those with the fewest examples, and by path."""
-    tail, path, kind = F.lower(F.substring_index("path", ".", -1)), F.col("path"), F.col("kind")
-    base = F.when(tail.isin(*IMAGE_TAILS) & kind.isin("bytes", "scalar", "sequence", "image"), 0).when(path.endswith("buttons"), 1).when(path.endswith("axes"), 2).when(kind == "bytes", 3).when(kind == "sequence", 4).when(kind == "scalar", 5).otherwise(6)
-    metadata = F.when(F.col("image_like") & tail.isin(*IMAGE_METADATA), 10).otherwise(0)
-    order = W.partitionBy(EPISODE, "topic").orderBy(base + metadata, -F.size(F.split(path, r"\.")), F.col("confidence").desc(), F.size("examples"), "path")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+def trigger_choice(samples: DataFrame) -> DataFrame:
+    """``episode_id, topic``: the topic that sets the pace of each log."""
+    return _logs(samples).select(EPISODE, F.col("trigger").alias("topic"))
 
 
 def _feature_name(path: Column, image: Column, topic: Column) -> Column:
@@ -255,28 +317,31 @@ def _numbered(rows: Column) -> Column:
     return F.aggregate(rows, F.slice(rows, 1, 0), place)
 
 
-def proposals(best: DataFrame, samples: DataFrame) -> DataFrame:
-    """Feature name (unique in its log), type, shape, transforms and what to do when it is missing, for each candidate.
+def _proposal(topic: Column, field: Column) -> Column:
+    """Feature name, type, shape, transforms and what to do when it is missing; no field stands for the whole topic, as JSON."""
+    path = F.when(field["path"] != "__root__", field["path"])
+    text, dtypes = F.coalesce(path, F.lit("")), F.coalesce(field["dtypes"], _words("json"))
+    first, shape = F.get(dtypes, F.lit(0)), field["shape"]
+    dtype = F.when(field["image_like"], "bytes").when(text.endswith("axes") & F.array_contains(dtypes, "float32"), "float32").when(text.endswith("buttons") & F.array_contains(dtypes, "int64"), "int64").when((first == "bytes") & (F.size(dtypes) > 1), "json").otherwise(first)
+    zeroed = dtype.isin(*ZEROED)
+    exact = F.when((field["kind"] == "sequence") & (F.get(shape, F.lit(0)) >= 0), F.concat(F.lit("length:"), F.get(shape, F.lit(0)).cast("string")))
+    made = F.array_compact(F.array(exact, F.when(zeroed, F.concat(F.lit("cast:"), dtype))))
+    name = _feature_name(path, F.coalesce(field["image_like"], F.lit(False)), topic)
+    return F.struct(topic.alias("topic"), name.alias("name"), path.alias("path"), dtype.alias("dtype"), F.when(field["kind"].isin("sequence", "image"), shape).alias("shape"), made.alias("transforms"), F.when(zeroed, F.lit("zeros")).otherwise(F.lit("default")).alias("missing"))
+
 
-    A topic without candidates is proposed as a whole, as JSON.
+def drafts(samples: DataFrame, k: int) -> DataFrame:
+    """The proposed conversion of every log: its topics' features, and whether each topic triggers (and is required) or joins.
+
+    ``topic, name`` (unique in its log), ``path, dtype, shape, transforms, missing`` for the ``k`` best candidates of each topic.
     """
-    rows = _topics(samples).join(best, [EPISODE, "topic"], "left").withColumn("path", F.when(F.col("path") != "__root__", F.col("path")))
-    path, dtypes = F.coalesce("path", F.lit("")), F.coalesce("dtypes", _words("json"))
-    first = F.get(dtypes, F.lit(0))
-    dtype = F.when(F.col("image_like"), "bytes").when(path.endswith("axes") & F.array_contains(dtypes, "float32"), "float32").when(path.endswith("buttons") & F.array_contains(dtypes, "int64"), "int64").when((first == "bytes") & (F.size(dtypes) > 1), "json").otherwise(first)
-    rows = rows.withColumns({"dtype": dtype, "name": _feature_name(F.col("path"), F.coalesce("image_like", F.lit(False)), F.col("topic"))})
-    zeroed = F.col("dtype").isin(*ZEROED)
-    exact = F.when((F.col("kind") == "sequence") & (F.get("shape", F.lit(0)) >= 0), F.concat(F.lit("length:"), F.get("shape", F.lit(0)).cast("string")))
-    made = F.array_compact(F.array(exact, F.when(zeroed, F.concat(F.lit("cast:"), F.col("dtype")))))
-    columns = ["topic", "name", "path", "dtype", F.when(F.col("kind").isin("sequence", "image"), F.col("shape")).alias("shape"), made.alias("transforms"), F.when(zeroed, "zeros").otherwise("default").alias("missing")]
-    each = F.array_sort(F.collect_list(F.struct("began", "topic", "rank", F.struct(*columns).alias("f"))))
-    in_order = rows.groupBy(EPISODE).agg(F.transform(each, lambda x: x["f"]).alias("fs"))
-    return in_order.select(EPISODE, F.inline(_numbered(F.col("fs"))))
+    logs = _logs(samples)
+    best = lambda t: F.when(F.size(t["fields"]) > 0, F.slice(t["fields"], 1, k)).otherwise(F.array(F.get(t["fields"], F.lit(0))))
+    each = F.flatten(F.transform("topics", lambda t: F.transform(best(t), lambda f: _proposal(t["topic"], f))))
+    rows = logs.withColumn("proposed", each).select(EPISODE, "trigger", F.inline(_numbered(F.col("proposed"))))
+    return rows.withColumn("role", F.when(F.col("topic") == F.col("trigger"), "trigger").otherwise("join")).withColumn("required", F.col("role") == "trigger").drop("trigger")
 
 
-def drafts(samples: DataFrame, k: int) -> DataFrame:
-    """The proposed conversion of every log: its topics' features, and whether each topic triggers (and is required) or joins."""
-    found = candidates(walk(samples))
-    rows = proposals(top_candidates(found, k), samples)
-    chosen = trigger_choice(samples, found).withColumnRenamed("topic", "trigger")
-    return rows.join(chosen, EPISODE).withColumn("role", F.when(F.col("topic") == F.col("trigger"), "trigger").otherwise("join")).withColumn("required", F.col("role") == "trigger").drop("trigger")
+def proposals(samples: DataFrame, k: int) -> DataFrame:
+    """The features of ``drafts`` alone."""
+    return drafts(samples, k).drop("role", "required")

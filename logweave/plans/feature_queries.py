@@ -377,8 +377,7 @@ def top_candidates(spark, sf_dir):
 @query("drf3_feature_proposals", _RICH + """ SELECT episode_id, topic, name, path, dtype, coalesce(array_to_string(shape, ','), '-') AS shape, CASE WHEN dtype IN ('bytes', 'json') THEN 'default' ELSE 'zeros' END AS missing,
     concat_ws(',', CASE WHEN shape[1] >= 0 THEN 'length:' || shape[1] END, CASE WHEN dtype NOT IN ('bytes', 'json') THEN 'cast:' || dtype END) AS transforms FROM prop""")
 def feature_proposals(spark, sf_dir):
-    sample = rich_samples(spark, sf_dir)
-    out = inspection.proposals(inspection.top_candidates(inspection.candidates(inspection.walk(sample)), 2), sample)
+    out = inspection.proposals(rich_samples(spark, sf_dir), 2)
     return texts(out, "shape", "transforms").select("episode_id", "topic", "name", "path", "dtype", "shape", "missing", "transforms")
 
 
