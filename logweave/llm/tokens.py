@@ -25,8 +25,11 @@ from logweave.llm.text import free_memory
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Stands at a cut while a batch is taken apart; texts that hold it themselves are not cut.
 _CUT = "\x1f"
-#: Latin letters, but for the one (I with a dot) whose small form ends in a mark, which joins the punctuation behind it.
-_LETTER_MARK = "([A-Za-z\u00c0-\u012f\u0131-\u024f])([,.;:!?])"
+#: Latin letters, but for the one (I with a dot) whose small form ends in a mark, which joins the punctuation behind it; the signs
+#: of multiplication and division (U+00D7, U+00F7) lie between them and are none.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+MARKS = ",.;:!?"
+_LETTER_MARK = f"([{LETTERS}])([{MARKS}])"
 _LONE_LINE_FEED = r"(\S)\n(\S)"
 _CUTS = re.compile(f"[ \n{_CUT}]|{_LETTER_MARK}")
 #: Patterns of the pre-tokenisers at which a single space starts a new pre-token.

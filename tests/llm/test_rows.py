@@ -1,6 +1,8 @@
 """Null, shared and repeated ids, clashing columns, long texts and ties in the token, packing, join and licence operators."""
 
 import random
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from logweave.llm import jaccard_join, license_scan, packing, queries, token_counts, token_files, toxicity
-from logweave.llm.tokens import Encoder, tokenizer_path, vocabulary_size
+from logweave.llm.tokens import LETTERS, MARKS, Encoder, tokenizer_path, vocabulary_size
 
 ROWS = [(None, "a b"), (None, "a b"), (None, "c"), (1, "x y"), (1, "x y"), (1, "z"), (2, None), (3, ""), (4, "Word, word. " * 4000)]
 CLASHING = "k string, piece string, length string, ids string, sequence_id string, n_tokens string, part string, path string, component_id string"
@@ -106,6 +108,25 @@ def test_cuts_at_marks_and_line_feeds_change_no_ids():
         assert [np.frombuffer(x, dtype="<u4").tolist() for x in own.ids(texts)] == library(name, texts)
 
 
+def test_cuts_behind_every_letter_before_every_mark():
+    """Every member of the class is a letter, and a cut behind it changes no ids, whatever stands around; nor behind what lies near the class."""
+    members = [chr(c) for c in range(0x20, 0x260) if re.fullmatch(f"[{LETTERS}]", chr(c))]
+    assert len(members) == 52 + 0x250 - 0xC0 - 3 and all(unicodedata.category(x)[0] == "L" for x in members)
+    texts = [f"{before}{chr(c)}{mark}{after}" for c in [*range(0x20, 0x260)] for mark in MARKS for before, after in (("5", ""), ("a", "b"), ("", " x"))]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in Encoder(tokenizer_path(name)).ids(texts)] == library(name, texts)
+
+
+def test_cuts_in_texts_of_all_of_the_basic_plane():
+    r = random.Random(11)
+    plane = [c for c in range(1, 0xFFFE) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(chr(r.choice(plane)) if r.random() < 0.4 else r.choice("ab X×÷é.,;:!? \n'7") for _ in range(r.randint(1, 12))) for _ in range(20_000)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        own, step = Encoder(tokenizer_path(name)), 5_000
+        for i in range(0, len(texts), step):
+            assert [np.frombuffer(x, dtype="<u4").tolist() for x in own.ids(texts[i : i + step])] == library(name, texts[i : i + step])
+
+
 def test_join_of_odd_rows(spark):
     near = " ".join(f"n{i}" for i in range(60))
     rows = [(None, near), (None, near), (5, near + " end"), (5, "other text of five words"), (6, None), (None, None), (7, near)]
