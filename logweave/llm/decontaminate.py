@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweave.llm.rows import row_hash
 from logweave.llm.text import alnum_text, gram_hashes, hashed_words, signed
 from logweave.plans.session import scratch, ship_package, written
 
@@ -134,22 +135,23 @@ def _probed(source: DataFrame, sizes: list[int], bits: np.ndarray, window: int)
 
 
 def _found(probed: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """``r, spans, items``: verified windows of each document that has any, as merged word spans."""
-    hits = probed.where("hits is not null").select("r", F.explode("hits").alias("x")).select("r", "x.*")
-    once = hits.groupBy("r", "h", "i").agg(F.first("lead").alias("lead"), F.first("around").alias("around"))  # equal rows hold the same
+    """``own, spans, items``: verified windows of each document (``own``: its id and hash) that has any, as merged word spans."""
+    hits = probed.where("hits is not null").select(F.struct("id", "r").alias("own"), F.explode("hits").alias("x")).select("own", "x.*")
+    once = hits.groupBy("own", "h", "i").agg(F.first("lead").alias("lead"), F.first("around").alias("around"))  # equal rows hold the same
     start = F.col("i") - F.col("at")
     place = F.greatest(F.col("lead") - F.col("at"), F.lit(0)) + 1
     same = F.array_join(F.slice(F.split("around", " "), place, F.col("n")), " ").cast("binary") == F.col("w")
     met = once.join(prefixes, "h").where((start >= 0) & same)
-    gathered = met.select("r", F.struct(start.alias("a"), (start + F.col("n")).alias("b")).alias("span"), "items").groupBy("r").agg(F.collect_set("span").alias("spans"), F.collect_set("items").alias("items"))
+    gathered = met.select("own", F.struct(start.alias("a"), (start + F.col("n")).alias("b")).alias("span"), "items").groupBy("own").agg(F.collect_set("span").alias("spans"), F.collect_set("items").alias("items"))
 
     def merge(batches):
         for batch in batches:
             spans = [[{"a": a, "b": b} for a, b in merged([(x["a"], x["b"]) for x in row])] for row in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS), batch.column(2)], ["r", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPANS), batch.column(2)], ["own", "spans", "items"])
 
     items = F.array_sort(F.array_distinct(F.flatten("items"))).alias("items")
-    return gathered.select("r", "spans", items).mapInArrow(merge, "r long, spans array<struct<a:int,b:int>>, items array<string>")
+    kind = dict(probed.dtypes)["id"]
+    return gathered.select("own", "spans", items).mapInArrow(merge, f"own struct<id:{kind},r:long>, spans array<struct<a:int,b:int>>, items array<string>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
@@ -157,7 +159,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     spark = docs.sparkSession
     ship_package(spark)
     bench = benchmark.select(F.col(item_key).cast("string").alias("item"), F.col(item_text).cast("binary").alias("body"))
-    source = docs.select(F.col(key).alias("id"), F.xxhash64(key, text).alias("r"), F.col(text).cast("binary").alias("body"))
+    source = docs.select(F.col(key).alias("id"), row_hash(key, text).alias("r"), F.col(text).cast("binary").alias("body"))
     with scratch(spark) as folder:
         windows = written(_windows(bench, window), "windows", folder)
         sizes = sorted(windows.agg(F.collect_set(F.least("n", F.lit(SHINGLE))).alias("k")).first()["k"])
@@ -165,6 +167,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         prefixes = written(_prefixes(windows, frequencies), "prefixes", folder)
         probed = written(_probed(source, sizes, _bitmap(prefixes.select("h")), window), "probed", folder)
         found = written(_found(probed, prefixes), "found", folder)
-        joined = probed.select("id", "r", "n_words").join(found, "r", "left")
+        joined = probed.select("id", "n_words", F.struct("id", "r").alias("mine")).join(found, F.col("mine").eqNullSafe(F.col("own")), "left")
         spans, items = F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")), F.coalesce("items", F.array().cast("array<string>"))
         return written(joined.select(F.col("id").alias(key), "n_words", spans.alias("spans"), items.alias("items")), "contamination")

@@ -76,7 +76,7 @@ def _sketched(source: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             kind = batch.column(0).type
             n, names = [], []
-            for body in batch.column(1):
+            for body in batch.column(2):
                 tokens = shingle_set(body.as_py(), k)
                 n.append(len(tokens))
                 names.append(class_of(tokens) if len(tokens) else None)
@@ -84,12 +84,12 @@ def _sketched(source: DataFrame, k: int) -> DataFrame:
                     cells, c = np.unique(tokens & np.uint64(CELLS - 1), return_counts=True)
                     counters[cells] = np.minimum(counters[cells].astype(np.int64) + c, 65_535)
             empty = pa.nulls(len(n), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), empty, empty, pa.nulls(len(n), pa.binary())], ["k", "n", "c", "task", "block", "counters"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(names, pa.int64()), empty, empty, pa.nulls(len(n), pa.binary())], ["k", "t", "n", "c", "task", "block", "counters"])
         if counters.any():
             parts = [zlib.compress(p.tobytes(), 1) for p in counters.reshape(_BLOCKS, -1)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(_BLOCKS, kind), pa.nulls(_BLOCKS, pa.int64()), pa.nulls(_BLOCKS, pa.int64()), pa.array([task] * _BLOCKS, pa.int32()), pa.array(range(_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["k", "n", "c", "task", "block", "counters"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(_BLOCKS, kind), *[pa.nulls(_BLOCKS, pa.int64())] * 3, pa.array([task] * _BLOCKS, pa.int32()), pa.array(range(_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["k", "t", "n", "c", "task", "block", "counters"])
 
-    return source.mapInArrow(rows, f"k {dict(source.dtypes)['k']}, n long, c long, task int, block int, counters binary")
+    return source.mapInArrow(rows, f"k {dict(source.dtypes)['k']}, t long, n long, c long, task int, block int, counters binary")
 
 
 def _order(passed: DataFrame, folder: str) -> np.ndarray:
@@ -156,13 +156,17 @@ def _linked(source: DataFrame, pairs: DataFrame, k: int, percent: int, folder: s
     sent = source.join(small(written(sends, "sends", folder)), "c")
 
     def sets(batches):
+        done: set[int] = set()  # equal rows send once for each task
         for batch in batches:
             out: dict[str, list] = {"centre": [], "salt": [], "kind": [], "c": [], "tokens": []}
             size = 0
             for body, name, to in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if name in done:
+                    continue
                 own = shingle_set(body.as_py(), k)
-                if class_of(own) != name:  # another text under the same id
+                if class_of(own) != name:  # another text with the same hash
                     continue
+                done.add(name)
                 tokens = own.tobytes()
                 for x in to:
                     out["centre"].append(x["centre"])
@@ -209,9 +213,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
 
 def _components(docs: DataFrame, key: str, text: str, k: int, percent: int, folder: str) -> DataFrame:
-    plain = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("body"))
+    plain = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("t"), F.col(text).cast("binary").alias("body"))
     passed = written(_sketched(plain, k), "shingles", folder)
-    light = passed.where("block is null").select("k", "n", "c")
+    light = passed.where("block is null").select("k", "t", "n", "c")
     prefixes = _prefixes(plain, k, percent, _order(passed, folder))
     ends = F.struct("last", "c")
     lists = prefixes.groupBy("token").agg(F.max(ends).alias("a"), F.min(ends).alias("b")).where("a <> b").select("token", F.col("a.c").alias("pivot"))
@@ -219,8 +223,8 @@ def _components(docs: DataFrame, key: str, text: str, k: int, percent: int, fold
     shared = written(prefixes.join(lists, "token").groupBy("token", "c").agg(*[F.first(x).alias(x) for x in ("n", "at", "last", "pivot")]), "shared", folder)
     heads = written(shared.groupBy("c").agg(F.first("n").alias("n"), F.first("last").alias("last"), F.collect_list("token").alias("tokens")), "heads", folder)
 
-    # The document that sends a class's set: any of equal sets would do; the smallest id decides.
-    senders = light.where("c is not null").groupBy("c").agg(F.min("k").alias("k"))
+    # The text that sends a class's set: any of equal sets would do; the smallest id, then the hash of the text decides.
+    senders = light.where("c is not null").groupBy("c").agg(F.min(F.struct("k", "t")).alias("by")).select("c", "by.k", "by.t")
 
     # Groups: each class of a token against the token's pivot.
     pivots = shared.where("c = pivot").select("token", F.col("c").alias("u"), F.col("n").alias("m"), F.col("at").alias("j"))
@@ -276,7 +280,7 @@ def _promising(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
 
 
 def _sources(plain: DataFrame, senders: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
-    """``body, c`` of one document of each class in the pairs."""
+    """``body, c`` of the documents with one id and text for each class in the pairs."""
     ids = pairs.select(F.col("u").alias("c")).unionByName(pairs.select(F.col("v").alias("c"))).distinct()
     wanted = small(written(senders.join(ids, "c"), "senders", folder))
-    return plain.join(wanted, plain["k"].eqNullSafe(wanted["k"])).select("body", "c")
+    return plain.join(wanted, plain["k"].eqNullSafe(wanted["k"]) & (plain["t"] == wanted["t"])).select("body", "c")

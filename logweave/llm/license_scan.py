@@ -27,6 +27,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.llm.rows import row_hash
 from logweave.plans.session import written
 
 #: Licence notices by SPDX-like name.
@@ -126,7 +127,7 @@ def _matched(candidates: DataFrame, templates: dict[str, tuple[str, ...]], least
 def scan(docs: DataFrame, path: Column, key: str = "doc_id", text: str = "text", least: float = 0.6, templates: dict[str, tuple[str, ...]] | None = None, whole: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """One row per document: ``key, path, license, score, via`` (``header``, ``inherited`` or ``none``) and ``licensed_dir``."""
     notices = templates or TEMPLATES
-    row = F.xxhash64(key, text, path)
+    row = row_hash(key, text, path)
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), path.alias("path"), row.alias("k"))
     anchored = F.lower("text").rlike(ANCHORS)
     headers = _matched(_candidates(docs, "k", "text", notices), notices, least).select("k", F.lit(0).alias("whole"), "license", "score", "n_words")

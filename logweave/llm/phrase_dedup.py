@@ -30,6 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweave.llm.rows import row_hash
 from logweave.llm.text import free_memory, gram_hashes, hashed_words, signed, sliding_min, space_words
 from logweave.plans.session import scratch, ship_package, small, written
 
@@ -109,8 +110,9 @@ def _supplied(source: DataFrame, supplies: DataFrame) -> DataFrame:
                 words = space_words(body)
                 at = dict(zip(signed(gram_hashes(hashed_words(body), PHRASE)).tolist(), range(len(words)), strict=False))
                 for x in wanted:
-                    n, texts = len(x["phrases"]), [b" ".join(words[p : p + PHRASE]) for p in map(at.__getitem__, x["phrases"])]
-                    yield pa.RecordBatch.from_arrays([pa.array(x["phrases"], pa.int64()), pa.array([x["shard"]] * n, pa.int64()), pa.array([x["copies"]] * n, pa.int32()), pa.array(texts, pa.binary())], ["phrase", "shard", "copies", "body"])
+                    own = [p for p in x["phrases"] if p in at]  # another row may share the hash
+                    n, texts = len(own), [b" ".join(words[at[p] : at[p] + PHRASE]) for p in own]
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([x["shard"]] * n, pa.int64()), pa.array([x["copies"]] * n, pa.int32()), pa.array(texts, pa.binary())], ["phrase", "shard", "copies", "body"])
 
     given = source.join(small(supplies), "r").select("body", "supplies").mapInArrow(rows, "phrase long, shard long, copies int, body binary")
     once = given.groupBy("phrase").agg(*[F.first(x).alias(x) for x in ("shard", "copies", "body")])
@@ -276,7 +278,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         raise ValueError(f"a window has at least {PHRASE} words")
     ship_package(docs.sparkSession)
     docs = docs.drop(*_RESULTS)
-    row = F.xxhash64(key, text)
+    row = row_hash(key, text)
     found = repeats(docs.select(F.col(key).alias("id"), row.alias("r"), F.col(text).cast("binary").alias("body")), window)
     at, gone, cut = (_unused(x, docs.columns) for x in ("_at", "_gone", "_cut"))
     sides = small(found.select(F.struct("id", "r").alias(at), F.col("gone").alias(gone)))

@@ -30,7 +30,6 @@ from logweave.llm.text import alnum_words
 from logweave.plans.session import ship_package, written
 
 SAMPLE = 20_000
-FEATURES = 4_096
 GRADES = 3
 
 
@@ -88,7 +87,7 @@ def fit_ordinal(rows: list[tuple[int, list[int]]], n_features: int, grades: int
     return state[:n_features], state[n_features] + np.concatenate([[0.0], np.cumsum(np.exp(state[n_features + 1 :]))])
 
 
-def fit_severity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, features: int = FEATURES) -> SeverityModel:
+def fit_severity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> SeverityModel:
     """Select the vocabulary from the labelled sample, read its presence, and fit."""
     ship_package(docs.sparkSession)
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("toxic"))
@@ -110,7 +109,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     share = n[1] / (n[0] + n[1])
     each = counted.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.sum("toxic").alias("hits"))
     z = (F.col("hits") - F.col("df") * share) / F.sqrt(F.col("df") * share * (1 - share) + 1e-9)
-    kept = each.where("df >= 4").withColumn("z", z).where("abs(z) >= 4").orderBy(F.abs("z").desc(), "word").limit(features).collect()
+    kept = each.where("df >= 4").withColumn("z", z).where("abs(z) >= 4").orderBy(F.abs("z").desc(), "word").collect()  # words that four of the sampled texts hold
     vocabulary = {bytes(r["word"]): i for i, r in enumerate(kept)}
     typical = {i for i, r in enumerate(kept) if r["z"] > 0}
     if not vocabulary:

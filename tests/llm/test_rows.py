@@ -146,3 +146,34 @@ def test_severity_of_odd_rows(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(7)] + [(None, 1), (1, 1)], "doc_id long, toxic int")
     model = toxicity.fit_severity(frame(spark, rows), labels)
     assert toxicity.score_severity(frame(spark, rows), model).count() == len(rows)
+
+
+def test_join_sends_one_text_for_each_class(spark):
+    """Rows of one id (null) with different texts, and equal rows, make no more rows than they are."""
+    pairs = [" ".join(f"p{i}w{j}" for j in range(40)) for i in range(60)]
+    rows = [(None, t + end) for t in pairs for end in ("", " tail")] + [(None, pairs[0])] * 50
+    source = frame(spark, rows).selectExpr("doc_id as k", "xxhash64(text) as t", "cast(text as binary) as body")
+    got = jaccard_join.jaccard_components(frame(spark, rows), key="doc_id")
+    assert got.count() == len(rows) and got.select("class_id").distinct().count() == 120 and got.groupBy("component_id").count().count() == 1
+    names = [jaccard_join.class_of(jaccard_join.shingle_set(t.encode(), 5)) for _, t in rows]
+    ends = spark.createDataFrame([(a, b) for a, b in zip(names[:120:2], names[1:120:2], strict=True)], "u long, v long")
+    senders = source.groupBy("t").agg(F.first("k").alias("k")).join(spark.createDataFrame([(n, t) for n, (_, t) in zip(names[:120], rows, strict=False)], "c long, x string").selectExpr("c", "xxhash64(x) as t"), "t").select("c", "k", "t")
+    from logweave.plans.session import scratch
+
+    with scratch(spark) as folder:
+        assert jaccard_join._sources(source, senders, ends, folder).count() == 120 + 50
+
+
+def test_rows_that_differ_in_nulls_are_told_apart(spark):
+    """With ids as text, (x, null) and (null, x) are two rows."""
+    from logweave.llm import decontaminate, phrase_dedup
+
+    words = "alpha beta gamma"
+    docs = spark.createDataFrame([(words, None), (None, words), ("b", None)], "doc_id string, text string")
+    bench = spark.createDataFrame([(1, words)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], len(r["spans"])) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {words: (0, 0), None: (3, 1), "b": (0, 0)}
+    long = " ".join(f"q{i}" for i in range(30))
+    rows = spark.createDataFrame([(long, None), (None, long), ("z", long)], "doc_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in phrase_dedup.without_repeats(rows).collect()}
+    assert got == {long: (0, 0), None: (30, 0), "z": (30, 30)}
