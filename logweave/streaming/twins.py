@@ -1,13 +1,15 @@
-"""Structured Streaming twins of the profile, the downsampling and the trigger join; they also run on batch frames."""
+"""Structured Streaming twins of the profile, the downsampling and the trigger join; the first two also run on batch frames."""
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from logweave.plans.session import ship_package
 
 EPISODE = "episode_id"
 
@@ -32,45 +34,65 @@ def bucket_latest(stream: DataFrame, step_seconds: int, origin_seconds: int = 0,
 
 
 _OUT = f"{EPISODE} string, ts_ns long, seq long, payload string, match_ts_ns long, match string"
-_STATE = "topic array<string>, ts_ns array<long>, seq array<long>, payload array<string>, last_ns long, last string"
+#: Fixed value: the state store that timers and map state need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def trigger_join(stream: DataFrame, trigger: str, topic: str, lateness: str = "1 hour") -> DataFrame:
-    """Each trigger with the last-known message of another topic, once the watermark has passed it.
+class _AsOf(StatefulProcessor):
+    """Messages of an episode wait by their millisecond until the watermark has passed it; then they are joined in order.
 
-    State of an episode: messages the watermark has not passed, and the last joined one; late messages are dropped.
+    A batch reads and writes the milliseconds of its own messages and the last joined message, whatever else waits.
     """
-    rows = event_time(stream, lateness).where(F.col("topic").isin(trigger, topic))
 
-    def flush(held: list[tuple], upto: float, last: tuple) -> tuple[list[tuple], tuple, list[tuple]]:
-        ready = sorted((m for m in held if m[1] // 1_000_000 < upto), key=lambda m: (m[1], m[0] == trigger, m[2]))
-        out = []
-        for name, ts, seq, payload in ready:
-            if name == trigger:
-                out.append((ts, seq, payload, *last))
+    def __init__(self, trigger: str) -> None:
+        self.trigger = trigger
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms long", "messages array<struct<ts_ns:long,triggers:boolean,seq:long,payload:string>>")
+        self.last = handle.getValueState("last", "ts_ns long, payload string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        mark, new = timerValues.getCurrentWatermarkInMs(), defaultdict(list)
+        for r in rows:
+            ms = r["ts_ns"] // 1_000_000
+            if ms >= mark:
+                new[ms].append((r["ts_ns"], r["topic"] == self.trigger, r["seq"], r["payload"]))
+        for ms, messages in new.items():
+            if self.waiting.containsKey((ms,)):
+                messages += [tuple(m) for m in self.waiting.getValue((ms,))[0]]
             else:
-                last = (ts, payload)
-        return [m for m in held if m[1] // 1_000_000 >= upto], last, out
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-        last: tuple = (-1, None)
-        if state.exists:
-            names, times, seqs, payloads, last_ns, last_payload = state.get
-            held, last = list(zip(names, times, seqs, payloads, strict=True)), (last_ns, last_payload)
-        mark = state.getCurrentWatermarkMs()
-        if not state.hasTimedOut:
-            for batch in batches:
-                rows_ = zip(batch["topic"], batch["ts_ns"], batch["seq"], batch["payload"], strict=True)
-                held += [m for m in rows_ if m[1] // 1_000_000 >= mark]
-        held, last, out = flush(held, mark, last)
-        state.update(([m[0] for m in held], [int(m[1]) for m in held], [int(m[2]) for m in held], [m[3] for m in held], last[0], last[1]))
-        if held:
-            state.setTimeoutTimestamp(max(mark + 1, int(min(m[1] for m in held) // 1_000_000) + 1))
-        if out:
-            frame = pd.DataFrame(out, columns=["ts_ns", "seq", "payload", "match_ts_ns", "match"])
-            frame.insert(0, EPISODE, key[0])
-            yield frame
-
-    out = rows.groupBy(EPISODE).applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    return out.withColumn("match_ts_ns", F.when(F.col("match_ts_ns") >= 0, F.col("match_ts_ns")))  # pandas would make longs with nulls floats
+                self.handle.registerTimer(ms + 1)
+            self.waiting.updateValue((ms,), (messages,))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """Timers of an episode come in the order of time."""
+        ms = expiredTimerInfo.getExpiryTimeInMs() - 1
+        last, moved, out = (tuple(self.last.get()) if self.last.exists() else (None, None)), False, []
+        order = lambda m: (m[0], m[1], m[2] is not None, m[2] or 0)
+        for ts, triggers, seq, payload in sorted((tuple(m) for m in self.waiting.getValue((ms,))[0]), key=order):
+            if triggers:
+                out.append(Row(**dict(zip([x.split()[0] for x in _OUT.split(", ")], (key[0], ts, seq, payload, *last), strict=True))))
+            else:
+                last, moved = (ts, payload), True
+        if moved:
+            self.last.update(last)
+        self.waiting.removeKey((ms,))
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
+def trigger_join(stream: DataFrame, trigger: str, topic: str, lateness: str = "1 hour") -> DataFrame:
+    """Each trigger of a stream with the last-known message of another topic, once the watermark has passed it.
+
+    State of an episode: messages the watermark has not passed, a map entry for each millisecond, and the last joined one; messages at or
+    before the watermark (which begins at 1970) are late and dropped; of one time, the other topic's message counts as before the trigger.  The session's state store becomes RocksDB,
+    so a stream that was begun with another store cannot go on.
+    """
+    ship_package(stream.sparkSession)
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = event_time(stream, lateness).where(F.col("topic").isin(trigger, topic))
+    return rows.groupBy(EPISODE).transformWithState(_AsOf(trigger), _OUT, "append", "eventTime")
