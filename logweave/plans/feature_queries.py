@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.functions import features, transforms
+from logweave.functions import features, payloads, transforms
 from logweave.operators import align, inspection, validate
 from logweave.plans.log_queries import DAY, MSG, TIED, directory, tied
 from logweave.plans.session import table
@@ -27,14 +27,8 @@ def query(name: str, sql: str | None = None, plain: bool = False):
     return keep
 
 
-@query("src3_raw_envelope", """ SELECT doc_id, '{"__bytes__":true,"encoding":"base64","value":"' || to_base64(encode(text)) || '"}' AS envelope FROM documents WHERE length(text) < 2000""", plain=True)
+@query("src3_raw_envelope", """ SELECT doc_id, '{"__bytes__":true,"encoding":"base64","value":"' || to_base64(encode(text)) || '"}' AS envelope FROM documents""", plain=True)
 def raw_envelope(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("length(text) < 2000")
-    return docs.select("doc_id", F.regexp_replace(bytes_envelope(F.col("text").cast("binary")), r"\\r\\n", "").alias("envelope"))
-
-
-@query("src3_raw_envelope_whole", """ SELECT doc_id, '{"__bytes__":true,"encoding":"base64","value":"' || to_base64(encode(text)) || '"}' AS envelope FROM documents""", plain=True)
-def raw_envelope_whole(spark, sf_dir):
     """Every row and its whole text; a null text has no bytes and a null envelope."""
     envelope = F.regexp_replace(bytes_envelope(F.col("text").cast("binary")), r"\\r\\n", "")
     return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNotNull(), envelope).alias("envelope"))
@@ -60,6 +54,20 @@ def payload_json(spark, sf_dir):
     return messages(spark, sf_dir).select("seq", F.get_json_object("payload", "$.k").alias("k_text"))
 
 
+@query("src11_payload_normaliser", """ SELECT seq, '{"number":' || CASE WHEN seq % 3 = 0 THEN 'null' ELSE CAST(CAST(k AS DOUBLE) AS VARCHAR) END || ',"raw":' || CASE WHEN seq % 5 = 0 THEN 'null' ELSE '{"__bytes__":true,"encoding":"base64","value":"' || to_base64(encode(topic)) || '"}' END
+    || ',"names":["' || CASE WHEN topic < 'b' THEN topic || '","b' ELSE 'b","' || topic END || '"],"inner":[{"far":null,"by":{"' || k || '":true}},' || CASE WHEN seq % 2 = 0 THEN 'null' ELSE '{"far":0.5,"by":{}}' END || '],"on":"1997-01-01"}' AS payload FROM msg""")
+def payload_normaliser(spark, sf_dir):
+    """Numbers that are none, bytes, sets, structs in lists, maps with number keys, nulls and dates."""
+    k, seq = F.col("payload.k"), F.col("seq")
+    number = F.when(seq % 3 == 0, F.lit(float("nan"))).otherwise(k.cast("double"))
+    raw = F.when(seq % 5 != 0, F.col("topic").cast("binary"))
+    first = F.struct(F.lit(float("-inf")).alias("far"), F.create_map(k, F.lit(True)).alias("by"))
+    second = F.when(seq % 2 == 1, F.struct(F.lit(0.5).alias("far"), F.map_filter(F.create_map(k, F.lit(True)), lambda key, held: F.lit(False)).alias("by")))
+    value = F.struct(number.alias("number"), raw.alias("raw"), F.array(F.lit("b"), "topic", F.lit("b")).alias("names"), F.array(first, second).alias("inner"), F.lit("1997-01-01").cast("date").alias("on"))
+    rows = typed(spark, sf_dir).select("seq", value.alias("v"))
+    return rows.select("seq", payloads.payload_json(F.col("v"), rows.schema["v"].dataType, sets=("names",)).alias("payload"))
+
+
 @query("src13_embedded_payloads", """ SELECT page_id, CAST(p AS INT) AS position, CASE p WHEN 0 THEN url ELSE reverse(url) END AS content FROM pages, (VALUES (0), (1)) AS v(p)""", plain=True)
 def embedded(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
@@ -133,6 +141,30 @@ def feature_build(spark, sf_dir):
     return rows.select("seq", "price", "view_value", F.coalesce(F.array_position("click_bin", 1) - 1, F.lit(-1)).alias("click_bin"), "price__present", "view_value__present", "click_bin__present")
 
 
+_STRICT = """, strict AS (SELECT seq, CASE seq % 6 WHEN 0 THEN 'source' WHEN 1 THEN 'transform' WHEN 2 THEN 'shape' WHEN 3 THEN 'dtype' END AS pixels_failure, CASE seq % 3 WHEN 0 THEN 'dtype' WHEN 1 THEN NULL ELSE 'source' END AS mixed_failure, k FROM msg)"""
+
+
+def strict(spark, sf_dir):
+    """Features of which some rows fail in each step: pixels as bytes, and a variant that must be a whole number."""
+    k, turn = F.col("payload.k"), F.col("seq") % 6
+    pixels = F.when(turn == 0, None).when(turn == 1, F.array_repeat(k % 256, 4)).when(turn == 2, F.array_repeat(k % 256, 2)).when(turn == 3, F.array(k % 256, F.lit(300), F.lit(0))).otherwise(F.array_repeat(k % 256, 3))
+    mixed = F.when(F.col("seq") % 3 == 0, F.try_parse_json(F.lit('"text"'))).when(F.col("seq") % 3 == 1, F.try_parse_json(k.cast("string")))
+    own = [features.Feature("pixels", pixels.cast("array<bigint>"), [transforms.length(maximum=3)], shape=[3], dtype="bytes"), features.Feature("mixed", mixed, dtype="int64")]
+    return features.build(typed(spark, sf_dir), own, "seq", failures=True), own
+
+
+@query("fea6_strict_build", _STRICT + " SELECT seq, CASE WHEN pixels_failure IS NULL THEN repeat(printf('%02X', k % 256), 3) ELSE '-' END AS pixels, CAST(pixels_failure IS NULL AS INT) AS pixels__present, coalesce(pixels_failure, '-') AS pixels_failure, coalesce(mixed_failure, '-') AS mixed_failure FROM strict")
+def strict_build(spark, sf_dir):
+    rows, _ = strict(spark, sf_dir)
+    told = [F.coalesce(f"{c}__failure", F.lit("-")).alias(f"{c}_failure") for c in ("pixels", "mixed")]
+    return rows.select("seq", F.coalesce(F.hex("pixels"), F.lit("-")).alias("pixels"), "pixels__present", *told)
+
+
+@query("fea6_failure_counts", _STRICT + " SELECT 'pixels' AS feature, pixels_failure AS step, count(*) AS n FROM strict WHERE step IS NOT NULL GROUP BY ALL UNION ALL SELECT 'mixed', mixed_failure AS step, count(*) FROM strict WHERE mixed_failure IS NOT NULL GROUP BY ALL")
+def failure_counts(spark, sf_dir):
+    return features.failure_counts(*strict(spark, sf_dir))
+
+
 @query("fea7_shape_check", " SELECT vec_id, vec_id % 4 = 2 AS flat, vec_id % 4 = 3 AS nested, vec_id % 4 = 1 AS deep FROM embeddings", plain=True)
 def shape_check(spark, sf_dir):
     """Lists of 0 to 3 values, alone, in a list, and in a list of lists."""
@@ -325,14 +357,8 @@ def _listed(rows):
     return rows.withColumn("payload", F.to_json(F.struct(F.array_repeat(F.lit(1), k % 3).alias("list"))))
 
 
-@query("ins4_shape_merge", " SELECT topic, 'list' AS path, CASE WHEN min(k % 3) = max(k % 3) THEN min(k % 3) ELSE -1 END AS dim FROM msg WHERE k % 3 > 0 GROUP BY 1")
+@query("ins4_shape_merge", " SELECT topic, 'list' AS path, CASE WHEN min(k % 3) = max(k % 3) THEN min(k % 3) ELSE -1 END AS dim FROM msg GROUP BY 1 HAVING count(k) > 0")
 def shape_merge(spark, sf_dir):
-    rows = messages(spark, sf_dir).where(F.get_json_object("payload", "$.k").cast("int") % 3 > 0)
-    return _merged_dims(rows)
-
-
-@query("ins4_shape_merge_whole", " SELECT topic, 'list' AS path, CASE WHEN min(k % 3) = max(k % 3) THEN min(k % 3) ELSE -1 END AS dim FROM msg GROUP BY 1 HAVING count(k) > 0")
-def shape_merge_whole(spark, sf_dir):
     """Every message; an empty list has dim 0, which merges to -1 with others."""
     return _merged_dims(messages(spark, sf_dir))
 

@@ -52,10 +52,13 @@ def records(spark, sf_dir):
     return back.select("seq", "topic", F.round(F.col("value").cast("double"), 2).alias("value"), "k", F.size("list").cast("long").alias("n"), F.coalesce(F.get("list", F.lit(0)), F.lit(-1)).alias("first"))
 
 
-@query("src6_file_inventory")
+@query("src6_file_inventory", "SELECT name, TRUE AS listed_once, TRUE AS has_bytes FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'), ('documents'), ('embeddings'), ('pages'), ('benchmark'), ('labels'), ('conversations')) AS t(name)")
 def file_inventory(spark, sf_dir):
-    """The given tables' own files."""
-    return inventory(spark, [sf_dir], pattern="*.parquet").select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length")
+    """The given tables' own files, named by their folder, by patterns and by one path of its own."""
+    folder = sf_dir.rstrip("/")
+    found = inventory(spark, [folder, f"{folder}/*.parquet", f"{folder}/{{events,orders}}.parquet", f"{folder}/../{folder.rsplit('/', 1)[-1]}/region.parquet"], suffixes=(".parquet",))
+    name = F.regexp_extract("path", r"([^/]+)\.parquet(?:/[^/]+)?$", 1)
+    return found.groupBy(name.alias("name")).agg((F.count("*") == F.count_distinct("path")).alias("listed_once"), (F.min("length") > 0).alias("has_bytes"))
 
 
 _PIX = "list_transform(embedding, lambda x: CAST(abs(round(x * 100)) AS BIGINT) % 256)"
@@ -141,33 +144,26 @@ def stream_profile(spark, sf_dir):
     return drained(twins.topic_profile(stream(spark, sf_dir)), "complete")
 
 
-@query("str2_bucket_latest", f"WITH {MSG}, w AS (SELECT max(ts_ns // 1000) - 3600000000 AS mark FROM msg), b AS (SELECT episode_id, topic, ts_ns // {6 * HOUR} * {6 * HOUR} AS bucket_ns, arg_max(seq, ts_ns) AS seq FROM msg GROUP BY ALL) SELECT episode_id, topic, bucket_ns, seq FROM b, w WHERE bucket_ns // 1000 + {6 * 3600_000_000} <= mark // 1000 * 1000")
-def stream_buckets(spark, sf_dir):
-    rows = stream(spark, sf_dir).withColumn("payload", F.col("seq").cast("string"))
-    return drained(twins.bucket_latest(rows, 6 * 3600), "append").select("episode_id", "topic", "bucket_ns", F.col("payload").cast("long").alias("seq"))
-
-
-@query("str3_trigger_join", f"WITH {MSG}, w AS (SELECT max(ts_ns // 1000000) - 3600000 AS mark FROM msg) SELECT t.episode_id, t.ts_ns, t.seq, coalesce(j.ts_ns, -1) AS match_ts_ns FROM (SELECT msg.* FROM msg, w WHERE topic = '/purchase' AND ts_ns // 1000000 < mark) t ASOF LEFT JOIN (SELECT * FROM msg WHERE topic = '/view') j ON t.episode_id = j.episode_id AND t.ts_ns >= j.ts_ns")
-def stream_join(spark, sf_dir):
-    return drained(twins.trigger_join(stream(spark, sf_dir), "/purchase", "/view"), "append").select("episode_id", "ts_ns", "seq", F.coalesce("match_ts_ns", F.lit(-1)).alias("match_ts_ns"))
-
-
 def final_watermark_ms(spark, sf_dir) -> int:
     """The watermark of a drained stream: an hour before the last message; what lies at or after it is never emitted."""
     last = messages(spark, sf_dir).agg(F.max("ts_ns")).first()[0]
     return 0 if last is None else last // 1_000_000 - 3_600_000
 
 
-@query("str2_bucket_latest_whole", f"WITH {MSG} SELECT episode_id, topic, ts_ns // {6 * HOUR} * {6 * HOUR} AS bucket_ns, arg_max(seq, ts_ns) AS seq FROM msg GROUP BY ALL")
-def stream_buckets_whole(spark, sf_dir):
+@query("str2_bucket_latest", f"WITH {MSG} SELECT episode_id, topic, ts_ns // {6 * HOUR} * {6 * HOUR} AS bucket_ns, arg_max(seq, ts_ns) AS seq FROM msg GROUP BY ALL")
+def stream_buckets(spark, sf_dir):
     """The stream's closed buckets, and those still open at its end from the batch form."""
+    number = lambda rows: rows.select("episode_id", "topic", "bucket_ns", F.col("payload").cast("long").alias("seq"))
+    closed = drained(twins.bucket_latest(stream(spark, sf_dir).withColumn("payload", F.col("seq").cast("string")), 6 * 3600), "append")
     rows = messages(spark, sf_dir).withColumn("payload", F.col("seq").cast("string"))
     held = twins.bucket_latest(rows, 6 * 3600).where(F.col("bucket_ns") / 1_000_000 + 6 * 3_600_000 > final_watermark_ms(spark, sf_dir))
-    return stream_buckets(spark, sf_dir).unionByName(held.select("episode_id", "topic", "bucket_ns", F.col("payload").cast("long").alias("seq")))
+    return number(closed).unionByName(number(held))
 
 
-@query("str3_trigger_join_whole", f"WITH {MSG} SELECT t.episode_id, t.ts_ns, t.seq, coalesce(j.ts_ns, -1) AS match_ts_ns FROM (SELECT * FROM msg WHERE topic = '/purchase') t ASOF LEFT JOIN (SELECT * FROM msg WHERE topic = '/view') j ON t.episode_id = j.episode_id AND t.ts_ns >= j.ts_ns")
-def stream_join_whole(spark, sf_dir):
+@query("str3_trigger_join", f"WITH {MSG} SELECT t.episode_id, t.ts_ns, t.seq, coalesce(j.ts_ns, -1) AS match_ts_ns FROM (SELECT * FROM msg WHERE topic = '/purchase') t ASOF LEFT JOIN (SELECT * FROM msg WHERE topic = '/view') j ON t.episode_id = j.episode_id AND t.ts_ns >= j.ts_ns")
+def stream_join(spark, sf_dir):
     """The stream's triggers, and those it still holds at its end from the batch as-of join."""
+    matched = lambda rows: rows.select("episode_id", "ts_ns", "seq", F.coalesce("match_ts_ns", F.lit(-1)).alias("match_ts_ns"))
+    passed = drained(twins.trigger_join(stream(spark, sf_dir), "/purchase", "/view"), "append")
     held = align.asof_join(messages(spark, sf_dir), "/purchase", "/view").where(F.expr("ts_ns div 1000000") >= final_watermark_ms(spark, sf_dir))
-    return stream_join(spark, sf_dir).unionByName(held.select("episode_id", "ts_ns", "seq", F.coalesce("match_ts_ns", F.lit(-1)).alias("match_ts_ns")))
+    return matched(passed).unionByName(matched(held))

@@ -249,7 +249,7 @@ def test_file_classes(spark, tmp_path):
     kinds = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).select(files.compression(F.col("content")).alias("c")).collect()
     assert sorted(r["c"] for r in kinds) == ["bz2", "none", "zstd"]
     with pytest.raises(FileNotFoundError):
-        files.inventory(spark, [str(tmp_path)], pattern="*.nothing")
+        files.inventory(spark, [str(tmp_path)], suffixes=(".nothing",))
 
 
 def test_images():

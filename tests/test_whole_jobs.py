@@ -10,7 +10,7 @@ from logweave.registry import QUERIES
 def test_every_document_has_an_envelope(spark, tmp_path):
     texts = ["short", "", None, "long é " * 900, "two\nlines" * 300]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["envelope"] for r in QUERIES["src3_raw_envelope_whole"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["envelope"] for r in QUERIES["src3_raw_envelope"](spark, str(tmp_path)).collect()}
     assert sorted(got) == list(range(len(texts))) and got[2] is None
     assert all(base64.b64decode(json.loads(got[i])["value"]).decode() == t for i, t in enumerate(texts) if t is not None)
 
@@ -19,7 +19,7 @@ def test_empty_lists_are_merged(spark, tmp_path):
     rows = [(i, 1, kind, float(i), '{"k": %d}' % k) for i, (kind, k) in enumerate([("click", 0), ("click", 3), ("view", 0), ("view", 1), ("error", 2)])]
     frame = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string")
     frame.selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' AS ts").write.parquet(f"{tmp_path}/events.parquet")
-    got = {r["topic"]: r["dim"] for r in QUERIES["ins4_shape_merge_whole"](spark, str(tmp_path)).collect()}
+    got = {r["topic"]: r["dim"] for r in QUERIES["ins4_shape_merge"](spark, str(tmp_path)).collect()}
     assert got == {"/click": 0, "/view": -1, "/error": 2}
 
 
@@ -32,6 +32,6 @@ def test_streams_give_the_last_hour_too(spark, tmp_path):
     rows = [(i, 1, kind, float(i), '{"k": 1}', at) for i, (kind, at) in enumerate([("view", "00:00:00"), ("purchase", "01:00:00"), ("view", "08:00:00"), ("purchase", "08:30:00")])]
     frame = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string, at string")
     frame.selectExpr("* except (at)", "cast('2024-01-01 ' || at as timestamp_ntz) AS ts").write.parquet(f"{tmp_path}/events.parquet")
-    assert sorted(r["seq"] for r in QUERIES["str2_bucket_latest_whole"](spark, str(tmp_path)).collect()) == [0, 1, 2, 3]
-    got = sorted((r["seq"], r["match_ts_ns"]) for r in QUERIES["str3_trigger_join_whole"](spark, str(tmp_path)).collect())
+    assert sorted(r["seq"] for r in QUERIES["str2_bucket_latest"](spark, str(tmp_path)).collect()) == [0, 1, 2, 3]
+    got = sorted((r["seq"], r["match_ts_ns"]) for r in QUERIES["str3_trigger_join"](spark, str(tmp_path)).collect())
     assert [x[0] for x in got] == [1, 3] and got[1][1] - got[0][1] == 8 * 3600 * 10**9
