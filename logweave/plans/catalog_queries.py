@@ -8,11 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.operators import catalog, layout, profile
+from logweave.operators import catalog, layout, mapping, profile, validate
 from logweave.plans.feature_queries import _FEA, built
-from logweave.plans.log_queries import MSG
+from logweave.plans.log_queries import _COUNTS, _SPLIT, MSG
 from logweave.plans.session import shared_folder, table
-from logweave.sources import files, sinks
+from logweave.sources import files, manifest, sinks
 from logweave.sources.messages import messages, typed
 
 QUERIES: dict = {}
@@ -23,6 +23,8 @@ def query(name: str, sql: str | None = None):
     """Register a query and its oracle."""
 
     def keep(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
         QUERIES[name] = f
         if sql is not None:
             ORACLES[name] = sql
@@ -62,8 +64,8 @@ def all_tags(spark, sf_dir):
     return catalog.with_all_tags(asset_tags(spark, sf_dir), [" asia", "BUILDING "])
 
 
-@query("cat2_asset_search", "SELECT c_custkey AS asset_id, c_name AS name, c_acctbal AS size FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), '1') AND c_mktsegment = 'BUILDING' AND c_acctbal BETWEEN 100 AND 8000")
-def asset_search(spark, sf_dir):
+@query("cat2_text_and_range", "SELECT c_custkey AS asset_id, c_name AS name, c_acctbal AS size FROM customer WHERE contains(lower(c_name || ' ' || c_mktsegment), '1') AND c_mktsegment = 'BUILDING' AND c_acctbal BETWEEN 100 AND 8000")
+def text_and_range(spark, sf_dir):
     found = catalog.search(assets(spark, sf_dir), " 1 ", ["name", "kind"], kind="BUILDING")
     return catalog.in_range(found, "size", 100, 8000).select("asset_id", "name", "size")
 
@@ -263,19 +265,57 @@ def reindex_selection(spark, sf_dir):
     return jobs(spark, sf_dir).where(F.col("status").isin("pending", "failed")).select("job_id")
 
 
-_MAN = _FEA + """, man AS (SELECT episode_id, count(*) AS rows_written, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, count_if(view_value IS NULL) / count(*) AS view_missing FROM fea GROUP BY 1)"""
+#: Rows as they are written: those with a view, in three splits and two shards, and what is dropped.
+_MANIFEST = _FEA + _COUNTS.replace("FROM msg GROUP BY 1)", "FROM fea WHERE view_value__present = 1 GROUP BY 1)").replace(", c AS (", ", counted AS (").replace("FROM c)", "FROM counted)") + """, placed AS (SELECT fea.*, n0, n1, k.n AS whole, row_number() OVER (PARTITION BY fea.episode_id ORDER BY ts_ns, seq) AS rn FROM fea JOIN k USING (episode_id) WHERE view_value__present = 1),
+    sp AS (SELECT *, CASE WHEN rn <= n0 THEN 'train' WHEN rn <= n0 + n1 THEN 'val' ELSE 'test' END AS split FROM placed), sh AS (SELECT *, ntile(2) OVER (PARTITION BY episode_id, split ORDER BY ts_ns, seq) - 1 AS shard FROM sp),
+    man AS (SELECT episode_id, split, shard, count(*) AS rows_written, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, any_value(whole) AS whole, any_value(n0) AS n0, any_value(n1) AS n1 FROM sh GROUP BY 1, 2, 3),
+    ep AS (SELECT episode_id, count_if(click_bin__present = 0 AND view_value__present = 1) AS no_click, count_if(view_value__present = 0) AS dropped FROM fea GROUP BY 1),
+    src AS (SELECT episode_id, count(*) AS message_count, min(ts_ns) AS start_ns, bool_or(topic = '/view') AS viewed FROM msg GROUP BY 1)"""
+
+
+def manifest_rows_of(spark, sf_dir):
+    """The features of each episode, written under names by split and shard, and the manifests of those files."""
+    rows = built(spark, sf_dir)
+    rows = rows.withColumn("click_bin", F.array_position("click_bin", 1))
+    kept = rows.where("view_value__present = 1").select("episode_id", "ts_ns", "seq", "price", "view_value", F.when(F.col("click_bin__present") == 1, F.col("click_bin")).alias("click_bin"))
+    placed = layout.shards(layout.time_split(kept, _SPLIT), 2)
+    path = _folder(spark, "named")
+    names = sinks.write_named(placed, path, 2, order=("ts_ns", "seq"))
+    heads = messages(spark, sf_dir)
+    logs = heads.select("episode_id").distinct().select("episode_id", F.lit("/logs").alias("path"), F.concat(F.lit("/logs/"), "episode_id", F.lit(".mcap")).alias("file_path"), F.lit("ROS2").alias("ros_version"), F.lit("mcap").alias("storage_format"), F.lit(0).cast("bigint").alias("file_size_bytes"))
+    wanted = {"price": ["/purchase"], "view_value": ["/absent", "/view"]}
+    resolved = mapping.resolve(mapping.mapping_table(spark, wanted), profile.topic_directory(heads))
+    dropped = rows.groupBy("episode_id").agg(F.count_if(F.col("view_value__present") == 0).alias("dropped_rows"))
+    lacks = validate.missing_topics(rows, {"/view": ("view_value__present", 1)}, 10)
+    found = manifest.manifests(manifest.written_files(spark, path, ["price", "view_value", "click_bin"]), names, manifest.source_rows(logs, profile.temporal_bounds(heads)), manifest.Conversion(mapping=wanted, spec={"row_strategy": "trigger"}), resolved, dropped, lacks)
+    return path, found
+
+
+@query("snk6_manifests", f"WITH {MSG}" + _MANIFEST + """ SELECT man.episode_id, split, CAST(shard AS INT) AS shard, man.episode_id || '-' || split || '-' || lpad(CAST(shard AS VARCHAR), 5, '0') || '-of-00002.parquet' AS output_filename, rows_written, first_ns, last_ns, message_count, start_ns, '/logs/' || man.episode_id || '.mcap' AS source_file, dropped AS dropped_rows,
+    whole - n0 - n1 AS test_rows, n0 AS train_rows, no_click, no_click / whole AS no_click_rate, CASE WHEN viewed THEN '/view' ELSE '-' END AS view_topic, 3 AS n_fields, TRUE AS has_bytes FROM man JOIN ep USING (episode_id) JOIN src USING (episode_id)""")
+def manifest_rows(spark, sf_dir):
+    _, found = manifest_rows_of(spark, sf_dir)
+    of_split = lambda name: F.coalesce(F.col("conversion.split_counts")[name], F.lit(0)).alias(f"{name}_rows")
+    return found.select(
+        "episode_id", F.col("dataset.split_name").alias("split"), F.col("dataset.shard_index").alias("shard"), "dataset.output_filename", "dataset.rows_written", "temporal.first_ns", "temporal.last_ns", "temporal.message_count", "temporal.start_ns", F.col("source.file_path").alias("source_file"), "conversion.dropped_rows",
+        of_split("test"), of_split("train"), F.col("conversion.missing_feature_counts")["click_bin"].alias("no_click"), F.col("conversion.missing_feature_rates")["click_bin"].alias("no_click_rate"), F.coalesce(F.col("conversion.mapping_resolved")["view_value"], F.lit("-")).alias("view_topic"), F.size("dataset.field_names").alias("n_fields"), (F.col("dataset.file_size_bytes") > 0).alias("has_bytes"),
+    )
 
 
-@query("snk6_manifests", f"WITH {MSG}" + _MAN + " SELECT man.*, m.message_count FROM man JOIN (SELECT episode_id, count(*) AS message_count FROM msg GROUP BY 1) m USING (episode_id)")
-def manifest_rows(spark, sf_dir):
-    found = sinks.manifests(built(spark, sf_dir), profile.temporal_bounds(messages(spark, sf_dir)), ["price", "view_value"], "events", "parquet")
-    return found.select("episode_id", "rows_written", "first_ns", "last_ns", F.col("missing_rates")["view_value"].alias("view_missing"), "message_count")
+@query("snk1_named_files", f"WITH {MSG}" + _MANIFEST + " SELECT DISTINCT episode_id || '-' || split || '-' || lpad(CAST(shard AS VARCHAR), 5, '0') || '-of-00002' || ending AS name FROM sh, (VALUES ('.parquet'), ('.manifest.json')) AS e(ending)")
+def named_files(spark, sf_dir):
+    """The listing of the output folder: the data files and their manifests."""
+    path, found = manifest_rows_of(spark, sf_dir)
+    manifest.write_manifests(found, path)
+    listed = files.inventory(spark, [path], suffixes=(".parquet", ".json"))
+    return listed.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"))
 
 
-@query("snk7_readiness", f"WITH {MSG}" + _MAN + " SELECT e.episode_id, man.episode_id IS NOT NULL AS has_manifest, coalesce(rows_written, 0) > 0 AS has_rows, man.episode_id IS NOT NULL AS has_required_fields, coalesce(rows_written, 0) AS rows FROM (SELECT DISTINCT episode_id FROM msg) e LEFT JOIN man USING (episode_id)")
+@query("snk7_readiness", f"WITH {MSG}" + _MANIFEST + """, done AS (SELECT episode_id, sum(rows_written) AS rows FROM man GROUP BY 1) SELECT e.episode_id, done.episode_id IS NOT NULL AS has_manifest, coalesce(rows, 0) > 0 AS has_rows, done.episode_id IS NOT NULL AS has_required_fields, CAST(coalesce(rows, 0) AS BIGINT) AS rows
+    FROM (SELECT DISTINCT episode_id FROM msg) e LEFT JOIN done USING (episode_id)""")
 def readiness(spark, sf_dir):
-    found = sinks.manifests(built(spark, sf_dir), profile.temporal_bounds(messages(spark, sf_dir)), ["price", "view_value"], "events", "parquet")
-    return sinks.readiness(messages(spark, sf_dir), found, ["price"]).select("episode_id", "has_manifest", "has_rows", "has_required_fields", "rows")
+    _, found = manifest_rows_of(spark, sf_dir)
+    return sinks.readiness(messages(spark, sf_dir), manifest.summary(found), ["price"]).select("episode_id", "has_manifest", "has_rows", "has_required_fields", "rows")
 
 
 def _folder(spark, name: str) -> str:

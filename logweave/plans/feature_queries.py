@@ -19,6 +19,8 @@ def query(name: str, sql: str | None = None, plain: bool = False):
     """Register a query and its oracle; ``plain`` SQL doesn't use the message table."""
 
     def keep(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
         QUERIES[name] = f
         if sql is not None:
             ORACLES[name] = sql if plain else f"WITH {MSG}{sql}" if sql.lstrip().startswith(",") else f"WITH {MSG} {sql}"

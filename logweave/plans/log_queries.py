@@ -26,6 +26,8 @@ def query(name: str, sql: str | None = None):
     """Register a query and its oracle; the SQL starts after the message table's definition."""
 
     def keep(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
         QUERIES[name] = f
         if sql is not None:
             ORACLES[name] = f"WITH {MSG}{sql}" if sql.lstrip().startswith(",") else f"WITH {MSG} {sql}"

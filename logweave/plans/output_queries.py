@@ -25,6 +25,8 @@ def query(name: str, sql: str | None = None):
     """Register a query and its oracle."""
 
     def keep(f):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
         QUERIES[name] = f
         if sql is not None:
             ORACLES[name] = sql

@@ -128,7 +128,7 @@ def test_time_split_and_shards(spark):
     sizes = layout.shards(layout.no_split(rows), 3).groupBy("shard").count().orderBy("shard").collect()
     assert [r["count"] for r in sizes] == [2, 2, 1]
     names = layout.shards(layout.no_split(rows), 3).select(layout.file_name(3, ".parquet").alias("f")).distinct().orderBy("f").collect()
-    assert names[0]["f"] == "e-all-00000-of-00003.parquet"
+    assert names[0]["f"] == "e-00000-of-00003.parquet"
 
 
 def test_random_split_is_repeatable(spark):
