@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -279,24 +280,52 @@ def top_candidates(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+@dataclass(frozen=True)
+class DraftRequest:
+    """What a draft is asked for: topics (none: all), those that join (none: all but the trigger), the trigger (None: chosen), how many
+    features of a topic, and the name of the feature that is the label."""
+
+    topics: tuple[str, ...] = ()
+    joins: tuple[str, ...] = ()
+    trigger: str | None = None
+    features_per_topic: int = 2
+    label: str | None = None
+
+
 def _logs(samples: DataFrame) -> DataFrame:
-    """``episode_id, topics, trigger``: the topics of each log by their first samples, each with its candidates, best first.
+    """``episode_id, topics``: the topics of each log by their first samples, each with its candidates, best first.
 
-    The trigger sets the pace: most image-like fields, then most fields, then most samples, then the first.  A sample is read once;
-    all but the last grouping, by log, keep the partitioning of the samples.
+    A sample is read once; all but the last grouping, by log, keep the partitioning of the samples.
     """
     whole = F.col("path").isNull()
     columns = ["path", "kind", "dtypes", "shape", "image_like"]
     own = F.array_sort(F.collect_list(F.when(~whole, F.struct(_order(F.col).alias("order"), *columns))))
     topics = _found(samples).groupBy(EPISODE, "topic").agg(F.first("began", ignorenulls=True).alias("began"), F.first(F.when(whole, F.col("observed")), ignorenulls=True).alias("samples"), own.alias("fields"))
-    each = F.array_sort(F.collect_list(F.struct("began", "topic", "samples", "fields")))
-    paces = F.transform("topics", lambda t: F.struct((-F.size(F.filter(t["fields"], lambda f: f["image_like"]))).alias("images"), (-F.size(t["fields"])).alias("fields"), (-t["samples"]).alias("samples"), t["began"].alias("began"), t["topic"].alias("topic")))
-    return topics.groupBy(EPISODE).agg(each.alias("topics")).withColumn("trigger", F.array_min(paces)["topic"])
+    return topics.groupBy(EPISODE).agg(F.array_sort(F.collect_list(F.struct("began", "topic", "samples", "fields"))).alias("topics"))
+
+
+def _chosen(samples: DataFrame, request: DraftRequest) -> DataFrame:
+    """The logs with ``trigger``, ``joins`` and ``selected`` (all topics of the draft, in order); logs that lack the asked trigger, or
+    have none of the topics, have a null trigger.
+
+    The trigger sets the pace: most image-like fields, then most fields, then most samples, then the first.
+    """
+    have = F.transform("topics", lambda t: t["topic"])
+    asked = lambda names: F.array_distinct(F.filter(F.array(*map(F.lit, names)), lambda x: F.array_contains("have", x)))
+    out = _logs(samples).withColumn("have", have)
+    out = out.withColumn("selected", asked(request.topics) if request.topics else F.col("have"))
+    pace = lambda t: F.struct((-F.size(F.filter(t["fields"], lambda f: f["image_like"]))).alias("images"), (-F.size(t["fields"])).alias("fields"), (-t["samples"]).alias("samples"), F.array_position("selected", t["topic"]).alias("place"), t["topic"].alias("topic"))
+    own = F.array_min(F.transform(F.filter("topics", lambda t: F.array_contains("selected", t["topic"])), pace))["topic"]
+    trigger = own if request.trigger is None else F.when(F.array_contains("have", request.trigger) & (F.size("selected") > 0), F.lit(request.trigger))
+    out = out.withColumn("trigger", trigger)
+    out = out.withColumn("selected", F.when(F.array_contains("selected", F.col("trigger")), F.col("selected")).otherwise(F.concat(F.array("trigger"), "selected")))
+    out = out.withColumn("joins", F.filter(asked(request.joins) if request.joins else F.col("selected"), lambda x: x != F.col("trigger")))
+    return out.withColumn("selected", F.array_distinct(F.concat("selected", "joins"))).drop("have")
 
 
 def trigger_choice(samples: DataFrame) -> DataFrame:
     """``episode_id, topic``: the topic that sets the pace of each log."""
-    return _logs(samples).select(EPISODE, F.col("trigger").alias("topic"))
+    return _chosen(samples, DraftRequest()).select(EPISODE, F.col("trigger").alias("topic"))
 
 
 def _feature_name(path: Column, image: Column, topic: Column) -> Column:
@@ -330,15 +359,35 @@ def _proposal(topic: Column, field: Column) -> Column:
     return F.struct(topic.alias("topic"), name.alias("name"), path.alias("path"), dtype.alias("dtype"), F.when(field["kind"].isin("sequence", "image"), shape).alias("shape"), made.alias("transforms"), F.when(zeroed, F.lit("zeros")).otherwise(F.lit("default")).alias("missing"))
 
 
-def drafts(samples: DataFrame, k: int) -> DataFrame:
+def draft_report(samples: DataFrame, request: DraftRequest = DraftRequest()) -> DataFrame:
+    """One row for each log: ``trigger, joins, selected``, ``features``, ``label`` (name, topic and path), ``warnings`` and ``unresolved``.
+
+    Unresolved are topics without a candidate (proposed as a whole, as JSON) and an asked label that no feature is named; a log without
+    the asked trigger or topics has no features and a warning.
+    """
+    logs = _chosen(samples, request)
+    of_topic = lambda name: F.get(F.filter("topics", lambda t: t["topic"] == name), F.lit(0))
+    logs = logs.withColumn("ordered", F.when(F.col("trigger").isNotNull(), F.transform("selected", of_topic)).otherwise(F.slice("topics", 1, 0)))
+    best = lambda t: F.when(F.size(t["fields"]) > 0, F.slice(t["fields"], 1, request.features_per_topic)).otherwise(F.array(F.get(t["fields"], F.lit(0))))
+    each = F.flatten(F.transform("ordered", lambda t: F.transform(best(t), lambda f: _proposal(t["topic"], f))))
+    logs = logs.withColumn("features", _numbered(each))
+    bare = F.transform(F.filter("ordered", lambda t: F.size(t["fields"]) == 0), lambda t: t["topic"])
+    found = F.get(F.filter("features", lambda f: f["name"] == F.lit(request.label)), F.lit(0))
+    named, drafted = F.lit(request.label is not None), F.col("trigger").isNotNull()
+    lacks = named & drafted & found.isNull()
+    warnings = F.array_compact(F.array(F.when(~drafted, F.lit("no topic to draft" if request.trigger is None else f"trigger topic not found: {request.trigger}")), F.when(lacks, F.lit(f"requested label feature '{request.label}' was not found in drafted features"))))
+    label = F.when(found.isNotNull(), F.struct(found["name"].alias("name"), found["topic"].alias("topic"), found["path"].alias("path")))
+    unresolved = F.concat(bare, F.array_compact(F.array(F.when(lacks, F.lit(request.label)))))
+    shown = lambda c: F.when(drafted, F.col(c)).otherwise(F.slice(c, 1, 0)).alias(c)
+    return logs.select(EPISODE, "trigger", shown("joins"), shown("selected"), "features", label.alias("label"), warnings.alias("warnings"), unresolved.alias("unresolved"))
+
+
+def drafts(samples: DataFrame, k: int, request: DraftRequest | None = None) -> DataFrame:
     """The proposed conversion of every log: its topics' features, and whether each topic triggers (and is required) or joins.
 
     ``topic, name`` (unique in its log), ``path, dtype, shape, transforms, missing`` for the ``k`` best candidates of each topic.
     """
-    logs = _logs(samples)
-    best = lambda t: F.when(F.size(t["fields"]) > 0, F.slice(t["fields"], 1, k)).otherwise(F.array(F.get(t["fields"], F.lit(0))))
-    each = F.flatten(F.transform("topics", lambda t: F.transform(best(t), lambda f: _proposal(t["topic"], f))))
-    rows = logs.withColumn("proposed", each).select(EPISODE, "trigger", F.inline(_numbered(F.col("proposed"))))
+    rows = draft_report(samples, replace(request or DraftRequest(), features_per_topic=k)).select(EPISODE, "trigger", F.inline("features"))
     return rows.withColumn("role", F.when(F.col("topic") == F.col("trigger"), "trigger").otherwise("join")).withColumn("required", F.col("role") == "trigger").drop("trigger")
 
 

@@ -412,3 +412,20 @@ def feature_proposals(spark, sf_dir):
 @query("drf4_draft_table", _RICH + """ SELECT p.episode_id, p.topic, name, dtype, CASE WHEN p.topic = trig.topic THEN 'trigger' ELSE 'join' END AS role, p.topic = trig.topic AS required FROM prop AS p JOIN trig ON p.episode_id = trig.episode_id""")
 def draft_table(spark, sf_dir):
     return inspection.drafts(rich_samples(spark, sf_dir), 2).select("episode_id", "topic", "name", "dtype", "role", "required")
+
+
+#: A request: three topics, of which one joins that is not among them, and a label that only logs with buttons have.
+_REQUEST = inspection.DraftRequest(topics=("/view", "/purchase", "/none"), joins=("/signup", "/view"), label="buttons")
+
+
+@query("drf4_draft_request", _RICH + """ , have AS (SELECT episode_id, bool_or(topic = '/view') AS v, bool_or(topic = '/purchase') AS p, bool_or(topic = '/signup') AS u FROM g GROUP BY 1),
+    pace AS (SELECT episode_id, arg_min(topic, (-images, -fields, -n, CASE topic WHEN '/view' THEN 1 ELSE 2 END)) AS trigger FROM (SELECT episode_id, topic, n, count_if(image_like) AS images, count(*) AS fields FROM c WHERE topic IN ('/view', '/purchase') GROUP BY 1, 2, 3) GROUP BY 1)
+    SELECT h.episode_id, coalesce(trigger, '-') AS trigger, CASE WHEN trigger IS NULL THEN '' ELSE concat_ws(',', CASE WHEN u THEN '/signup' END, CASE WHEN v AND trigger <> '/view' THEN '/view' END) END AS joins,
+        CASE WHEN trigger IS NULL THEN '' ELSE concat_ws(',', CASE WHEN v THEN '/view' END, CASE WHEN p THEN '/purchase' END, CASE WHEN u THEN '/signup' END) END AS selected,
+        CASE WHEN trigger IS NULL THEN 0 ELSE 2 * (v::INT + p::INT + u::INT) END AS n_features, CASE WHEN p THEN '/purchase buttons' ELSE '-' END AS label, CASE WHEN trigger IS NOT NULL AND NOT p THEN 'buttons' ELSE '' END AS unresolved, (NOT coalesce(p, FALSE))::INT AS n_warnings
+    FROM have h LEFT JOIN pace USING (episode_id)""")
+def draft_request(spark, sf_dir):
+    found = inspection.draft_report(rich_samples(spark, sf_dir), _REQUEST)
+    text = lambda c: F.array_join(c, ",").alias(c)
+    label = F.coalesce(F.concat_ws(" ", F.col("label.topic"), F.col("label.path")), F.lit("-"))
+    return found.select("episode_id", F.coalesce("trigger", F.lit("-")).alias("trigger"), text("joins"), text("selected"), F.size("features").alias("n_features"), F.when(F.col("label").isNull(), "-").otherwise(label).alias("label"), text("unresolved"), F.size("warnings").alias("n_warnings"))
