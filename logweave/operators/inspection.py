@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logweave.operators.mapping import numbered
+
 EPISODE = "episode_id"
 #: Words of paths and topics that carry images, last names of image contents, keys that tell an image struct.
 IMAGE_PATHS = "image|rgb|bgr"
@@ -335,17 +337,6 @@ def _feature_name(path: Column, image: Column, topic: Column) -> Column:
     return F.when(plain == "", "feature").otherwise(plain)
 
 
-def _numbered(rows: Column) -> Column:
-    """The structs with ``name`` made unique in their order: a taken name gets the first free number from 2 on."""
-
-    def place(done: Column, row: Column) -> Column:
-        taken = F.transform(done, lambda x: x["name"])
-        tries = F.transform(F.sequence(F.lit(1), F.size(done) + 1), lambda i: F.when(i == 1, row["name"]).otherwise(F.concat(row["name"], F.lit("_"), i.cast("string"))))
-        return F.concat(done, F.array(row.withField("name", F.get(F.filter(tries, lambda t: ~F.array_contains(taken, t)), F.lit(0)))))
-
-    return F.aggregate(rows, F.slice(rows, 1, 0), place)
-
-
 def _proposal(topic: Column, field: Column) -> Column:
     """Feature name, type, shape, transforms and what to do when it is missing; no field stands for the whole topic, as JSON."""
     path = F.when(field["path"] != "__root__", field["path"])
@@ -370,7 +361,7 @@ def draft_report(samples: DataFrame, request: DraftRequest = DraftRequest()) ->
     logs = logs.withColumn("ordered", F.when(F.col("trigger").isNotNull(), F.transform("selected", of_topic)).otherwise(F.slice("topics", 1, 0)))
     best = lambda t: F.when(F.size(t["fields"]) > 0, F.slice(t["fields"], 1, request.features_per_topic)).otherwise(F.array(F.get(t["fields"], F.lit(0))))
     each = F.flatten(F.transform("ordered", lambda t: F.transform(best(t), lambda f: _proposal(t["topic"], f))))
-    logs = logs.withColumn("features", _numbered(each))
+    logs = logs.withColumn("features", numbered(each))
     bare = F.transform(F.filter("ordered", lambda t: F.size(t["fields"]) == 0), lambda t: t["topic"])
     found = F.get(F.filter("features", lambda f: f["name"] == F.lit(request.label)), F.lit(0))
     named, drafted = F.lit(request.label is not None), F.col("trigger").isNotNull()

@@ -79,9 +79,14 @@ def topic_globs(spark, sf_dir):
     return glob_topics(messages(spark, sf_dir), ["/[cp]*", "/v?ew"], ["*ick"]).groupBy("topic").agg(F.count("*").alias("n"))
 
 
-@query("map1_field_names", "SELECT DISTINCT topic, trim(regexp_replace(lower(topic), '[^a-z0-9]+', '_', 'g'), '_') AS field FROM msg")
+@query("map1_field_names", """, t AS (SELECT DISTINCT topic FROM msg UNION SELECT DISTINCT upper(topic) || '/' FROM msg UNION SELECT DISTINCT topic || '-2' FROM msg WHERE topic < '/p' UNION SELECT '//' FROM msg),
+    n AS (SELECT topic, CASE WHEN topic = '//' THEN 'topic' ELSE trim(regexp_replace(lower(topic), '[^a-z0-9]+', '_', 'g'), '_') END AS base FROM t)
+    SELECT topic, CASE WHEN topic = lower(topic) AND topic NOT LIKE '%-2' AND topic <> '//' THEN base || '_2' WHEN topic LIKE '%-2' THEN base || '_2' ELSE base END AS field FROM n""")
 def field_names(spark, sf_dir):
-    return mapping.field_names(messages(spark, sf_dir))
+    """Topics that differ in case, that have a number already, and that have no letters: ``/CLICK/``, ``/click`` and ``/click-2`` are click, click_2 and click_2_2."""
+    topics = messages(spark, sf_dir).select("topic").distinct()
+    more = topics.select(F.explode(F.array("topic", F.concat(F.upper("topic"), F.lit("/")), F.when(F.col("topic") < "/p", F.concat("topic", F.lit("-2"))), F.lit("//"))).alias("topic"))
+    return mapping.field_names(more.where("topic IS NOT NULL"))
 
 
 _MAPPING = {"motion": ["/twist", "/purchase", "/view"], "picture": ["/click"], "status": ["/error", "/signup"], "none": ["/absent"]}

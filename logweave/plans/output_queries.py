@@ -76,23 +76,29 @@ def pixels(spark, sf_dir) -> DataFrame:
 _PIXD = _PIX.replace("x * 100", "x::DOUBLE * 100")
 
 
-@query("snk5_pixel_bytes", f"SELECT vec_id, CAST(list_sum(p) AS BIGINT) AS total, 64 AS n FROM (SELECT vec_id, {_PIXD} AS p FROM embeddings)")
+_HEX = "array_to_string(list_transform({}, lambda x: printf('%02X', CAST(x AS BIGINT))), '')"
+_SIXTEEN = "list_transform(range(16), lambda i: {})"
+
+
+@query("snk5_pixel_bytes", f"SELECT vec_id, {_HEX.format('p')} AS bytes, array_to_string(p, ',') AS listed FROM (SELECT vec_id, {_PIXD} AS p FROM embeddings)")
 def pixel_bytes(spark, sf_dir):
-    numbers = F.transform(F.sequence(F.lit(1), F.octet_length("data")), lambda i: F.conv(F.hex(F.substring("data", i, F.lit(1))), 16, 10).cast("bigint"))
-    return pixels(spark, sf_dir).select("vec_id", F.aggregate(numbers, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("total"), F.octet_length("data").alias("n"))
+    """The same pixels under both payload contracts."""
+    kept = images.payload(F.col("list"), "legacy_list_v1")
+    return pixels(spark, sf_dir).select("vec_id", F.hex(images.payload(F.col("list"))).alias("bytes"), F.array_join(kept.cast("array<string>"), ",").alias("listed"))
 
 
-@query("trf8_color_convert", f"SELECT vec_id, printf('%02X%02X%02X', p[3], p[2], p[1]) AS first_bgr, printf('%02X', CAST(floor((p[1] + p[2] + p[3]) / 3.0) AS BIGINT)) AS first_gray FROM (SELECT vec_id, {_PIXD} AS p FROM embeddings)")
+@query("trf8_color_convert", f"""SELECT vec_id, array_to_string({_SIXTEEN.format("printf('%02X%02X%02X', p[4 * i + 3], p[4 * i + 2], p[4 * i + 1])")}, '') AS bgr, array_to_string({_SIXTEEN.format("printf('%02X', CAST(floor((p[4 * i + 1] + p[4 * i + 2] + p[4 * i + 3]) / 3.0) AS BIGINT))")}, '') AS gray
+    FROM (SELECT vec_id, {_PIXD} AS p FROM embeddings)""")
 def color_convert(spark, sf_dir):
+    """Every pixel of every image, turned and greyed."""
     side = F.lit(4)
-    rows = pixels(spark, sf_dir).select("vec_id", images.color_convert(F.col("data"), side, side, "rgba", "bgr").alias("bgr"), images.color_convert(F.col("data"), side, side, "rgba", "gray").alias("gray"))
-    return rows.select("vec_id", F.hex(F.substring("bgr", 1, 3)).alias("first_bgr"), F.hex(F.substring("gray", 1, 1)).alias("first_gray"))
+    return pixels(spark, sf_dir).select("vec_id", *[F.hex(images.color_convert(F.col("data"), side, side, "rgba", to)).alias(to) for to in ("bgr", "gray")])
 
 
-@query("trf9_image_crop", f"SELECT vec_id, printf('%02X', p[21]) AS first, 16 AS n FROM (SELECT vec_id, {_PIXD} AS p FROM embeddings)")
+@query("trf9_image_crop", f"SELECT vec_id, {_HEX.format('list_concat(p[21:28], p[37:44])')} AS box FROM (SELECT vec_id, {_PIXD} AS p FROM embeddings)")
 def image_crop(spark, sf_dir):
-    rows = pixels(spark, sf_dir).select("vec_id", images.image_crop(F.col("data"), F.lit(4), F.lit(4), 4, (1, 1, 2, 2)).alias("box"))
-    return rows.select("vec_id", F.hex(F.substring("box", 1, 1)).alias("first"), F.octet_length("box").alias("n"))
+    """Two by two pixels from the second row and column on."""
+    return pixels(spark, sf_dir).select("vec_id", F.hex(images.image_crop(F.col("data"), F.lit(4), F.lit(4), 4, (1, 1, 2, 2))).alias("box"))
 
 
 @query("val3_over_budget", f"WITH {MSG}" + _SAMPLE + " SELECT episode_id, CAST(count_if(view_value__present = 0) AS BIGINT) AS bad FROM first GROUP BY 1 HAVING count_if(view_value__present = 0) > 1")

@@ -26,11 +26,8 @@ def _moment(ns: int) -> str:
     return f"TIMESTAMP_NTZ'{at.isoformat(sep=' ', timespec='microseconds')}'"
 
 
-def messages(spark: SparkSession, sf_dir: str, topics: list[str] | None = None, start_ns: int | None = None, stop_ns: int | None = None) -> DataFrame:
-    """Events as messages: an episode for each user, a topic for each event type.
-
-    Topics and the half-open time range are asked of the events' own columns, so both filters reach the Parquet scan.
-    """
+def _events(spark: SparkSession, sf_dir: str, topics: list[str] | None = None, start_ns: int | None = None, stop_ns: int | None = None) -> DataFrame:
+    """The message columns of events, and ``value`` and ``k`` of their payloads."""
     events = table(spark, sf_dir, "events")
     if topics is not None:
         events = events.where(F.col("event_type").isin([t.removeprefix("/") for t in topics if t.startswith("/")]))
@@ -38,17 +35,33 @@ def messages(spark: SparkSession, sf_dir: str, topics: list[str] | None = None,
         if bound is not None:
             events = events.where(f"ts {op} {_moment(bound)}")
     kind = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
-    k = F.get_json_object("props", "$.k").cast("long")
     return events.select(
         F.concat(F.lit("user_"), F.col("user_id")).alias("episode_id"),
         F.concat(F.lit("/"), F.col("event_type")).alias("topic"),
         epoch_ns("ts").alias("ts_ns"),
         F.col("event_id").alias("seq"),
         F.element_at(kind, F.col("event_type")).alias("msgtype"),
-        F.to_json(F.struct("value", k.alias("k"))).alias("payload"),
+        "value",
+        F.get_json_object("props", "$.k").cast("long").alias("k"),
     )
 
 
+_HEAD = ("episode_id", "topic", "ts_ns", "seq", "msgtype")
+
+
+def messages(spark: SparkSession, sf_dir: str, topics: list[str] | None = None, start_ns: int | None = None, stop_ns: int | None = None) -> DataFrame:
+    """Events as messages: an episode for each user, a topic for each event type.
+
+    Topics and the half-open time range are asked of the events' own columns, so both filters reach the Parquet scan.
+    """
+    return _events(spark, sf_dir, topics, start_ns, stop_ns).select(*_HEAD, F.to_json(F.struct("value", "k")).alias("payload"))
+
+
+def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages whose payloads are structs (``payload.value``, ``payload.k``), straight from the events."""
+    return _events(spark, sf_dir).select(*_HEAD, F.struct("value", "k").alias("payload"))
+
+
 def decoded(frame: DataFrame, schema: str = PAYLOAD, on_failure: str = "skip") -> DataFrame:
     """Payloads as structs. Failures: ``skip`` drops the message, ``null`` keeps it without payload, ``fail`` stops the job."""
     parsed = F.from_json("payload", schema, {"mode": "PERMISSIVE"})
@@ -82,11 +95,6 @@ def decoded_by_hint(frame: DataFrame, hints: dict[str, str], on_failure: str = "
     return frame.where(valid).withColumn("payload", shaped), seen
 
 
-def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages with decoded payloads (``payload.value``, ``payload.k``)."""
-    return messages(spark, sf_dir).withColumn("payload", F.from_json("payload", PAYLOAD))
-
-
 def scan(frame: DataFrame, topics: list[str] | None = None, start_ns: int | None = None, stop_ns: int | None = None) -> DataFrame:
     """Messages of some topics in the half-open time range; over a stored message table both filters reach its scan."""
     if topics is not None:
