@@ -278,7 +278,7 @@ def manifest_rows_of(spark, sf_dir):
     rows = built(spark, sf_dir)
     rows = rows.withColumn("click_bin", F.array_position("click_bin", 1))
     kept = rows.where("view_value__present = 1").select("episode_id", "ts_ns", "seq", "price", "view_value", F.when(F.col("click_bin__present") == 1, F.col("click_bin")).alias("click_bin"))
-    placed = layout.shards(layout.time_split(kept, _SPLIT), 2)
+    placed = layout.time_split_shards(kept, _SPLIT, 2)
     path = _folder(spark, "named")
     names = sinks.write_named(placed, path, 2, order=("ts_ns", "seq"))
     heads = messages(spark, sf_dir)

@@ -383,12 +383,12 @@ _SHARDS = _TIME_SPLIT + ", sh AS (SELECT *, ntile(3) OVER (PARTITION BY episode_
 
 @query("lay5_shards", _SHARDS + " SELECT episode_id, seq, split, CAST(shard AS INT) AS shard FROM sh")
 def shard_rows(spark, sf_dir):
-    return layout.shards(layout.time_split(headers(messages(spark, sf_dir)), _SPLIT), 3).select("episode_id", "seq", "split", "shard")
+    return layout.time_split_shards(headers(messages(spark, sf_dir)), _SPLIT, 3).select("episode_id", "seq", "split", "shard")
 
 
 @query("lay6_file_names", _SHARDS + " SELECT DISTINCT episode_id || '-' || split || '-' || lpad(CAST(shard AS VARCHAR), 5, '0') || '-of-00003.parquet' AS file FROM sh")
 def file_names(spark, sf_dir):
-    rows = layout.shards(layout.time_split(headers(messages(spark, sf_dir)), _SPLIT), 3)
+    rows = layout.time_split_shards(headers(messages(spark, sf_dir)), _SPLIT, 3)
     return rows.select("episode_id", "split", "shard").distinct().select(layout.file_name(3, ".parquet").alias("file"))
 
 
