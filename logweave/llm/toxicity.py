@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.text import alnum_words
-from logweave.plans.session import ship_package, written
+from logweave.plans.session import scratch, ship_package, written
 
 SAMPLE = 20_000
 GRADES = 3
@@ -90,11 +90,16 @@ def fit_ordinal(rows: list[tuple[int, list[int]]], n_features: int, grades: int
 def fit_severity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> SeverityModel:
     """Select the vocabulary from the labelled sample, read its presence, and fit."""
     ship_package(docs.sparkSession)
+    with scratch(docs.sparkSession) as folder:
+        return _fitted(docs, labels, key, text, label, sample, folder)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int, folder: str) -> SeverityModel:
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("k"), "k").limit(sample)  # at most `sample` rows of two numbers
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("binary").alias("body")).join(F.broadcast(chosen), "k")
     # One text for each labelled id, so that what is collected stays within the sample; documents are read once for it.
-    rows = written(rows.groupBy("k").agg(F.first("toxic").alias("toxic"), F.min("body").alias("body")).select("toxic", "body"), "labelled")
+    rows = written(rows.groupBy("k").agg(F.first("toxic").alias("toxic"), F.min("body").alias("body")).select("toxic", "body"), "labelled", folder)
 
     def words(batches):
         for batch in batches:
