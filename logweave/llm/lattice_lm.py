@@ -249,13 +249,29 @@ def lexicon(words: DataFrame, weights: np.ndarray, path: str, scores: str = "ran
     return words.select("word", "n", "trained").mapInArrow(walk, "word binary, n long, trained long, log10_p double")
 
 
+def _head(words: DataFrame) -> DataFrame:
+    """``word, trained, log10_p`` of the most frequent short words, ``HEAD_WORDS`` at most.
+
+    Words are counted by sixteenths of the logarithm of their frequency, so no task sorts them and what reaches the driver is bounded.
+    """
+    level = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    short = words.where(F.length("word") <= HEAD_BYTES)
+    total, least = 0, None
+    for row in sorted(short.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        total += row["n"]
+        if total > HEAD_WORDS:
+            break
+        least = row["level"]
+    return short.where(F.lit(False) if least is None else level >= least).select("word", "trained", "log10_p")
+
+
 _PLACED = "pid int, row int, doc_id {}, held_out boolean, n_tokens long, known long, base double, lattice double, word binary, times int"
 
 
 def _looked_up(docs: DataFrame, words: DataFrame, key: str, text: str) -> DataFrame:
     """For each document what its frequent words add up to (``word`` is null), and a row for each of its other words."""
     spark = docs.sparkSession
-    head = words.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD_WORDS).select("word", "trained", "log10_p").toArrow().combine_chunks()
+    head = _head(words).toArrow().combine_chunks()
     names = head.column("word").combine_chunks() if len(head) else pa.array([], pa.binary())
     trained = head.column("trained").to_numpy()
     shared = spark.sparkContext.broadcast((names, trained > 0, np.log10(trained + 1.0), head.column("log10_p").to_numpy()))
