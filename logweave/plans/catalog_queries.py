@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.operators import catalog, layout, mapping, profile, validate
-from logweave.plans.feature_queries import _FEA, built
-from logweave.plans.log_queries import _COUNTS, _SPLIT, MSG
+from logweave.operators import align, catalog, layout, mapping, profile, validate
+from logweave.plans import conversion
+from logweave.plans.feature_queries import _FEA, built, wanted
+from logweave.plans.log_queries import _COUNTS, _SPLIT, DAY, MSG
 from logweave.plans.session import shared_folder, table
 from logweave.sources import files, manifest, sinks
 from logweave.sources.messages import messages, typed
@@ -318,6 +319,18 @@ def readiness(spark, sf_dir):
     return sinks.readiness(messages(spark, sf_dir), manifest.summary(found), ["price"]).select("episode_id", "has_manifest", "has_rows", "has_required_fields", "rows")
 
 
+@query("conv1_dataset", f"WITH {MSG}" + _MANIFEST + " SELECT episode_id || '-' || split || '-' || lpad(CAST(shard AS VARCHAR), 5, '0') || '-of-00002.parquet' AS file_name, ts_ns, round(price, 4) AS price, round(view_value, 4) AS view_value FROM sh")
+def whole_conversion(spark, sf_dir):
+    """All logs converted in one call, read back from the files: triggers with a view, features, splits, shards."""
+    joins = (align.Join("/view", "view", staleness_ns=7 * DAY, required=True), align.Join("/click", "click", staleness_ns=DAY))
+    topics = {"price": ["/purchase"], "view_value": ["/view"], "click_bin": ["/click"]}
+    spec = conversion.Spec(conversion.Triggered("/purchase", joins), tuple(wanted()), topics, split=_SPLIT, shards=2, label="click_bin")
+    path = _folder(spark, "converted")
+    conversion.convert(typed(spark, sf_dir), spec, path)
+    rows = spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
+    return rows.select(F.col("_metadata.file_name").alias("file_name"), "ts_ns", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("price", "view_value")])
+
+
 def _folder(spark, name: str) -> str:
     import uuid
 
