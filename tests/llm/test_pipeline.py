@@ -97,7 +97,7 @@ def test_one_document_of_repeated_rows_stays(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_oracle(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = db.execute(queries.ORACLES[name])
     names = [c[0] for c in want.description]
@@ -110,6 +110,5 @@ def test_query_matches_oracle(spark, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES) - {"pipeline", "op3_jaccard_join"}))
 def test_queries_return_a_row_per_input(spark, name):
     rows = queries.QUERIES[name](spark, DATA)
-    key = "page_id" if "page_id" in rows.columns else "doc_id"
-    source = spark.read.parquet(f"{DATA}/{'pages' if key == 'page_id' else 'documents'}.parquet")
-    assert rows.select(key).distinct().count() == source.count()
+    key, table = next((k, t) for k, t in (("page_id", "pages"), ("conv_id", "conversations"), ("doc_id", "documents")) if k in rows.columns)
+    assert rows.select(key).distinct().count() == spark.read.parquet(f"{DATA}/{table}.parquet").select(key).distinct().count()
