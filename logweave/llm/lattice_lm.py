@@ -39,7 +39,7 @@ ROUNDS = 2
 #: Words that tasks look up themselves: the most frequent of at most so many bytes each.
 HEAD_WORDS, HEAD_BYTES = 131_072, 64
 #: Bytes of words whose lattices are walked together; longer words stand alone.
-LATTICE_BYTES = 1 << 18
+LATTICE_BYTES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -196,7 +196,8 @@ def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             n = np.bincount(codes, minlength=len(named.dictionary))
             own = np.bincount(codes[trained], minlength=len(named.dictionary))
             yield pa.RecordBatch.from_arrays([named.dictionary, pa.array(n), pa.array(own)], ["word", "n", "trained"])
-        free_memory()
+            del words, named, codes, trained
+            free_memory()
 
     rows = docs.select(F.col(text).cast("binary"), held_out(key))
     return rows.mapInArrow(count, "word binary, n long, trained long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("trained").alias("trained"))
@@ -301,7 +302,8 @@ def _looked_up(docs: DataFrame, words: DataFrame, key: str, text: str) -> DataFr
             tail = [pa.array(np.full(m, pid, dtype=np.int32)), row.take(pa.array(whose)), *(pa.nulls(m, k) for k in kinds[2:8]), rare, pa.array(times.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(tail, heads)
             first += n
-        free_memory()
+            del words, named, codes, doc, place, at, own, pairs, rare, whose, columns, tail
+            free_memory()
 
     return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary"), held_out(key).alias("held_out")).mapInArrow(look_up, shape)
 
