@@ -3,9 +3,13 @@
 Pages are sorted by host and URL path (query and fragment dropped); each is paired with its neighbours of the same host.
 The text lines of a pair are aligned by their longest common subsequence; lines both pages share outside an article are
 the site's frame and are deleted.  Copies of a page share everything, so a pair whose main lines are all shared tells
-nothing and is skipped.  Lines inside ``<article>`` or ``<main>`` are main text by declaration and are never deleted by
-differencing: near-copies of articles under neighbouring URLs are frequent, and deleting their shared lines would empty
-both (so the method decides for pages that declare no article).
+nothing and is skipped.
+
+Every page is compared, also one that declares its article by ``<article>`` or ``<main>``; there an exact check by the
+markup follows.  Lines beside the declared article go.  In it, shared bare paragraphs and headings are restored, as they
+are quotations or copies, which are main text; parts whose class, id or role only hints at a frame (``subscribe-now``,
+``related-work``) go when a neighbour shares all of their lines and stay when it doesn't.  A neighbour that shares half of
+the article's lines is a near copy and tells nothing about its parts.
 
 Pages meet as lists of line hashes.  After a range sort their places in the whole order are counted, and blocks of
 ``BLOCK_PAGES`` places, with the page before and the page after, are compared on their own: a host with very many pages is
@@ -19,7 +23,9 @@ neighbour; text of ``svg``, ``math`` and ``object`` stays, that of form controls
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html import unescape
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +57,7 @@ _NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _BLOCK_SET, _VOID_SET, _RAW_SET, _FRAME_SET = set(BLOCKS), set(VOID), set(RAW), set(FRAME)
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _P_ENDS = _BLOCK_SET - {"br", "body", "html", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
 
 #: Pages that are compared in one run, beside one before and one after.
@@ -74,11 +81,19 @@ def _is_frame(attributes: str, inside: bool = False) -> bool:
 
 def blocks(html: str | None) -> list[tuple[str, bool]]:
     """Text blocks in page order, with whether each lies in a declared article; frame parts and markup are left out."""
+    return blocks_and_parts(html)[0]
+
+
+def blocks_and_parts(html: str | None) -> tuple[list[tuple[str, bool]], list[tuple[int, int]]]:
+    """The blocks, and the parts (from, to) of a declared article that are doubtful: some word of class, id or role names a frame
+    part, but not the whole name.  Headings and parts with a title (``h1``) are none."""
     if not html:
-        return []
+        return [], []
     out: list[tuple[str, bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, is frame, is article
+    stack: list[tuple[str, bool, bool, int]] = []  # element, is frame, is article, first block of a doubtful part or -1
+    doubtful: list[tuple[int, int]] = []
+    titles: list[int] = []
     frame = article = 0
 
     def close_block():
@@ -89,9 +104,11 @@ def blocks(html: str | None) -> list[tuple[str, bool]]:
 
     def pop(to: int):
         nonlocal frame, article
-        for _, f, a in stack[to:]:
+        for _, f, a, first in stack[to:]:
             frame -= f
             article -= a
+            if 0 <= first < len(out):
+                doubtful.append((first, len(out)))
         del stack[to:]
 
     at = 0
@@ -137,11 +154,15 @@ def blocks(html: str | None) -> list[tuple[str, bool]]:
         is_frame = (name in _FRAME_SET and not (name == "header" and article)) or (name not in ("html", "body", "article", "main") and _is_frame(attributes, article > 0))
         if name == "article" and article and _is_frame(attributes):
             is_frame, is_article = True, False
-        stack.append((name, is_frame, is_article))
+        if name == "h1":
+            titles.append(len(out))
+        hinted = article and not frame and not is_frame and name in _BLOCK_SET and name not in _HEADINGS and attributes and _is_frame(attributes)
+        stack.append((name, is_frame, is_article, len(out) if hinted else -1))
         frame += is_frame
         article += is_article
     close_block()
-    return out
+    pop(0)
+    return out, sorted({(a, b) for a, b in doubtful if bisect_left(titles, a) == bisect_left(titles, b)})
 
 
 def _prefix_lengths(a: list[int], b: list[int]) -> np.ndarray:
@@ -195,71 +216,87 @@ def line_hashes(own: list[tuple[str, bool]]) -> list[int]:
     return np.array([xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) for text, _ in own], dtype=np.uint64).view(np.int64).tolist()
 
 
-def frame_lines(lines: list[int], neighbours: list[list[int]]) -> list[int]:
-    """Indexes of the lines that a neighbour shares, but for neighbours that share all."""
+def frame_lines(lines: list[int], neighbours: list[list[int]], inside: list[bool] = (), parts: list[tuple[int, int]] = ()) -> list[int]:
+    """Indexes of the lines that a neighbour shares, but for neighbours that share all.  Of the lines ``inside`` a declared article,
+    those of doubtful ``parts`` that a neighbour shares whole, but for neighbours that share half of the article."""
     gone: set[int] = set()
+    article = {i for i, x in enumerate(inside) if x}
     for other in neighbours:
         shared = common_lines(lines, other)
-        if len(shared) < len(lines):
-            gone |= shared
+        if len(shared) == len(lines):
+            continue
+        gone |= shared - article
+        if parts and 2 * len(shared & article) < len(article):
+            own = [0, *accumulate(i not in shared for i in range(len(lines)))]
+            end = 0
+            for a, b in sorted(parts, key=lambda x: (x[0], -x[1])):
+                if b > end and own[a] == own[b]:
+                    gone.update(range(a, b))
+                    end = b
     return sorted(gone)
 
 
 def main_text(own: list[tuple[str, bool]], gone: list[int]) -> str:
-    """The blocks of the declared article if there is one, else those that aren't gone, with an empty line between them."""
-    if any(inside for _, inside in own):
-        return "\n\n".join(text for text, inside in own if inside)
+    """The blocks that aren't gone, of the declared article only if there is one, with an empty line between them."""
     dropped = set(gone)
-    return "\n\n".join(text for i, (text, _) in enumerate(own) if i not in dropped)
+    declared = any(inside for _, inside in own)
+    return "\n\n".join(text for i, (text, inside) in enumerate(own) if i not in dropped and (inside or not declared))
+
+
+#: Columns of a compared page beside its id: row hash, line hashes, whether each line lies in a declared article, doubtful parts.
+_LINES = "r long, lines array<long>, inside array<boolean>, parts array<int>"
 
 
 def _lined(pages: DataFrame) -> DataFrame:
-    """``host, path, id, r, open, lines``: line hashes of each page, and whether it declares no article."""
+    """``host, path, id, r, lines, inside, parts`` of each page; parts are pairs of line numbers in one list."""
     kind = dict(pages.dtypes)["id"]
 
     def rows(batches):
         for batch in batches:
-            found = [blocks(x.as_py()) for x in batch.column(4)]
-            declared = [not any(inside for _, inside in own) for own in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(declared), pa.array([line_hashes(own) for own in found], pa.list_(pa.int64()))], ["host", "path", "id", "r", "open", "lines"])
+            found = [blocks_and_parts(x.as_py()) for x in batch.column(4)]
+            lines = pa.array([line_hashes(own) for own, _ in found], pa.list_(pa.int64()))
+            inside = pa.array([[x for _, x in own] for own, _ in found], pa.list_(pa.bool_()))
+            parts = pa.array([[i for part in parts for i in part] for _, parts in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], lines, inside, parts], ["host", "path", "id", "r", "lines", "inside", "parts"])
 
-    return pages.select("host", "path", "id", "r", "html").mapInArrow(rows, f"host string, path string, id {kind}, r long, open boolean, lines array<long>")
+    return pages.select("host", "path", "id", "r", "html").mapInArrow(rows, f"host string, path string, id {kind}, {_LINES}")
 
 
 def _placed(lined: DataFrame, folder: str) -> DataFrame:
     """The pages with their ``place`` in the order of host, path and id."""
     kind = dict(lined.dtypes)["id"]
-    names = ["part", "row", "host", "id", "r", "open", "lines"]
+    names = ["part", "row", "host", "id", "r", "lines", "inside", "parts"]
 
     def rows(batches):
         n, part = 0, TaskContext.get().partitionId()
         for batch in batches:
-            here = [batch.column(i) for i in (0, 2, 3, 4, 5)]
+            here = [batch.column(i) for i in (0, 2, 3, 4, 5, 6)]
             yield pa.RecordBatch.from_arrays([pa.array([part] * batch.num_rows, pa.int32()), pa.array(np.arange(n, n + batch.num_rows)), *here], names)
             n += batch.num_rows
 
     order = ("host", "path", "id", "r")
     ordered = lined.repartitionByRange(*order).sortWithinPartitions(*order)
     # The number of a partition is its place in the order, as nothing stands between the sort and the write.
-    numbered = written(ordered.mapInArrow(rows, f"part int, row long, host string, id {kind}, r long, open boolean, lines array<long>"), "numbered", folder)
+    numbered = written(ordered.mapInArrow(rows, f"part int, row long, host string, id {kind}, {_LINES}"), "numbered", folder)
     counts = numbered.groupBy("part").agg(F.count("*").alias("n"))
     starts = counts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     return numbered.join(F.broadcast(starts), "part").select((F.col("start") + F.col("row")).alias("place"), *names[2:])
 
 
 def _frames(placed: DataFrame) -> DataFrame:
-    """``id, r, gone``: places of the lines that a page without an article shares with a neighbour of its host."""
+    """``id, r, gone``: places of the lines of a page that go, as it shares them with a neighbour of its host."""
     kind = dict(placed.dtypes)["id"]
     own = F.expr(f"place div {BLOCK_PAGES}")
     beside = F.array_distinct(F.transform(F.array(F.col("place") - 1, F.col("place"), F.col("place") + 1), lambda x: F.call_function("div", x + BLOCK_PAGES, F.lit(BLOCK_PAGES)) - 1))
-    dealt = placed.select(F.explode(beside).alias("block"), "place", (own).alias("home"), "host", "id", "r", "open", "lines")
+    names = ["block", "home", "host", "id", "r", "lines", "inside", "parts"]
+    dealt = placed.select(F.explode(beside).alias("block"), "place", (own).alias("home"), *names[2:])
 
     def rows(batches):
-        before = page = None  # pages are (block, home, host, id, r, open, lines)
+        before = page = None  # pages are (block, home, host, id, r, lines, inside, parts)
 
         def decided(before, page, after):
-            near = [x[6] for x in (before, after) if x is not None and x[0] == page[0] and x[2] == page[2]]
-            gone = frame_lines(page[6], near) if page[0] == page[1] and page[5] and near else []
+            near = [x[5] for x in (before, after) if x is not None and x[0] == page[0] and x[2] == page[2]]
+            gone = frame_lines(page[5], near, page[6], list(zip(page[7][::2], page[7][1::2], strict=True))) if page[0] == page[1] and near else []
             return [(page[3], page[4], gone)] if gone else []
 
         def batch_of(done):
@@ -269,7 +306,7 @@ def _frames(placed: DataFrame) -> DataFrame:
         for batch in batches:
             key_type = batch.column(3).type
             done = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(len(names))), strict=True):
                 if page is not None:
                     done += decided(before, page, row)
                 before, page = page, row
@@ -277,7 +314,7 @@ def _frames(placed: DataFrame) -> DataFrame:
         if page is not None:
             yield batch_of(decided(before, page, None))
 
-    sorted_ = dealt.repartition("block").sortWithinPartitions("block", "place").select("block", "home", "host", "id", "r", "open", "lines")
+    sorted_ = dealt.repartition("block").sortWithinPartitions("block", "place").select(*names)
     found = sorted_.mapInArrow(rows, f"id {kind}, r long, gone array<int>")
     return found.groupBy("id", "r").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("gone")))).alias("gone"))
 
@@ -298,8 +335,7 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     source = pages.select(host.alias("host"), path.alias("path"), F.col(key).alias("id"), row.alias("r"), F.col(html).alias("html"))
     with scratch(spark) as folder:
         lined = written(_lined(source), "lined", folder)  # or the sort's sample would parse them all once more
-        hosts = written(lined.where("open").select("host").distinct(), "open-hosts", folder)
-        gone = written(_frames(_placed(lined.join(small(hosts), "host"), folder)), "frames")
+        gone = written(_frames(_placed(lined, folder)), "frames")
     gone = small(gone.select(F.struct("id", "r").alias("at"), "gone"))
     each = pages.select(F.struct(F.col(key).alias("id"), row.alias("r")).alias("own"), F.col(url).alias("u"), F.col(html).alias("html"))
     texts = F.arrow_udf(_texts, "string")
