@@ -152,9 +152,9 @@ def stream_profile(spark, sf_dir):
     return drained(twins.topic_profile(stream(spark, sf_dir)), "complete")
 
 
-def final_watermark_ms(spark, sf_dir) -> int:
-    """The watermark of a drained stream: an hour before the last message; what lies at or after it is never emitted."""
-    last = messages(spark, sf_dir).agg(F.max("ts_ns")).first()[0]
+def final_watermark_ms(spark, sf_dir, topics: list[str] | None = None) -> int:
+    """The watermark of a drained stream: an hour before the last message (of its topics); what lies at or after it is never emitted."""
+    last = messages(spark, sf_dir, topics).agg(F.max("ts_ns")).first()[0]
     return 0 if last is None else last // 1_000_000 - 3_600_000
 
 
@@ -173,5 +173,6 @@ def stream_join(spark, sf_dir):
     """The stream's triggers, and those it still holds at its end from the batch as-of join."""
     matched = lambda rows: rows.select("episode_id", "ts_ns", "seq", F.coalesce("match_ts_ns", F.lit(-1)).alias("match_ts_ns"))
     passed = drained(twins.trigger_join(stream(spark, sf_dir), "/purchase", "/view"), "append")
-    held = align.asof_join(messages(spark, sf_dir), "/purchase", "/view").where(F.expr("ts_ns div 1000000") >= final_watermark_ms(spark, sf_dir))
+    mark = final_watermark_ms(spark, sf_dir, ["/purchase", "/view"])
+    held = align.asof_join(messages(spark, sf_dir), "/purchase", "/view").where(F.expr("ts_ns div 1000000") >= mark)
     return matched(passed).unionByName(matched(held))

@@ -90,9 +90,10 @@ def trigger_join(stream: DataFrame, trigger: str, topic: str, lateness: str = "1
 
     State of an episode: messages the watermark has not passed, a map entry for each millisecond, and the last joined one; messages at or
     before the watermark (which begins at 1970) are late and dropped; of one time, the other topic's message counts as before the trigger.  The session's state store becomes RocksDB,
-    so a stream that was begun with another store cannot go on.
+    so a stream that was begun with another store cannot go on.  The watermark follows the messages of the two topics alone: Spark moves
+    a filter on topics below a watermark wherever it stands.
     """
     ship_package(stream.sparkSession)
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    rows = event_time(stream, lateness).where(F.col("topic").isin(trigger, topic))
+    rows = event_time(stream.where(F.col("topic").isin(trigger, topic)), lateness)
     return rows.groupBy(EPISODE).transformWithState(_AsOf(trigger), _OUT, "append", "eventTime")
