@@ -35,6 +35,8 @@ CODEWORDS = 16
 SHARD_ROWS = 131_072
 #: Rows that are scored together.
 CHUNK_ROWS = 4_096
+#: Anchors whose products with a cell are made together.
+BATCH_ANCHORS = 32
 _LAST = np.iinfo(np.int64).max
 
 
@@ -143,15 +145,31 @@ class Shard:
             np.maximum.at(radius, c, d)
             self.lists.append((np.flatnonzero(radius >= 0), radius))
 
-    def _scores(self, rows: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-        """Exact products, in the smallest type that holds every sum."""
-        most = self.most * int(np.abs(anchor).max(initial=0)) * len(anchor)
+    def _held(self, anchors: np.ndarray) -> np.ndarray:
+        """The rows in the smallest type that holds every sum; made once for a shard, not for each chunk of rows."""
+        most = self.most * int(np.abs(anchors).max(initial=0)) * self.books.size
         kind = "float32" if most < 1 << 24 else "float64" if most < 1 << 53 else "int64"
-        held = self.exact.setdefault(kind, self.q.astype(kind))
-        return (held[rows] @ anchor.astype(kind)).astype(np.int64)
+        if kind not in self.exact:
+            self.exact[kind] = self.q.astype(kind)
+        return self.exact[kind]
 
-    def visits(self, anchor: np.ndarray):
-        """Chunks of rows (their places and scores) by falling bounds, each with the bound of all that come later."""
+    def _scores(self, rows: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        """Exact products."""
+        held = self._held(anchor)
+        return (held[rows] @ anchor.astype(held.dtype)).astype(np.int64)
+
+    def ahead(self, anchors: np.ndarray) -> None:
+        """Anchors that come next: the first of them that opens a cell makes the exact products of all of them with its rows."""
+        held = self._held(anchors)
+        self.anchors, self.known = anchors.astype(held.dtype), {}
+
+    def _known(self, span: tuple[int, int], place: int) -> np.ndarray:
+        if span not in self.known:
+            self.known[span] = self.anchors @ self._held(self.anchors)[slice(*span)].T
+        return self.known[span][place]
+
+    def visits(self, anchor: np.ndarray, place: int | None = None):
+        """Chunks of rows (their places and scores) by falling bounds, each with the bound of all that come later; ``place``: of the anchor in ``ahead``."""
         bounds = []
         for part, words, (used, radius) in zip(self.books.halves(anchor[None, :].astype(float)), (self.books.first, self.books.second), self.lists, strict=True):
             bound = words[used] @ part[0] + np.linalg.norm(part[0]) * radius[used]
@@ -167,12 +185,13 @@ class Shard:
                 heapq.heappush(heap, (-(u1[i + 1] + u2[0]), i + 1, 0))
             span = self.cells.get(w1[i] * len(self.books.second) + w2[j])
             if span:
-                held.append(np.arange(*span))
+                held.append(span)
                 n += span[1] - span[0]
             if held and (n >= CHUNK_ROWS or not heap):
-                rows = np.concatenate(held)
+                rows = np.concatenate([np.arange(*x) for x in held])
+                scores = self._scores(rows, anchor) if place is None else np.concatenate([self._known(x, place) for x in held]).astype(np.int64)
                 left = -heap[0][0] if heap else -np.inf
-                yield rows, self._scores(rows, anchor), left + 1e-6 * (1 + abs(left)) if heap else left
+                yield rows, scores, left + 1e-6 * (1 + abs(left)) if heap else left
                 held, n = [], 0
 
     def _best(self, rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,22 +201,24 @@ class Shard:
         order = np.lexsort((self.hashes[rows], self.ids[rows], self.none[rows], -scores))[:k]
         return rows[order], scores[order]
 
-    def positives(self, id_: int, h: int, label: int, anchor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def positives(self, id_: int, h: int, label: int, anchor: np.ndarray, k: int, place: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The best ``k`` other rows of the label."""
         found, their = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        for rows, scores, left in self.visits(anchor):
-            own = (self.labels[rows] == label) & ~((self.ids[rows] == id_) & (self.hashes[rows] == h) & ~self.none[rows])
-            found, their = self._best(np.concatenate([found, rows[own]]), np.concatenate([their, scores[own]]), k)
+        for rows, scores, left in self.visits(anchor, place):
+            own = self.labels[rows] == label
+            rows, scores = rows[own], scores[own]
+            other = ~((self.ids[rows] == id_) & (self.hashes[rows] == h) & ~self.none[rows])
+            found, their = self._best(np.concatenate([found, rows[other]]), np.concatenate([their, scores[other]]), k)
             if len(found) == k and their[-1] > left:
                 break
         return found, their
 
-    def windows(self, label: int, anchor: np.ndarray, windows: list[tuple[int, int]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def windows(self, label: int, anchor: np.ndarray, windows: list[tuple[int, int]], k: int, place: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each window of scores, the best ``k`` rows of other labels inside."""
         out = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)) for _ in windows]
         if all(low > high for low, high in windows):
             return out
-        for rows, scores, left in self.visits(anchor):
+        for rows, scores, left in self.visits(anchor, place):
             other = self.labels[rows] != label
             rows, scores = rows[other], scores[other]
             open_ = False
@@ -253,7 +274,10 @@ def _found(own: Shard, anchors: pa.RecordBatch, k: int, wanted: bool):
     q = _matrix(anchors.column("q"), own.books.size)
     heads, aims, rows, scores = [], [], [], []
     for n, (id_, label, h, own_aims) in enumerate(zip(*(anchors.column(c).to_pylist() for c in ("id", "label", "h", "aims")), strict=True)):
-        results = own.windows(label, q[n], [(-(-30 * s // 100), 90 * s // 100) for s in own_aims], k) if wanted else [own.positives(id_, h, label, q[n], k)]
+        place = n % BATCH_ANCHORS
+        if place == 0:
+            own.ahead(q[n : n + BATCH_ANCHORS])
+        results = own.windows(label, q[n], [(-(-30 * s // 100), 90 * s // 100) for s in own_aims], k, place) if wanted else [own.positives(id_, h, label, q[n], k, place)]
         for aim, (found, their) in enumerate(results):
             heads.append(np.full(len(found), n))
             aims.append(np.full(len(found), aim, dtype=np.int32))

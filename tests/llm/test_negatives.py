@@ -87,3 +87,29 @@ def test_search_stops_before_it_has_seen_all_cells():
 
 def test_query_reads_the_given_table(spark):
     assert queries.negative_mining(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_rows_are_converted_once_and_batches_change_nothing():
+    """The rows of a shard get their type once, however many chunks and anchors there are; anchors ahead find what each finds alone."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(7)
+    q = r.integers(-90, 90, (3000, 8))
+    books = hn.Codebooks(8, hn._means(q[:, :4], 4), hn._means(q[:, 4:], 4))
+    (c1, d1), (c2, d2) = hn._nearest(q[:, :4], books.first), hn._nearest(q[:, 4:], books.second)
+    columns = {"id": pa.array(range(3000), pa.int64()), "label": pa.array([i % 3 for i in range(3000)], pa.int64()), "h": pa.array(range(3000), pa.int64()), "q": pa.array(q.tolist(), pa.list_(pa.int64()))}
+    shard = hn.Shard(books, pa.table(columns | {"c1": c1, "c2": c2, "d1": d1, "d2": d2}))
+
+    class Counted:
+        n, rows = 0, shard.q
+
+        def astype(self, kind):
+            self.n += 1
+            return self.rows.astype(kind)
+
+    shard.q = Counted()
+    anchors = pa.record_batch({k: pa.array(v.to_pylist()[:80], v.type) for k, v in columns.items()} | {"aims": pa.nulls(80, pa.list_(pa.int64()))})
+    (found,) = hn._found(shard, anchors, 5, False)
+    alone = [shard.positives(i, i, i % 3, q[i], 5) for i in range(80)]
+    assert found.column("found").to_pylist() == [x for rows, _ in alone for x in shard.ids[rows].tolist()]
+    assert found.column("score").to_pylist() == [x for _, scores in alone for x in scores.tolist()] and shard.q.n == 1
